@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("bars", "indicators", "cross")
+TOPICS = ("bars", "indicators", "panels", "cross")
 
 
 def _modules():

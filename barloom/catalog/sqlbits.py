@@ -152,3 +152,8 @@ def ema_rec(src: str, cols: dict[str, tuple[str, float]], macd: bool = False) ->
         SELECT b.symbol, b.pos, {step}{extra1}
         FROM e JOIN {src} b ON b.symbol = e.symbol AND b.pos = e.pos + 1)
       SELECT * FROM e)"""
+
+
+def rnd(x: str, places: int) -> str:
+    k = 10.0**places
+    return f"(floor(({x}) * {k}::DOUBLE + 0.5::DOUBLE) / {k}::DOUBLE)"

@@ -72,3 +72,9 @@ def money(c: Column | str, places: int = 2) -> Column:
 
 def signed(c: Column | str, places: int = 1) -> Column:
     return F.format_string(f"%+.{places}f", col(c))
+
+
+def rnd(c: Column | str, places: int) -> Column:
+    """Half-up rounding by plain arithmetic, for values that later steps compute with."""
+    k = F.lit(10.0**places)
+    return F.floor(col(c) * k + F.lit(0.5)) / k
