@@ -1,11 +1,13 @@
 """Exponential moving averages (adjust=False: y0 = x0, y_t = (1-a) y_{t-1} + a x_t) as plain windows.
 
 Inside a segment of S rows the recurrence has a closed form, q^k * sum(a x_j q^-j) with q = 1-a, and
-all terms carry positive weights, so the running sum loses no precision.  S is picked from powers of
-ten so that q^-S cannot overflow while q^S <= 1e-20: the carry into a segment is then the end value
-of the one segment before it and nothing older can matter at double precision.  Two running
-windows per segment length, no Python worker, cost linear in rows, exact for series of any length.
-For the blocked layout `reach(alpha)` rows of history make a block's start value irrelevant.
+all terms carry positive weights, so the running sum loses no precision.  S is chosen so that q^-S
+cannot overflow while q^S <= 1e-20: the carry into a segment is then the end value of the one segment
+before it, and nothing older can matter at double precision.  That is two running windows, no
+Python worker, cost linear in rows, for series of any length.  In the blocked layout `reach(alpha)`
+rows of history make the missing start of a block irrelevant.
+
+Inputs may be NULL at the start of a series only (the average then starts at the first value).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import Series
+from .series import SEGMENTS, Series, plainly, segmented
 
 
 def span_alpha(span: float) -> float:
@@ -32,67 +34,45 @@ def reach(alpha: float) -> int:
 
 
 def segment_rows(alpha: float) -> int:
-    need = reach(alpha)
-    s = 100
-    while s < need:
-        s *= 10
-    if s * -math.log10(1.0 - alpha) > 300:
-        raise ValueError(f"alpha {alpha} has no safe segment length")
-    return s
-
-
-def add_ema(df: DataFrame, series: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
-    """Add {out: (input column, alpha)}.  A NULL input gives NULL and leaves the state as it was."""
-    by_len: dict[int, dict[str, tuple[str, float]]] = {}
-    for out, (src, alpha) in specs.items():
-        if not 0.0 < alpha < 1.0:
-            raise ValueError("alpha must lie in (0, 1)")
-        by_len.setdefault(segment_rows(alpha), {})[out] = (src, alpha)
-    for seg_rows, group in sorted(by_len.items()):
-        df = _one_length(df, series, seg_rows, group)
-    return df
+    """Shortest segment long enough to forget everything before its predecessor."""
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must lie in (0, 1)")
+    fits = [n for n in SEGMENTS if n >= reach(alpha) and n * -math.log10(1.0 - alpha) <= 300]
+    if not fits:
+        raise ValueError(f"no segment length suits alpha {alpha}")
+    return min(fits)
 
 
-def _one_length(
-    df: DataFrame, series: Series, seg_rows: int, group: dict[str, tuple[str, float]]
+def add_ema(
+    df: DataFrame, s: Series, specs: dict[str, tuple[str, float]], late: tuple[str, ...] = ()
 ) -> DataFrame:
-    by_src: dict[str, dict[str, float]] = {}
-    for out, (src, alpha) in group.items():
-        by_src.setdefault(src, {})[out] = alpha
+    """Add {out: (input column, alpha)}; name inputs that start with NULLs in `late`."""
     kept = df.columns
-    for src, outs in by_src.items():
-        x = F.col(src)
-        df = df.withColumn("_i", F.count(x).over(series.running()) - 1)
-        df = df.withColumns(
-            {
-                "_s": F.floor(F.col("_i") / F.lit(seg_rows)),
-                "_k": F.pmod(F.col("_i"), F.lit(seg_rows)),
-            }
-        )
+    bare = s.index is None
+    df, s = segmented(df, s)
+    if late:
+        seen = s.running()
+        df = df.withColumns({f"_f_{x}": F.min(F.when(F.col(x).isNotNull(), F.col(s.index))).over(seen) for x in late})
+    at = s.order[-1]
+    whole = Window.partitionBy(*s.part).orderBy(*s.order)
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+    local, final = {}, {}
+    for out, (src, alpha) in specs.items():
+        n = segment_rows(alpha)
+        q, x, k = F.lit(1.0 - alpha), F.col(src), F.pmod(F.col(s.index), F.lit(n))
+        levels = SEGMENTS[: SEGMENTS.index(n) + 1]
+        inner = [f"_s{m}" for m in SEGMENTS[len(levels) :]]
         in_seg = (
-            Window.partitionBy(*series.part, "_s")
-            .orderBy(series.order)
+            Window.partitionBy(*s.part, *[f"_s{m}" for m in levels])
+            .orderBy(*inner, at)
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        local = {}
-        for out, a in outs.items():
-            q = F.lit(1.0 - a)
-            weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a))
-            term = weight * x * F.pow(q, -F.col("_k"))
-            local[f"_l_{out}"] = F.pow(q, F.col("_k")) * F.sum(term).over(in_seg)
-        df = df.withColumns(local)
-        # ordering by segment first keeps the sort of `in_seg`, so this window adds none
-        earlier = (
-            Window.partitionBy(*series.part)
-            .orderBy("_s", series.order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        closed = (F.col("_k") == seg_rows - 1) & x.isNotNull()
-        outs_expr = {}
-        for out, a in outs.items():
-            end = F.last(F.when(closed, F.col(f"_l_{out}")), True).over(earlier)
-            decay = F.pow(F.lit(1.0 - a), F.col("_k") + 1)
-            y = F.col(f"_l_{out}") + F.coalesce(end, F.lit(0.0)) * decay
-            outs_expr[out] = F.when(x.isNotNull(), y)
-        df = df.withColumns(outs_expr)
-    return df.select(*kept, *group)
+        start = F.col(f"_f_{src}") if src in late else F.lit(0)
+        weight = F.when(F.col(s.index) == start, F.lit(1.0)).otherwise(F.lit(alpha))
+        local[f"_l_{out}"] = F.pow(q, k) * F.sum(weight * x * F.pow(q, -k)).over(in_seg)
+        end = F.last(F.when(k == n - 1, F.col(f"_l_{out}")), True).over(earlier)
+        y = F.col(f"_l_{out}") + F.coalesce(end, F.lit(0.0)) * F.pow(q, k + 1)
+        final[out] = F.when(x.isNotNull(), y)
+    df = df.withColumns(local).withColumns(final)
+    df = df.drop(*local, *[f"_f_{x}" for x in late])
+    return plainly(df).select(*kept, *specs) if bare else df

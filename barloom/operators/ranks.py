@@ -128,4 +128,4 @@ def rolling_rank(
 
     ranked = blocks.groupBy(*bs.part).applyInPandas(rank, schema)
     ranked = ranked.withColumn(out, F.when(~F.isnan(out), F.col(out)))
-    return keep_own(ranked).drop("_pos")
+    return keep_own(ranked)

@@ -163,6 +163,7 @@ def add_wilder(df: DataFrame, s: Series, n: int = 14) -> DataFrame:
             "_pl": ("dm_plus", a),
             "_mi": ("dm_minus", a),
         },
+        late=("gain", "loss"),
     )
     pdi, mdi = 100 * ratio("_pl", "atr_w"), 100 * ratio("_mi", "atr_w")
     df = df.withColumns(
@@ -171,7 +172,7 @@ def add_wilder(df: DataFrame, s: Series, n: int = 14) -> DataFrame:
             "_dx": 100 * ratio(F.abs(pdi - mdi), pdi + mdi),
         }
     )
-    return add_ema(df, s, {"adx_w": ("_dx", a)}).drop("_up", "_dn", "_pl", "_mi", "_dx")
+    return add_ema(df, s, {"adx_w": ("_dx", a)}, late=("_dx",)).drop("_up", "_dn", "_pl", "_mi", "_dx")
 
 
 # ── structure ────────────────────────────────────────────────────────────────
@@ -251,7 +252,7 @@ def add_losing_run(df: DataFrame, s: Series, win: str) -> DataFrame:
     df = df.withColumn("_wins", wins)
     island = (
         Window.partitionBy(*s.part, "_wins")
-        .orderBy(s.order)
+        .orderBy(*s.order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     run = F.sum(F.when(F.col(win), 0).otherwise(1)).over(island)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
 BUCKET_SECONDS = 30 * 86_400
+SEGMENTS = (10_000, 1_000)  # rows; each divides the one before
 
 
 @dataclass(frozen=True)
@@ -29,10 +30,11 @@ class Series:
     keys: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
     part: tuple[str, ...] = ("symbol",)
-    order: str = "ts"
+    order: tuple[str, ...] = ("ts",)
+    index: str | None = None  # 0-based row index, once the series is segmented
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.part).orderBy(self.order)
+        return Window.partitionBy(*self.part).orderBy(*self.order)
 
     def running(self) -> WindowSpec:
         return self.ordered().rowsBetween(Window.unboundedPreceding, 0)
@@ -52,7 +54,30 @@ class Series:
 
 def plain(*keys: str, ts: str = "ts") -> Series:
     keys = keys or ("symbol",)
-    return Series(keys=keys, ts=ts, part=keys, order=ts)
+    return Series(keys=keys, ts=ts, part=keys, order=(ts,))
+
+
+def segmented(df: DataFrame, s: Series) -> tuple[DataFrame, Series]:
+    """Number the rows and cut them into nested segments, for exponential averages.
+
+    The segment numbers lead the sort order.  They grow with time, so every window still sees its
+    rows in time order, and windows per symbol, per long segment and per short segment all share
+    one sort.
+    """
+    if s.index is not None:
+        return df, s
+    df = df.withColumn("_i", F.row_number().over(s.ordered()) - 1)
+    return _with_segments(df, s, "_i", s.order)
+
+
+def _with_segments(df: DataFrame, s: Series, index: str, order: tuple[str, ...]) -> tuple[DataFrame, Series]:
+    df = df.withColumns({f"_s{n}": F.floor(F.col(index) / F.lit(n)) for n in SEGMENTS})
+    return df, replace(s, order=(*[f"_s{n}" for n in SEGMENTS], *order), index=index)
+
+
+def plainly(df: DataFrame) -> DataFrame:
+    """Drop the helper columns of `segmented`."""
+    return df.drop("_i", *[f"_s{n}" for n in SEGMENTS])
 
 
 def time_bucket(ts: str, seconds: int) -> Column:
@@ -115,8 +140,9 @@ def split(
         .withColumn("_own", F.col("_at.own"))
         .drop("_at")
     )
-    return df, replace(series, part=(*series.keys, "_blk"), order="_pos")
+    blocked = replace(series, part=(*series.keys, "_blk"), order=("_pos",))
+    return _with_segments(df, blocked, "_pos", ("_pos",))
 
 
 def keep_own(df: DataFrame) -> DataFrame:
-    return df.where("_own").drop("_blk", "_own")
+    return plainly(df.where("_own").drop("_blk", "_own", "_pos"))

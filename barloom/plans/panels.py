@@ -10,42 +10,83 @@ from ..functions.num import ratio
 from ..operators import rolling as W
 from ..operators.asof import asof_fill
 from ..operators.ema import add_ema, span_alpha
-from ..operators.series import Series, plain
+from ..operators.series import Series, plain, plainly, segmented
 
 
 def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
-    """All simple and exponential inputs of the scores, plus `row_no` (1-based)."""
-    s = s or plain()
-    b = W.add_moves(bars, s)
-    b = b.withColumn("row_no", F.row_number().over(s.ordered()))
-    b = W.add_volume_ratio(W.add_atr(W.add_bollinger(W.add_rsi(b, s), s), s), s)
-    b = W.add_adx(W.add_stochastic(b, s), s)
+    """All simple and exponential inputs of the scores, plus `row_no` (1-based).
+
+    Written level by level, so that everything that can share a window operator does: row-to-row
+    moves, rolling aggregates of the moves, rolling means of those, exponential averages, lags.
+    """
+    b, s = segmented(bars, s or plain())
+    c, back = F.col, lambda x, k: F.lag(x, k).over(s.ordered())
+    b = b.withColumns(
+        {
+            "row_no": c(s.index) + 1,
+            "_d": W.change("close", 1, s),
+            "tr": W.true_range(s),
+            "dm_plus": W.directional(s)[0],
+            "dm_minus": W.directional(s)[1],
+            "ret": W.roc("close", 1, s),
+            **{f"roc{k}": W.roc("close", k, s) * 100 for k in (5, 20, 60)},
+        }
+    )
+    up, down = F.greatest(c("_d"), F.lit(0.0)), F.greatest(-c("_d"), F.lit(0.0))
+    b = b.withColumns(
+        {
+            "_gain": F.when(c("_d").isNotNull(), up),
+            "_loss": F.when(c("_d").isNotNull(), down),
+            "_dvol": F.when(c("ret") < 0, c("volume")),
+            "_uvol": F.when(c("ret") > 0, c("volume")),
+        }
+    )
     b = b.withColumns(
         {
-            "roc5": W.roc("close", 5, s) * 100,
-            "roc20": W.roc("close", 20, s) * 100,
-            "roc60": W.roc("close", 60, s) * 100,
+            "rsi": W.rsi_of(W.sma("_gain", 14, s), W.sma("_loss", 14, s)),
+            "atr": W.sma("tr", 14, s),
+            "_dmp": W.sma("dm_plus", 14, s),
+            "_dmm": W.sma("dm_minus", 14, s),
+            "dm14_plus": F.sum("dm_plus").over(s.last(14)),
+            "dm14_minus": F.sum("dm_minus").over(s.last(14)),
+            "_lo14": W.rmin("low", 14, s),
+            "_hi14": W.rmax("high", 14, s),
+            "bb_mid": W.sma("close", 20, s),
+            "_sd20": W.rstd("close", 20, s),
+            "avg_volume": W.sma("volume", 20, s),
             "high20": W.rmax("high", 20, s),
+            "_dv": F.sum("_dvol").over(s.last(20)),
+            "_uv": F.sum("_uvol").over(s.last(20)),
             "hi52": F.max("high").over(s.last(252)),
             "lo52": F.min("low").over(s.last(252)),
-            "dm14_plus": F.sum("dm_plus").over(s.last(14)),
-            "dm14_minus": F.sum("dm_minus").over(s.last(14)),
-            "_dv": F.sum(F.when(F.col("ret") < 0, F.col("volume"))).over(s.last(20)),
-            "_uv": F.sum(F.when(F.col("ret") > 0, F.col("volume"))).over(s.last(20)),
         }
     )
-    down, up = F.coalesce("_dv", F.lit(0.0)), F.coalesce("_uv", F.lit(0.0))
-    share = F.when(F.col("row_no") >= 25, ratio(down, down + up))
-    b = b.withColumn("down_share", share).drop("_dv", "_uv")
-    b = W.add_macd(b, s)
-    b = add_ema(b, s, {f"ema{n}": ("close", span_alpha(n)) for n in (9, 21, 50, 200)})
-    return b.withColumns(
+    dip, dim = 100 * ratio("_dmp", "atr"), 100 * ratio("_dmm", "atr")
+    sold, bought = F.coalesce("_dv", F.lit(0.0)), F.coalesce("_uv", F.lit(0.0))
+    b = b.withColumns(
+        {
+            "bb_upper": c("bb_mid") + 2.0 * c("_sd20"),
+            "bb_lower": c("bb_mid") - 2.0 * c("_sd20"),
+            "stoch_k": 100 * (c("close") - c("_lo14")) / (c("_hi14") - c("_lo14") + F.lit(1e-9)),
+            "_dx": 100 * F.abs(dip - dim) / (dip + dim + F.lit(1e-9)),
+            "down_share": F.when(c("row_no") >= 25, ratio(sold, sold + bought)),
+        }
+    )
+    b = b.withColumns({"stoch_d": W.sma("stoch_k", 3, s), "adx": W.sma("_dx", 14, s)})
+    b = b.drop("_d", "_gain", "_loss", "_dvol", "_uvol", "_dmp", "_dmm", "_lo14", "_hi14", "_sd20", "_dv", "_uv", "_dx")
+    spans = {"ema9": 9, "ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}
+    b = add_ema(b, s, {out: ("close", span_alpha(n)) for out, n in spans.items()})
+    b = b.withColumn("macd", c("_fast") - c("_slow"))
+    b = add_ema(b, s, {"_signal": ("macd", span_alpha(9))})
+    b = b.withColumn("macd_hist", c("macd") - c("_signal"))
+    b = b.withColumns(
         {
-            "prev_hist": W.lagged("macd_hist", 1, s),
-            "prev_ema50": W.lagged("ema50", 1, s),
-            "prev_ema200": W.lagged("ema200", 1, s),
+            "prev_hist": back("macd_hist", 1),
+            "prev_ema50": back("ema50", 1),
+            "prev_ema200": back("ema200", 1),
         }
-    ).drop("gain", "loss", "tr", "dm_plus", "dm_minus")
+    )
+    return plainly(b.drop("_fast", "_slow", "_signal", "tr", "dm_plus", "dm_minus"))
 
 
 def technical_panel(bars: DataFrame, s: Series | None = None, min_rows: int = technical.MIN_ROWS) -> DataFrame:
