@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import clamp, non_null_mean, ratio
+from ..functions.stats import pearson
 
 RUN = (Window.unboundedPreceding, -1)
 
@@ -151,6 +152,7 @@ def rank_ic(
 ) -> DataFrame:
     """Spearman correlation per group, for groups with enough rows and distinct values."""
     df = df.where(F.col(feature).isNotNull() & F.col(fwd).isNotNull())
+    df = df.select(*by, feature, fwd)
     df = average_rank(df, by, feature, "_rx", resolution)
     df = average_rank(df, by, fwd, "_ry", resolution * 64)
     return (
@@ -158,7 +160,7 @@ def rank_ic(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_distinct(F.col(feature)).alias("_nd"),
-            F.corr("_rx", "_ry").alias("ic"),
+            pearson("_rx", "_ry").alias("ic"),
         )
         .where((F.col("n") > more_than) & (F.col("_nd") > distinct_over) & F.col("ic").isNotNull())
         .drop("_nd")

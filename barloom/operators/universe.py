@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import ratio, shown
+from ..functions.stats import pearson
 from .rolling import roc
 from .series import Series
 
@@ -68,7 +69,7 @@ def proxies(bars: DataFrame, s: Series, bench: str, reference: str) -> DataFrame
         r.join(b, "ts", "left")
         .join(g, "ts", "left")
         .groupBy("symbol")
-        .agg(F.corr("_r", "_rb").alias("cb"), F.corr("_r", "_rg").alias("cg"))
+        .agg(pearson("_r", "_rb").alias("cb"), pearson("_r", "_rg").alias("cg"))
     )
     return c.where((F.col("symbol") != bench) & (F.col("cg") > F.col("cb")))
 
