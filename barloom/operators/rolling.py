@@ -15,25 +15,32 @@ from .series import Series
 
 
 # ── building blocks ──────────────────────────────────────────────────────────
-def full(agg: Column, src: Column | str, n: int, s: Series) -> Column:
+def full(agg: Column, src: Column | str, n: int, s: Series, skip: int | None = None) -> Column:
+    """Rolling aggregate, NULL until the window is full.
+
+    With `skip`, the number of NULLs the input is known to start with (0 for prices), the row number
+    decides, which halves the work per window; without it the non-null inputs are counted.
+    """
     w = s.last(n)
+    if skip is not None and s.index is not None:
+        return F.when(col(s.index) >= n - 1 + skip, agg.over(w))
     return F.when(F.count(col(src)).over(w) == n, agg.over(w))
 
 
-def sma(src: str, n: int, s: Series) -> Column:
-    return full(F.avg(src), src, n, s)
+def sma(src: str, n: int, s: Series, skip: int | None = None) -> Column:
+    return full(F.avg(src), src, n, s, skip)
 
 
-def rstd(src: str, n: int, s: Series) -> Column:
-    return full(F.stddev_samp(src), src, n, s)
+def rstd(src: str, n: int, s: Series, skip: int | None = None) -> Column:
+    return full(F.stddev_samp(src), src, n, s, skip)
 
 
-def rmax(src: str, n: int, s: Series) -> Column:
-    return full(F.max(src), src, n, s)
+def rmax(src: str, n: int, s: Series, skip: int | None = None) -> Column:
+    return full(F.max(src), src, n, s, skip)
 
 
-def rmin(src: str, n: int, s: Series) -> Column:
-    return full(F.min(src), src, n, s)
+def rmin(src: str, n: int, s: Series, skip: int | None = None) -> Column:
+    return full(F.min(src), src, n, s, skip)
 
 
 def lagged(src: Column | str, k: int, s: Series) -> Column:

@@ -43,22 +43,18 @@ def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
     )
     b = b.withColumns(
         {
-            "rsi": W.rsi_of(W.sma("_gain", 14, s), W.sma("_loss", 14, s)),
-            "atr": W.sma("tr", 14, s),
-            "_dmp": W.sma("dm_plus", 14, s),
-            "_dmm": W.sma("dm_minus", 14, s),
-            "dm14_plus": F.sum("dm_plus").over(s.last(14)),
-            "dm14_minus": F.sum("dm_minus").over(s.last(14)),
-            "_lo14": W.rmin("low", 14, s),
-            "_hi14": W.rmax("high", 14, s),
-            "bb_mid": W.sma("close", 20, s),
-            "_sd20": W.rstd("close", 20, s),
-            "avg_volume": W.sma("volume", 20, s),
-            "high20": W.rmax("high", 20, s),
+            "rsi": W.rsi_of(W.sma("_gain", 14, s, 1), W.sma("_loss", 14, s, 1)),
+            "atr": W.sma("tr", 14, s, 0),
+            "_dmp": W.sma("dm_plus", 14, s, 0),
+            "_dmm": W.sma("dm_minus", 14, s, 0),
+            "_lo14": W.rmin("low", 14, s, 0),
+            "_hi14": W.rmax("high", 14, s, 0),
+            "bb_mid": W.sma("close", 20, s, 0),
+            "_sd20": W.rstd("close", 20, s, 0),
+            "avg_volume": W.sma("volume", 20, s, 0),
+            "high20": W.rmax("high", 20, s, 0),
             "_dv": F.sum("_dvol").over(s.last(20)),
             "_uv": F.sum("_uvol").over(s.last(20)),
-            "hi52": F.max("high").over(s.last(252)),
-            "lo52": F.min("low").over(s.last(252)),
         }
     )
     dip, dim = 100 * ratio("_dmp", "atr"), 100 * ratio("_dmm", "atr")
@@ -69,6 +65,8 @@ def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
             "bb_lower": c("bb_mid") - 2.0 * c("_sd20"),
             "stoch_k": 100 * (c("close") - c("_lo14")) / (c("_hi14") - c("_lo14") + F.lit(1e-9)),
             "_dx": 100 * F.abs(dip - dim) / (dip + dim + F.lit(1e-9)),
+            "dm14_plus": c("_dmp") * 14,
+            "dm14_minus": c("_dmm") * 14,
             "down_share": F.when(c("row_no") >= 25, ratio(sold, sold + bought)),
         }
     )
@@ -103,6 +101,13 @@ def bear_panel(bars: DataFrame, bench: str, s: Series | None = None, min_rows: i
     return bear.add_scores(p)
 
 
+def year_range(bars: DataFrame, n: int = 252) -> DataFrame:
+    """High and low of the last n bars per symbol; the rank filter runs below the shuffle."""
+    w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    last = bars.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return last.groupBy("symbol").agg(F.max("high").alias("hi52"), F.min("low").alias("lo52"))
+
+
 def latest_rows(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """Newest row per symbol; the rank filter is pushed below the shuffle."""
     w = Window.partitionBy(symbol).orderBy(F.col(ts).desc())
