@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("bars", "indicators", "panels", "cross")
+TOPICS = ("bars", "indicators", "panels", "cross", "screens")
 
 
 def _modules():

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 def r(expr: str, places: int = 6) -> str:
     """Rounded value with negative zero folded into zero."""
-    return f"CASE WHEN round({expr}, {places}) = 0 THEN 0.0 ELSE round({expr}, {places}) END"
+    v = f"round(CAST({expr} AS DOUBLE), {places})"
+    return f"CASE WHEN {v} = 0 THEN 0.0::DOUBLE ELSE {v} END"
 
 
 def div(a: str, b: str) -> str:

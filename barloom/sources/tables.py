@@ -184,3 +184,39 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc/"), F.col("doc_id")).alias("url"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600).alias("published"),
     )
+
+
+def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider-style company record per supplier: raw sector name, shares, beta, coverage, target."""
+    raw = {
+        "AFRICA": "Energy",
+        "AMERICA": "Technology",
+        "ASIA": "Consumer Cyclical",
+        "EUROPE": " financial services",
+        "MIDDLE EAST": "Conglomerates",
+    }
+    names = F.create_map(*[x for k, v in raw.items() for x in (F.lit(k), F.lit(v))])
+    no = F.substring("symbol", 2, 20).cast("long")
+    bal = F.col("acctbal")
+    return supplier_sectors(spark, sf_dir).select(
+        "symbol",
+        "company_name",
+        names[F.col("sector")].alias("raw_sector"),
+        (F.abs(bal) * 100000).alias("shares"),
+        F.when(bal > 0, bal / 4000).alias("beta"),
+        (no % 25).cast("int").alias("analyst_count"),
+        (F.lit(0.7) + (no % 7) / 10).alias("target_mult"),
+        ((no % 5) / 100).alias("dividend_yield"),
+    )
+
+
+NEWS_NAMES = ["The", "It", "This", "From", "De", "La", "Der", "Die", "El", "Les", "Und", "Ein", "Que", "Un", "Des"]
+
+
+def news_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which word names which supplier in the news."""
+    no = F.substring("symbol", 2, 20).cast("long")
+    words = F.array(*[F.lit(w) for w in NEWS_NAMES])
+    return supplier_sectors(spark, sf_dir).select(
+        "symbol", F.get(words, (no % len(NEWS_NAMES)).cast("int")).alias("name")
+    )
