@@ -26,8 +26,8 @@ def minute(x: str) -> str:
 
 
 def bands(x: str, op: str, steps, other) -> str:
-    whens = " ".join(f"WHEN ({x}) {op} {b} THEN {float(s)}" for b, s in steps)
-    return f"(CASE {whens} ELSE {float(other)} END)"
+    whens = " ".join(f"WHEN ({x}) {op} {b} THEN {float(s)}::DOUBLE" for b, s in steps)
+    return f"(CASE {whens} ELSE {float(other)}::DOUBLE END)"
 
 
 def _ohlc(key: str, bar: str, order: str, price: str, vol: str, src: str) -> str:
