@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("bars", "indicators", "panels", "cross", "screens")
+TOPICS = ("bars", "indicators", "panels", "cross", "screens", "research", "live")
 
 
 def _modules():
