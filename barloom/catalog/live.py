@@ -95,11 +95,11 @@ lv AS (SELECT tq.*, ema50, ema200, atr, CASE WHEN price > ema200 AND price > ema
 
 @R.add(
     "live_bias",
-    f"WITH {_LB} SELECT symbol, event_id, bias, dirn, {q.r('1.5 * atr', 5)} AS risk FROM lv",
+    f"WITH {_LB} SELECT symbol, event_id, bias, dirn, {q.r('1.5 * atr')} AS risk FROM lv",
 )
 def live_bias(spark: SparkSession, d: str) -> DataFrame:
     x = K.live_bias(K.quotes(T.event_ticks(spark, d)), _hour_state(spark, d))
-    return x.select("symbol", "event_id", "bias", "dirn", shown("risk", 5).alias("risk"))
+    return x.select("symbol", "event_id", "bias", "dirn", shown("risk").alias("risk"))
 
 
 def latch_input(spark: SparkSession, d: str) -> DataFrame:

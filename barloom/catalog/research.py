@@ -479,7 +479,7 @@ _PROFILE = "CASE hour " + " ".join(f"WHEN {h} THEN {v}::DOUBLE" for h, v in t.HO
               CASE WHEN close > ema200 THEN 1 ELSE -1 END AS dirn FROM hm JOIN ce USING (symbol, pos)),
         l AS (SELECT *, close - dirn * risk AS stop, close + dirn * 2 * risk AS tp1, close + dirn * 3 * risk AS tp2, close - dirn * 0.5 * atr AS tight_stop,
               close * (0.221::DOUBLE / 100) * vol_x AS expected_move, close - dirn * risk + (close * 1.01 - close) AS stop_live FROM c)
-        SELECT symbol, {q.minute('ts')} AS ts, bias, dirn, {', '.join(f'{q.r(c, 5)} AS {c}' for c in _CARD)},
+        SELECT symbol, {q.minute('ts')} AS ts, bias, dirn, {', '.join(f'{q.r(c)} AS {c}' for c in _CARD)},
                CASE WHEN vol_x < 0.85 THEN 'Calm' WHEN vol_x <= 1.30 THEN 'Active' ELSE 'Extreme' END AS vol_state,
                concat_ws(' | ', CASE WHEN dow = 4 THEN 'friday' END, CASE WHEN hour = 17 THEN 'halt' END, CASE WHEN hour = 16 THEN 'before halt' END,
                          CASE WHEN risk <> 0 AND 2 * risk < 0.55 / 0.05 THEN 'spread share' END) AS warnings FROM l""",
@@ -490,7 +490,7 @@ def bias_cards(spark: SparkSession, d: str) -> DataFrame:
     live = P.basis_shift(card.withColumn("live_price", F.col("close") * 1.01))
     card = card.join(live.select("symbol", "ts", F.col("stop").alias("stop_live")), ["symbol", "ts"])
     return card.select(
-        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "bias", "dirn", *[shown(c, 5).alias(c) for c in _CARD], "vol_state",
+        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "bias", "dirn", *[shown(c).alias(c) for c in _CARD], "vol_state",
         F.array_join("warnings", " | ").alias("warnings"),
     )
 
