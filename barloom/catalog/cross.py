@@ -15,6 +15,7 @@ from ..operators import evaluate as E
 from ..operators import rolling as W
 from ..operators import universe as U
 from ..operators.series import plain
+from ..operators.settle import settle
 from ..plans import panels as P
 from ..sources import tables as T
 from . import sqlbits as q
@@ -101,7 +102,7 @@ _CF = ["trend", "mom", "rel_bench", "risk_adj_mom", "vol_trend"]
 )
 def cross_section_screen(spark: SparkSession, d: str) -> DataFrame:
     """Universe and proxy filters, trend features, z-scores, extremes of the last week, risk unit."""
-    bars = T.bars_li_w(spark, d)
+    bars = settle(T.bars_li_w(spark, d))
     kept = U.apply_universe(
         bars, S, "S1", "S2", min_dollar_volume=30_000.0, min_vol_pct=10.0, min_rows=120
     )

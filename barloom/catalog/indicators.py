@@ -10,7 +10,7 @@ from ..operators import asof as J
 from ..operators import ranks as K
 from ..operators import rolling as W
 from ..operators.ema import add_ema, span_alpha, wilder_alpha
-from ..operators.series import plain
+from ..operators.series import plain, segmented
 from ..sources import tables as T
 from . import sqlbits as q
 from .registry import Registry
@@ -68,23 +68,24 @@ SELECT {_sql_out(_ROLL)} FROM f"""
 @R.add("rolling_indicators", _ROLL_SQL)
 def rolling_indicators(spark: SparkSession, d: str) -> DataFrame:
     """Simple-mean indicators on weekly bars per supplier."""
-    b = W.add_moves(T.bars_li_w(spark, d), S)
-    b = W.add_rsi(b, S)
-    b = W.add_bollinger(b, S)
-    b = W.add_atr(b, S)
-    b = W.add_stochastic(b, S)
-    b = W.add_adx(b, S)
-    b = W.add_volume_ratio(b, S)
+    b, s = segmented(T.bars_li_w(spark, d), S)
+    b = W.add_moves(b, s)
+    b = W.add_rsi(b, s)
+    b = W.add_bollinger(b, s)
+    b = W.add_atr(b, s)
+    b = W.add_stochastic(b, s)
+    b = W.add_adx(b, s)
+    b = W.add_volume_ratio(b, s)
     b = b.withColumns(
         {
-            "roc5": W.roc("close", 5, S) * 100,
-            "roc20": W.roc("close", 20, S) * 100,
-            "rvol20": W.rstd("ret", 20, S),
-            "rvol30": W.rstd("ret", 30, S) * F.sqrt(F.lit(365.0)) * 100,
-            "high20": W.rmax("high", 20, S),
-            "low20": W.rmin("low", 20, S),
-            "hi52": W.rmax("high", 52, S),
-            "lo52": W.rmin("low", 52, S),
+            "roc5": W.roc("close", 5, s) * 100,
+            "roc20": W.roc("close", 20, s) * 100,
+            "rvol20": W.rstd("ret", 20, s, 1),
+            "rvol30": W.rstd("ret", 30, s, 1) * F.sqrt(F.lit(365.0)) * 100,
+            "high20": W.rmax("high", 20, s, 0),
+            "low20": W.rmin("low", 20, s, 0),
+            "hi52": W.rmax("high", 52, s, 0),
+            "lo52": W.rmin("low", 52, s, 0),
         }
     )
     b = b.withColumns(

@@ -61,7 +61,7 @@ def walk_forward(
     The result is settled: every evaluation ranks it several times.
     """
     max_h = max(horizons)
-    kept = usable(bars, warmup, max_h)
+    kept = settle(usable(settle(bars), warmup, max_h))
     cal = calendar(kept)
     dates = rebalance_dates(kept, warmup, max_h, step)
     return settle(point_in_time(panel_of(kept), s, dates, cal, warmup, horizons, step))

@@ -99,31 +99,31 @@ def rsi_of(up: Column | str, down: Column | str) -> Column:
 
 
 def add_rsi(df: DataFrame, s: Series, n: int = 14, out: str = "rsi") -> DataFrame:
-    return df.withColumn(out, rsi_of(sma("gain", n, s), sma("loss", n, s)))
+    return df.withColumn(out, rsi_of(sma("gain", n, s, 1), sma("loss", n, s, 1)))
 
 
 def add_bollinger(df: DataFrame, s: Series, n: int = 20, k: float = 2.0) -> DataFrame:
-    mid, sd = sma("close", n, s), rstd("close", n, s)
+    mid, sd = sma("close", n, s, 0), rstd("close", n, s, 0)
     return df.withColumns({"bb_mid": mid, "bb_upper": mid + k * sd, "bb_lower": mid - k * sd})
 
 
 def add_atr(df: DataFrame, s: Series, n: int = 14, out: str = "atr") -> DataFrame:
-    return df.withColumn(out, sma("tr", n, s))
+    return df.withColumn(out, sma("tr", n, s, 0))
 
 
 def add_stochastic(df: DataFrame, s: Series, k: int = 14, d: int = 3) -> DataFrame:
-    lo, hi = rmin("low", k, s), rmax("high", k, s)
+    lo, hi = rmin("low", k, s, 0), rmax("high", k, s, 0)
     df = df.withColumn("stoch_k", 100 * (F.col("close") - lo) / (hi - lo + F.lit(1e-9)))
-    return df.withColumn("stoch_d", sma("stoch_k", d, s))
+    return df.withColumn("stoch_d", sma("stoch_k", d, s, k - 1))
 
 
 def add_adx(df: DataFrame, s: Series, n: int = 14, out: str = "adx") -> DataFrame:
     """Trend strength from simple rolling means."""
-    atr = sma("tr", n, s)
+    atr = sma("tr", n, s, 0)
     df = df.withColumns(
         {
-            "_dip": 100 * ratio(sma("dm_plus", n, s), atr),
-            "_dim": 100 * ratio(sma("dm_minus", n, s), atr),
+            "_dip": 100 * ratio(sma("dm_plus", n, s, 0), atr),
+            "_dim": 100 * ratio(sma("dm_minus", n, s, 0), atr),
         }
     )
     df = df.withColumn(
@@ -134,7 +134,7 @@ def add_adx(df: DataFrame, s: Series, n: int = 14, out: str = "adx") -> DataFram
 
 
 def add_volume_ratio(df: DataFrame, s: Series, n: int = 20) -> DataFrame:
-    df = df.withColumn("avg_volume", sma("volume", n, s))
+    df = df.withColumn("avg_volume", sma("volume", n, s, 0))
     return df.withColumns(
         {
             "vol_ratio": ratio("volume", "avg_volume"),
@@ -196,8 +196,8 @@ def add_structure(df: DataFrame, s: Series, n: int = 20, k: int = 3, pivot_bar:
         {
             "_is_ph": full_window & (F.max("high").over(centred) == F.col("high")),
             "_is_pl": full_window & (F.min("low").over(centred) == F.col("low")),
-            "_hi": rmax("high", n, s),
-            "_lo": rmin("low", n, s),
+            "_hi": rmax("high", n, s, 0),
+            "_lo": rmin("low", n, s, 0),
         }
     )
     level_h = F.lag("high", k).over(o) if pivot_bar else F.col("high")

@@ -9,6 +9,7 @@ from ..functions import bear, context, fundamental, levels, technical
 from ..functions import tables as t
 from ..functions.num import money, ratio, rnd, signed
 from ..operators.cross import sector_capped_top
+from ..operators.settle import settle
 from ..operators.universe import latest_quotes
 from .panels import bear_panel, latest_rows, technical_panel, year_range
 
@@ -43,8 +44,10 @@ def long_scores(
     """Every symbol's composite score, levels, status, risk and texts.
 
     `news`: symbol, news_count, news_score, headline.  Left joins with neutral defaults, so a symbol
-    without statements or news keeps its technical score.
+    without statements or news keeps its technical score.  Bars are read by four steps, so they are
+    settled first.
     """
+    bars = settle(bars)
     tech = latest_rows(technical_panel(bars))
     tech = technical.as_reported(tech.withColumn("tech_signals", technical.signals()))
     quotes = latest_quotes(bars)
@@ -107,6 +110,7 @@ def report(ranked: DataFrame) -> DataFrame:
 
 
 def short_scores(bars: DataFrame, facts: DataFrame, bench: str) -> DataFrame:
+    bars = settle(bars)
     p = latest_rows(bear_panel(bars, bench))
     p = p.withColumns({"gate_reasons": bear.gates(), "signals": bear.signals()})
     p = p.withColumns(
