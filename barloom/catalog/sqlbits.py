@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.num import nudge
+
 
 def r(expr: str, places: int = 6) -> str:
-    """Rounded value with negative zero folded into zero."""
-    v = f"round(CAST({expr} AS DOUBLE), {places})"
+    """Rounded value with negative zero folded into zero; exact halves go up."""
+    v = f"round(CAST({expr} AS DOUBLE) + {nudge(places)!r}, {places})"
     return f"CASE WHEN {v} = 0 THEN 0.0::DOUBLE ELSE {v} END"
 
 

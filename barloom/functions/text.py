@@ -42,17 +42,18 @@ def scored(news: DataFrame) -> DataFrame:
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, symbol) for every name that stands as a whole word in the text, case-sensitive.
 
-    Words are exploded once per text and equi-joined; only names with punctuation need a regex, on
-    the (normally empty) rest of the list.
+    Words are exploded once per text and equi-joined with the first word of each name.  A name that
+    is one word is then found; only a name with punctuation has its text looked at again.
     """
-    wordy = names.where(F.col("name").rlike(f"^{WORD}$"))
-    other = names.where(~F.col("name").rlike(f"^{WORD}$"))
-    tokens = news.select("doc_id", F.explode(F.array_distinct(words(F.col("combined")))).alias("name"))
-    plain_hits = tokens.join(wordy, "name").select("doc_id", "symbol")
+    tokens = news.select("doc_id", F.explode(F.array_distinct(words(F.col("combined")))).alias("_w"))
+    keyed = names.withColumn("_w", F.regexp_extract("name", WORD, 0)).where(F.col("_w") != "")
+    found = tokens.join(keyed, "_w")
+    one_word = found.where(F.col("name") == F.col("_w")).select("doc_id", "symbol")
     # a whole word around punctuation: no word character on either outer side
     quoted = F.concat(F.lit("(?U)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
-    regex_hits = news.join(other, F.rlike("combined", quoted)).select("doc_id", "symbol")
-    return plain_hits.unionByName(regex_hits).distinct()
+    more = found.where(F.col("name") != F.col("_w")).select("doc_id", "symbol", "name")
+    punctuated = more.join(news.select("doc_id", "combined"), "doc_id").where(F.rlike("combined", quoted))
+    return one_word.unionByName(punctuated.select("doc_id", "symbol")).distinct()
 
 
 def generic_items(news: DataFrame, hits: DataFrame, k: int = t.GENERIC_ITEMS) -> DataFrame:
