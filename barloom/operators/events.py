@@ -147,7 +147,7 @@ def placebo(
     size = outcomes.groupBy(*by).agg(F.count(value).alias("_size"))
     plan = n.join(size, by).withColumn(
         "_cut",
-        # ten standard deviations above the expected count: the exact draw is inside the cut
+        # ten standard deviations above the expected count; a short draw would fail the query
         F.least(
             F.lit(1.0), (F.col("n") + 10 * F.sqrt(F.col("n").cast("double")) + 20) / F.col("_size")
         ),
@@ -163,11 +163,14 @@ def placebo(
         ),
         lambda x: x["u"] < F.col("_cut"),
     )
-    draws = draws.select(*by, value, "n", F.explode(reps_of_row).alias("_d"))
+    draws = draws.select(*by, value, "n", "_size", F.explode(reps_of_row).alias("_d"))
     w = Window.partitionBy(*by, "_d.rep").orderBy("_d.u")
     chosen = draws.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("n"))
+    due = F.least(F.max("n"), F.max("_size"))
+    short = F.raise_error(F.lit("a placebo draw came out short: raise the cut")).cast("double")
     return chosen.groupBy(*by, F.col("_d.rep").alias("rep")).agg(
-        F.count(F.lit(1)).alias("drawn"), F.avg(value).alias("mean")
+        F.count(F.lit(1)).alias("drawn"),
+        F.when(F.count(F.lit(1)) < due, short).otherwise(F.avg(value)).alias("mean"),
     )
 
 

@@ -74,3 +74,52 @@ def test_walk_forward_stop_never_uses_its_own_year(spark):
     b = research.walk_forward_stop(research.stop_trades(spark.createDataFrame(pdf), 0.2)).toPandas()
     assert a.sort_values("year")["stop_k"].tolist() == b.sort_values("year")["stop_k"].tolist()
     assert sorted(a["year"]) == [2020, 2021]
+
+
+def spaced(pos, gap):
+    out, last = [], -(10**9)
+    for p in pos:
+        if p - last >= gap:
+            out.append(p)
+            last = p
+    return out
+
+
+def test_directional_edge_equals_loop(bars):
+    from barloom.operators import rolling
+
+    b = E.numbered(rolling.add_forward_returns(rolling.add_structure(bars, S), S, (5,)), S)
+    got = E.directional_edge(b, {5: "fwd5"}).toPandas().set_index(["symbol", "setup"])
+    pdf = b.where("symbol = 'HOT'").toPandas().sort_values("pos")
+    pdf = pdf[pdf["fwd5"].notna()]
+    checked = 0
+    for name, (flag, dirn) in E.SETUPS.items():
+        ev = spaced(pdf[pdf[flag] == 1]["pos"], 5)
+        nv = spaced(pdf[pdf[flag] == 0]["pos"], 5)
+        if len(ev) < 12:
+            continue
+        f = pdf.set_index("pos")["fwd5"] * dirn
+        x, y = f.loc[ev], f.loc[nv]
+        t = (x.mean() - y.mean()) / np.sqrt(x.var() / len(x) + y.var() / len(y))
+        assert got.loc[("HOT", name), "n"] == len(ev) and np.isclose(got.loc[("HOT", name), "t"], t)
+        checked += 1
+    assert checked >= 5
+
+
+def test_feature_scan_equals_loop(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame(
+        {"symbol": "A", "ts": pd.date_range("2020", periods=n), "m_x": rng.normal(size=n), "s_f": (rng.random(n) < 0.3) * 1.0, "fwd5": rng.normal(size=n)}
+    )
+    pdf.loc[n - 5 :, "fwd5"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("fwd5", F.when(~F.isnan("fwd5"), F.col("fwd5")))
+    got = research.feature_scan(df, S, ["m_x"], ["s_f"], (5,), min_rank=50).toPandas().set_index("feature")
+    v = pdf["m_x"].to_numpy()
+    rank = np.array([np.nan if i < 50 else (v[:i] < v[i]).mean() for i in range(n)])
+    s = pdf.assign(rank=rank)[pdf["fwd5"].notna()].iloc[::5]
+    assert np.isclose(got.loc["m_x", "rho"], s["m_x"].rank().corr(s["fwd5"].rank()))
+    assert np.isclose(got.loc["m_x", "effect"], s[s["rank"] >= 0.7]["fwd5"].mean() - s[s["rank"] <= 0.3]["fwd5"].mean())
+    a, b = s[s["s_f"] == 1]["fwd5"], s[s["s_f"] == 0]["fwd5"]
+    assert got.loc["s_f", "n"] == len(a) and np.isclose(got.loc["s_f", "effect"], a.mean() - b.mean())
+    assert got.loc["m_x", "group"] == "momentum"
