@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.catalog.registry import Registry
-from barloom.llm import id_store, packing, token_counts, winnowing
+from barloom.llm import id_store, near_dup, packing, token_counts, winnowing
 from barloom.llm.common import table
 
 reg = Registry()
@@ -34,3 +34,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = id_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
     return id_store.read_all(manifest)
+
+
+@reg.add("op4_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
