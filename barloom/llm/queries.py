@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.catalog.registry import Registry
-from barloom.llm import id_store, near_dup, packing, token_counts, winnowing
+from barloom.llm import id_store, near_dup, packing, repeats, token_counts, winnowing
 from barloom.llm.common import table
 
 reg = Registry()
@@ -39,3 +39,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.add("op4_near_duplicates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@reg.add("op5_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
