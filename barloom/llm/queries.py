@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.catalog.registry import Registry
-from barloom.llm import id_store, near_dup, packing, repeats, token_counts, winnowing
+from barloom.llm import common, id_store, mixing, near_dup, neighbours, packing, quality, repeats, token_counts, toxicity, winnowing
 from barloom.llm.common import table
 
 reg = Registry()
@@ -45,3 +46,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"), length=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@reg.add("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
+@reg.add("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@reg.add("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = common.written(
+        docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), token_counts.n_tokens(F.col("text"), public_tokenizers.path(BYTE_BPE)).alias("n_tokens"))
+    )
+    columns, tokens = {m: F.col(m) for m in mixing.MARGINS}, F.col("n_tokens")
+    targets = {
+        "source": mixing.tempered(mixing.largest(counted, F.col("source"), tokens, 64), 0.5),
+        "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+        "topic": {"prose": 0.9, "table": 0.04, "code": 0.03, "legal": 0.03},
+    }
+    out, rate, kept = mixing.with_rates(counted, columns, tokens, targets, keep=0.5)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.col(rate).alias("probability"), F.col(kept).alias("kept"))
+
+
+@reg.add("op8_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

@@ -246,3 +246,29 @@ def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id
         F.sha2(raw, 256).alias("kept_sha256"), none.alias("starts"), none.alias("ends"), raw.alias("kept"),
     )
     return long.unionByName(short)
+
+
+def drop_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the repeated bytes taken out of the text; rows and other columns stay, a null text stays null.
+
+    What a cut leaves of a split code point goes too.
+    """
+    _, spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col)
+    key, tag, list_ = (common.free_name(docs, c) for c in ("key", "tag", "spans"))
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(text, spans):
+            if s is None or t is None:
+                out.append(t)
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            edges = [0, *(x for g in merged([int(v) for v in s]) for x in g), len(raw)]
+            out.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2])))
+        return pd.Series(out, dtype=object)
+
+    text = F.col(text_col).cast("string")
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias(key), F.hash(F.coalesce(text, F.lit(""))).alias(tag))
+    marks = spans.select(F.col("key").alias(key), F.col("tag").alias(tag), F.col("spans").alias(list_))
+    return keyed.join(marks, [key, tag], "left").withColumn(text_col, without(text, F.col(list_))).select(*docs.columns)

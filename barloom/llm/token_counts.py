@@ -15,6 +15,7 @@ import heapq
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,3 +119,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: s
 
     rows = common.keyed_texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def n_tokens(text, tokenizer: str):
+    """Column with the token count of a text column, by the same merging."""
+
+    @F.pandas_udf("long")
+    def count(values: pd.Series) -> pd.Series:
+        return pd.Series(counts_of([v or "" for v in values], tokenizer))
+
+    return count(F.coalesce(text, F.lit("")))
