@@ -88,18 +88,20 @@ def _hour_state(spark: SparkSession, d: str) -> DataFrame:
 
 _LB = f"""{_Q}, lb AS MATERIALIZED ({q.numbered(f'({q.EVT_H})')}), lm AS MATERIALIZED ({q.moves('lb')}),
 le AS MATERIALIZED {q.ema_rec('lm', {'ema50': ('close', span_alpha(50)), 'ema200': ('close', span_alpha(200)), 'atr': ('tr', wilder_alpha(24))})},
-lh AS (SELECT lb.symbol, lb.ts + INTERVAL 1 HOUR AS nxt, ema50, ema200, atr FROM lb JOIN le USING (symbol, pos)),
-lv AS (SELECT tq.*, ema50, ema200, atr, CASE WHEN price > ema200 AND price > ema50 THEN 'BULLISH' WHEN price < ema200 AND price < ema50 THEN 'BEARISH' ELSE 'MIXED' END AS bias,
-       CASE WHEN price > ema200 THEN 1 ELSE -1 END AS dirn FROM tq JOIN lh ON lh.symbol = tq.symbol AND lh.nxt = date_trunc('hour', tq.ts))"""
+lh AS (SELECT lb.symbol, lb.ts + INTERVAL 1 HOUR AS nxt, lb.pos, ema50, ema200, atr FROM lb JOIN le USING (symbol, pos)),
+lj AS (SELECT tq.*, pos, ema50, ema200, atr FROM (SELECT *, date_trunc('hour', ts) AS hr FROM tq) tq ASOF LEFT JOIN lh ON lh.symbol = tq.symbol AND tq.hr >= lh.nxt),
+lv AS (SELECT *, CASE WHEN pos IS NULL THEN 'no bars' WHEN pos < 210 THEN 'short history' ELSE 'ok' END AS status,
+       CASE WHEN pos < 210 OR pos IS NULL THEN NULL WHEN price > ema200 AND price > ema50 THEN 'BULLISH' WHEN price < ema200 AND price < ema50 THEN 'BEARISH' ELSE 'MIXED' END AS bias,
+       CASE WHEN pos < 210 OR pos IS NULL THEN NULL WHEN price > ema200 THEN 1 ELSE -1 END AS dirn FROM lj)"""
 
 
 @R.add(
     "live_bias",
-    f"WITH {_LB} SELECT symbol, event_id, bias, dirn, {q.r('1.5 * atr')} AS risk FROM lv",
+    f"WITH {_LB} SELECT symbol, event_id, status, bias, dirn, CASE WHEN status = 'ok' THEN {q.r('1.5 * atr')} END AS risk FROM lv",
 )
 def live_bias(spark: SparkSession, d: str) -> DataFrame:
     x = K.live_bias(K.quotes(T.event_ticks(spark, d)), _hour_state(spark, d))
-    return x.select("symbol", "event_id", "bias", "dirn", shown("risk").alias("risk"))
+    return x.select("symbol", "event_id", "status", "bias", "dirn", shown("risk").alias("risk"))
 
 
 def latch_input(spark: SparkSession, d: str) -> DataFrame:

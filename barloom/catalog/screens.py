@@ -33,7 +33,7 @@ nt AS (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || summary)
        list_distinct(regexp_extract_all(title || ' ' || summary, '{_W}')) AS cw FROM nw),
 ns AS (SELECT *, len(list_intersect(lw, {_POS})) AS p, len(list_intersect(lw, {_NEG})) AS n FROM nt),
 nz AS (SELECT *, coalesce((p - n) / NULLIF(p + n, 0)::DOUBLE, 0.0::DOUBLE) AS score FROM ns),
-nm AS (SELECT symbol, {_NAMES}[CAST(CAST(substr(symbol, 2) AS BIGINT) % {len(T.NEWS_NAMES)} AS INTEGER) + 1] AS name FROM ({q.SECTORS})),
+nm AS (SELECT symbol, coalesce({_NAMES}[CAST(substr(symbol, 2) AS INTEGER) + 1], symbol) AS name FROM ({q.SECTORS})),
 nh AS (SELECT DISTINCT doc_id, symbol FROM nz JOIN nm ON list_contains(cw, name)),
 na AS (SELECT symbol, count(*) AS news_count, avg(score) AS news_score,
        first(title ORDER BY abs(score) DESC, doc_id) AS headline FROM nh JOIN nz USING (doc_id) GROUP BY symbol)"""

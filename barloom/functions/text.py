@@ -46,6 +46,8 @@ def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     is one word is then found; only a name with punctuation has its text looked at again.
     """
     tokens = news.select("doc_id", F.explode(F.array_distinct(words(F.col("combined")))).alias("_w"))
+    # a name belongs to one symbol: two symbols of one name would double every text that has it
+    names = names.groupBy("name").agg(F.min("symbol").alias("symbol"))
     keyed = names.withColumn("_w", F.regexp_extract("name", WORD, 0)).where(F.col("_w") != "")
     found = tokens.join(keyed, "_w")
     one_word = found.where(F.col("name") == F.col("_w")).select("doc_id", "symbol")

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the shared folder of the session (spark.checkpoint.dir).
+    """Checkpoint `df` in the shared folder that the session names in spark.checkpoint.dir.
 
-    Lost executors then re-read files instead of recomputing the lineage.  A folder is made up only
-    where the session names none, as in tests.
+    Lost executors then re-read files instead of recomputing the lineage.  On a cluster a session without such a folder is
+    an error; only where driver and executors are one process (a local master) does a folder of its own stand in.  Set
+    spark.cleaner.referenceTracking.cleanCheckpoints to have the files deleted with the DataFrame.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
     return df.checkpoint()

@@ -11,15 +11,16 @@ from ..operators import rolling as W
 from ..operators.asof import asof_fill
 from ..operators.ema import add_ema, span_alpha
 from ..operators.series import Series, plain, plainly, segmented
+from ..operators.universe import complete
 
 
 def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
     """All simple and exponential inputs of the scores, plus `row_no` (1-based).
 
-    Written level by level, so that everything that can share a window operator does: row-to-row
+    Bars with a missing price are dropped first: the windows count rows.  Written level by level, so that everything that can share a window operator does: row-to-row
     moves, rolling aggregates of the moves, rolling means of those, exponential averages, lags.
     """
-    b, s = segmented(bars, s or plain())
+    b, s = segmented(complete(bars), s or plain())
     c, back = F.col, lambda x, k: F.lag(x, k).over(s.ordered())
     b = b.withColumns(
         {

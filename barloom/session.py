@@ -17,6 +17,7 @@ def session(app: str = "barloom", cpus: str | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -214,9 +214,9 @@ NEWS_NAMES = ["The", "It", "This", "From", "De", "La", "Der", "Die", "El", "Les"
 
 
 def news_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which word names which supplier in the news."""
+    """One name per supplier: a word of the news for the first ones, their own symbol for the others."""
     no = F.substring("symbol", 2, 20).cast("long")
     words = F.array(*[F.lit(w) for w in NEWS_NAMES])
     return supplier_sectors(spark, sf_dir).select(
-        "symbol", F.get(words, (no % len(NEWS_NAMES)).cast("int")).alias("name")
+        "symbol", F.coalesce(F.get(words, no.cast("int")), "symbol").alias("name")
     )

@@ -51,19 +51,24 @@ def _micros(ts) -> float:
 
 def _touched(sig: dict, price: float) -> str | None:
     """Stop before second target before first; all relative to the direction."""
-    ahead = (price - sig["entry"]) * sig["dirn"]
-    if ahead <= (sig["stop"] - sig["entry"]) * sig["dirn"]:
+    up = sig["dirn"] > 0
+    if price <= sig["stop"] if up else price >= sig["stop"]:
         return "STOPPED"
-    if ahead >= (sig["tp2"] - sig["entry"]) * sig["dirn"]:
+    if price >= sig["tp2"] if up else price <= sig["tp2"]:
         return "TP2_HIT"
-    if sig["status"] == "ACTIVE" and ahead >= (sig["tp1"] - sig["entry"]) * sig["dirn"]:
+    if sig["status"] == "ACTIVE" and (price >= sig["tp1"] if up else price <= sig["tp1"]):
         return "TP1_HIT"
     return None
 
 
 def step(live: Live, row: dict, cooldown_min: float) -> list[tuple[str, dict]]:
-    """Advance one key by one row; returns (event, signal) pairs."""
-    now, price, dirn = row["sec"], row["price"], int(row["dirn"])
+    """Advance one key by one row; returns (event, signal) pairs.
+
+    A row without a bias (too few bars yet) can touch the levels of a live signal but neither flips nor issues one.
+    """
+    now, price = row["sec"], row["price"]
+    known = isinstance(row["bias"], str)
+    dirn = int(row["dirn"]) if known else 0
     if now < live.last_ts:
         return []  # older than what the key has already seen
     live.last_ts = now
@@ -74,7 +79,7 @@ def step(live: Live, row: dict, cooldown_min: float) -> list[tuple[str, dict]]:
             live.signal = None
             out.append(("FLIPPED", {**sig, "status": "FLIPPED"}))
         return out
-    if not (price and price > 0 and row["risk"] and row["risk"] > 0):
+    if not (price and price > 0):
         return out
     if sig:
         hit = _touched(sig, price)
@@ -85,10 +90,11 @@ def step(live: Live, row: dict, cooldown_min: float) -> list[tuple[str, dict]]:
                 if hit == "STOPPED":
                     live.last_stop = [sig["dirn"], now]
                 live.signal = sig = None
-    if sig and sig["dirn"] != dirn and row["bias"] != "MIXED":
+    risky = bool(row["risk"] and row["risk"] > 0)
+    if sig and known and risky and sig["dirn"] != dirn and row["bias"] != "MIXED":
         out.append(("FLIPPED", {**sig, "status": "FLIPPED"}))
         live.signal = sig = None
-    if sig is None and row["market_open"]:
+    if sig is None and known and risky and row["market_open"]:
         stopped_here = live.last_stop and live.last_stop[0] == dirn
         if stopped_here and (now - live.last_stop[1]) / 60.0 < cooldown_min:
             return out

@@ -6,7 +6,7 @@ keeps state outside Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
@@ -72,26 +72,41 @@ def best_source(feeds: DataFrame, asof: Column, stale: int = t.STREAM_STALE_SECO
     return fit.groupBy("symbol").agg(pick.alias("_p")).select("symbol", "_p.*")
 
 
-def live_bias(quoted: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Bias of each tick against the averages of its symbol's last finished hour (stream-static join).
+HOURS_AHEAD = 24 * 14
+MIN_BARS = 210  # fixed value: bars needed before the averages count
 
-    hourly: symbol, ts, ema50, ema200, atr.  The hour before the tick's own is the last finished one.
+
+def hours_in_force(hourly: DataFrame, ahead: int = HOURS_AHEAD) -> DataFrame:
+    """Per symbol and clock hour the newest bar that was finished when the hour began, `bars_seen` bars long.
+
+    A bar holds from the end of its own hour to the end of the next bar's hour, over halts and weekends, and the last
+    one for `ahead` hours, so that an equality of hours finds the last bar that exists.
     """
-    q = quoted.withColumn("_hour", F.date_trunc("hour", "ts") - F.expr("INTERVAL 1 HOUR"))
-    h = hourly.select("symbol", F.col("ts").alias("_hour"), "ema50", "ema200", "atr")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    hour = F.expr("INTERVAL 1 HOUR")
+    until = F.coalesce(F.lead("ts").over(w), F.col("ts") + F.expr(f"INTERVAL {ahead} HOURS"))
+    held = hourly.withColumn("bars_seen", F.row_number().over(w)).withColumn("_until", until)
+    return held.withColumn("_hour", F.explode(F.sequence(F.col("ts") + hour, "_until", hour)))
+
+
+def live_bias(quoted: DataFrame, hourly: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
+    """Bias of each tick against the averages of its symbol's last finished bar (stream-static join).
+
+    hourly: symbol, ts, ema50, ema200, atr.  Every tick stays.  `status` is ok, short history (fewer than `min_bars` bars) or
+    no bars; only an ok row has a bias, a direction and a risk.
+    """
+    q = quoted.withColumn("_hour", F.date_trunc("hour", "ts"))
+    h = hours_in_force(hourly).select("symbol", "_hour", "ema50", "ema200", "atr", "bars_seen")
     over = (F.col("price") > F.col("ema200")) & (F.col("price") > F.col("ema50"))
     under = (F.col("price") < F.col("ema200")) & (F.col("price") < F.col("ema50"))
-    return (
-        q.join(h, ["symbol", "_hour"])
-        .withColumns(
-            {
-                "bias": F.when(over, "BULLISH").when(under, "BEARISH").otherwise("MIXED"),
-                "dirn": F.when(over, 1).when(under, -1).when(F.col("price") > F.col("ema200"), 1).otherwise(-1),
-                "risk": 1.5 * F.col("atr"),
-            }
-        )
-        .drop("_hour")
-    )
+    bias = F.when(over, "BULLISH").when(under, "BEARISH").otherwise("MIXED")
+    dirn = F.when(over, 1).when(under, -1).when(F.col("price") > F.col("ema200"), 1).otherwise(-1)
+    status = F.when(F.col("bars_seen").isNull(), "no bars").when(F.col("bars_seen") < min_bars, "short history").otherwise("ok")
+    out = q.join(h, ["symbol", "_hour"], "left").withColumn("status", status)
+    fine = F.col("status") == "ok"
+    return out.withColumns(
+        {"bias": F.when(fine, bias), "dirn": F.when(fine, dirn), "risk": F.when(fine, 1.5 * F.col("atr"))}
+    ).drop("_hour", "bars_seen")
 
 
 def parity_sample(quoted: DataFrame, seconds: int = 2) -> DataFrame:
