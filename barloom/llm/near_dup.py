@@ -4,9 +4,9 @@
    minima each, and the low two bits of each minimum, packed as four longs.  Texts with equal sets are one class from here on.
 2. Classes that share a band key meet.  In each bucket every class is compared with the bucket's least class: sizes, then the
    collision-corrected similarity from bit counts of the packed signatures, then the full sets.
-3. Confirmed links give components.  Buckets whose classes are not in one component yet are opened again, and every class
-   outside the bucket's largest component is compared with all classes of other components there.  So each pair of a bucket is
-   either in one component or has been compared, and no bucket is capped, while copies of one template never make all pairs.
+3. Confirmed links give components.  Buckets whose classes are not in one component yet are opened again, and links between
+   components there are found by what their classes do not share with a pivot (`_across`).  So each pair of a bucket is in one
+   component, has been compared, or cannot be similar; no bucket is capped, and copies of one template never make all pairs.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**4)**32 < 1e-10, and the signature test, set six
 standard deviations below, loses less still.
@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import common
@@ -168,6 +168,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * union).select("u", "v")
 
 
+def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket, found through differences from a pivot.
+
+    The pivot of a bucket is the least class of its largest component; A(x) are the shingles that x and the pivot do not
+    share.  x and y are similar iff their sets differ in at most D = (100 - p) / (100 + p) * (|x| + |y|) shingles, so A(x) and A(y)
+    must share t = (|A(x)| + |A(y)| - D) / 2, and t > 0 unless both are similar to the pivot, which is a link of its own.
+    With A sorted from rare to common, a pair that shares t elements has its first common one so early that t - 1 can still
+    follow on both sides; the join on elements keeps only such rows.  Many slightly different copies of one text share
+    only common elements, which come last, and so make no pairs.
+    """
+    marked = buckets.join(labels.withColumnRenamed("vertex", "digest"), "digest", "left").select(
+        "cell", "digest", F.coalesce("label", "digest").alias("label")
+    )
+    sizes = marked.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("pivot"), F.count("*").alias("parts")).where("parts > 1")
+    near = marked.join(mixed.select("cell", "pivot"), "cell").where("digest <> pivot").select("pivot", "digest", "label").distinct()
+    mine, theirs = sets.select("digest", F.col("shingles").alias("x")), sets.select(F.col("digest").alias("pivot"), F.col("shingles").alias("c"))
+    share = (100 - percent) / (100 + percent)
+    away = near.join(mine, "digest").join(theirs, "pivot").select(
+        "pivot", "digest", "label", F.size("x").alias("n"), F.size("c").alias("nc"),
+        F.concat(F.array_except("x", "c"), F.array_except("c", "x")).alias("apart"),
+    )
+    away = away.withColumn("a", F.size("apart"))
+    shared = (F.col("n") + F.col("nc") - F.col("a")) / 2
+    away = common.written(away.withColumn("linked", 100 * shared >= percent * (shared + F.col("a"))))
+    direct = away.where("linked").select(F.col("digest").alias("u"), F.col("pivot").alias("v"))
+
+    least = away.groupBy("pivot").agg(F.min("a").alias("any"), F.min(F.when(~F.col("linked"), F.col("a"))).alias("far")).where("far is not null")
+    widest = share * F.col("n") * (1 + 100 / percent)
+    other = F.when(F.col("linked"), F.col("far")).otherwise(F.col("any"))
+    must = F.greatest(F.lit(1), F.ceil((F.col("a") + other - widest) / 2 - 1e-9))
+    spread = away.join(least, "pivot").where(must <= F.col("a")).select("pivot", "digest", "label", "n", "a", must.alias("must"), F.explode("apart").alias("element"))
+    often = spread.groupBy("pivot", "element").agg(F.count("*").alias("often")).where("often > 1")
+    # elements that nobody shares come first in the order and join with nothing: only their number counts
+    common_ones = spread.join(often, ["pivot", "element"])
+    order = Window.partitionBy("pivot", "digest").orderBy(F.desc("often"), F.desc("element"))
+    placed = common_ones.withColumn("follow", F.row_number().over(order) - 1).where(F.col("follow") >= F.col("must") - 1)
+    placed = placed.join(light.select("digest", "bits", "n_shingles"), "digest")
+    x, y = placed.alias("a"), placed.alias("b")
+    differ = share * (F.col("a.n") + F.col("b.n"))
+    shared_least = (F.col("a.a") + F.col("b.a") - differ) / 2 - 1e-9
+    pairs = x.join(
+        y,
+        (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.digest") < F.col("b.digest"))
+        & (F.col("a.label") != F.col("b.label")) & (1 + F.least("a.follow", "b.follow") >= shared_least) & _alike(percent),
+    )
+    pairs = pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).distinct()
+    return direct.unionByName(_confirmed(pairs, sets, percent)).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, kept) of every document.
 
@@ -193,21 +243,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     links = common.written(_confirmed(star.select("u", "v"), sets, percent))
     labels = components(links)
 
-    marked = buckets.join(labels.withColumnRenamed("vertex", "digest"), "digest", "left").select(
-        "cell", "digest", F.coalesce("label", "digest").alias("label")
-    )
-    marked = common.written(marked)
-    sizes = marked.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    members = marked.join(mixed.select("cell", "main"), "cell").join(light, "digest")
-    outside = members.where("label <> main")
-    apart = outside.alias("a").join(
-        members.alias("b"),
-        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.label") != F.col("b.label")) & _alike(percent)
-        & ((F.col("a.digest") < F.col("b.digest")) | (F.col("b.label") == F.col("b.main"))),
-    )
-    apart = apart.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).distinct()
-    more = common.written(_confirmed(apart, sets, percent))
+    more = common.written(_across(buckets, labels, sets, light, percent))
     links = links.unionByName(more)
     # what is linked already is one vertex now: few links are left to follow
     named = labels.withColumnRenamed("vertex", "digest")
