@@ -161,9 +161,9 @@ def archive_ingest(spark: SparkSession, d: str) -> DataFrame:
         (100 + F.floor("volume") % 400).cast("int").alias("spread"),
     )
     merged = feeds.merge_pulls(b, b.where(F.dayofmonth("ts") % 2 == 0))
-    return U.spread_distribution(
-        merged.withColumn("spread_usd", feeds.points_to_dollars(F.col("spread"))), "spread_usd", 5.0
-    )
+    out = U.spread_distribution(merged.withColumn("spread_usd", feeds.points_to_dollars(F.col("spread"))), "spread_usd", 5.0)
+    names = ["median_spread", "mean_spread", "p90_spread", "p99_spread"]
+    return out.select("symbol", "n", *[shown(c).alias(c) for c in names], shown("share_of_target").alias("share_of_5"))
 
 
 _U_STATS = f"""

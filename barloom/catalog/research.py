@@ -96,6 +96,13 @@ def multiple_comparisons(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"expected_hits": shown("expected_hits"), "bonferroni_p": shown("bonferroni_p", 8)})
 
 
+@R.add("bonferroni_survivors")
+def bonferroni_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Hours whose mean return passes the corrected threshold (p-values: rows only)."""
+    b = W.add_forward_returns(hourly(spark, d), S, (1,))
+    return E.survivors(N.result_by_hour(b, "fwd1", min_n=20), "t", "n")
+
+
 @R.add(
     "market_calendar",
     f"""WITH e AS (SELECT DISTINCT {_ET} AS ts_et FROM events), h AS (SELECT ts_et, isodow(ts_et) - 1 AS dow, hour(ts_et) AS hr FROM e),
@@ -161,11 +168,27 @@ def hour_rule_record(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "weekly_hour_record",
-    f"WITH {_H}, {_trades_sql(16).replace('SELECT symbol, ts, dow', 'SELECT symbol, ts, CAST(week(ts) AS INTEGER) AS week, dow')}, {_record_sql('symbol, week')}",
+    f"WITH {_H}, {_trades_sql(16).replace('SELECT symbol, ts, dow', 'SELECT symbol, ts, CAST(isoyear(ts) AS INTEGER) AS year, CAST(week(ts) AS INTEGER) AS week, dow')}, {_record_sql('symbol, year, week')}",
 )
 def weekly_hour_record(spark: SparkSession, d: str) -> DataFrame:
-    x = N.hour_trades(hourly(spark, d), S, 16, F.lit(SPREAD)).withColumn("week", F.weekofyear("ts"))
-    return _record_out(N.record(x, S, ["symbol", "week"]), ["symbol", "week"])
+    x = N.hour_trades(hourly(spark, d), S, 16, F.lit(SPREAD))
+    x = x.withColumns({"year": F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("int"), "week": F.weekofyear("ts")})
+    return _record_out(N.record(x, S, ["symbol", "year", "week"]), ["symbol", "year", "week"])
+
+
+_HOLDOUT = 14
+
+
+@R.add(
+    "hour_rule_periods",
+    f"""WITH {_H}, {_trades_sql(16).replace('tr AS (', 'ta AS (', 1)}, tl AS (SELECT *, max(ts) OVER () AS lt FROM ta),
+        tr AS (SELECT *, 'full' AS period FROM tl UNION ALL SELECT *, CASE WHEN ts <= lt - INTERVAL {_HOLDOUT} DAY THEN 'train' ELSE 'holdout' END FROM tl
+               UNION ALL SELECT *, CAST(year(ts) AS VARCHAR) FROM tl), {_record_sql('symbol, period')}""",
+)
+def hour_rule_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The record of the hour rule for the full period, before and in the holdout (the last days), and per year."""
+    x = N.by_period(N.hour_trades(hourly(spark, d), S, 16, F.lit(SPREAD)), f"INTERVAL {_HOLDOUT} DAYS")
+    return _record_out(N.record(x, S, ["symbol", "period"]), ["symbol", "period"])
 
 
 @R.add(
@@ -423,7 +446,7 @@ def placebo_control(spark: SparkSession, d: str) -> DataFrame:
     return E.against_placebo(mine, settle(draws), ["symbol"])
 
 
-_LL = (1, 5, 15, 30)
+_LL = (1, 5, 15, 30, 60)
 
 
 @R.add(
@@ -461,10 +484,11 @@ def volatility_regimes(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "annual_drift",
-    f"SELECT symbol, {q.r('pow(last(close ORDER BY ts) / first(close ORDER BY ts), 1 / 7.0::DOUBLE) - 1')} AS cagr FROM ({q.LI_D}) GROUP BY symbol",
+    f"""SELECT symbol, {q.r('(epoch(max(ts)) - epoch(min(ts))) / (365.25::DOUBLE * 86400)')} AS years,
+        {q.r('pow(last(close ORDER BY ts) / first(close ORDER BY ts), 1 / ((epoch(max(ts)) - epoch(min(ts))) / (365.25::DOUBLE * 86400))) - 1')} AS cagr FROM ({q.LI_D}) GROUP BY symbol""",
 )
 def annual_drift(spark: SparkSession, d: str) -> DataFrame:
-    return P.drift(T.bars_li_d(spark, d), 7.0).withColumn("cagr", shown("cagr"))
+    return P.drift(T.bars_li_d(spark, d)).withColumns({"years": shown("years"), "cagr": shown("cagr")})
 
 
 _CARD = ["ema50", "ema200", "atr", "stop", "tp1", "tp2", "tight_stop", "vol_x", "expected_move", "chg_24", "stop_live"]
@@ -475,11 +499,12 @@ _PROFILE = "CASE hour " + " ".join(f"WHEN {h} THEN {v}::DOUBLE" for h, v in t.HO
     "bias_cards",
     f"""WITH {_H}, ce AS MATERIALIZED {q.ema_rec('hm', {'ema50': ('close', span_alpha(50)), 'ema200': ('close', span_alpha(200)), 'atr': ('tr', wilder_alpha(24))})},
         c AS (SELECT hm.*, ema50, ema200, atr, 1.5 * atr AS risk, {_PROFILE} AS vol_x, close / NULLIF(lag(close, 24) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS chg_24,
-              CASE WHEN close > ema200 AND close > ema50 THEN 'BULLISH' WHEN close < ema200 AND close < ema50 THEN 'BEARISH' ELSE 'MIXED' END AS bias,
-              CASE WHEN close > ema200 THEN 1 ELSE -1 END AS dirn FROM hm JOIN ce USING (symbol, pos)),
+              CASE WHEN pos >= 210 THEN 'ok' ELSE 'short history' END AS status,
+              CASE WHEN pos < 210 THEN NULL WHEN close > ema200 AND close > ema50 THEN 'BULLISH' WHEN close < ema200 AND close < ema50 THEN 'BEARISH' ELSE 'MIXED' END AS bias,
+              CASE WHEN pos < 210 THEN NULL WHEN close > ema200 THEN 1 ELSE -1 END AS dirn FROM hm JOIN ce USING (symbol, pos)),
         l AS (SELECT *, close - dirn * risk AS stop, close + dirn * 2 * risk AS tp1, close + dirn * 3 * risk AS tp2, close - dirn * 0.5 * atr AS tight_stop,
               close * (0.221::DOUBLE / 100) * vol_x AS expected_move, close - dirn * risk + (close * 1.01 - close) AS stop_live FROM c)
-        SELECT symbol, {q.minute('ts')} AS ts, bias, dirn, {', '.join(f'{q.r(c)} AS {c}' for c in _CARD)},
+        SELECT symbol, {q.minute('ts')} AS ts, status, bias, dirn, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN {q.r(c)} END AS {c}' for c in _CARD)},
                CASE WHEN vol_x < 0.85 THEN 'Calm' WHEN vol_x <= 1.30 THEN 'Active' ELSE 'Extreme' END AS vol_state,
                concat_ws(' | ', CASE WHEN dow = 4 THEN 'friday' END, CASE WHEN hour = 17 THEN 'halt' END, CASE WHEN hour = 16 THEN 'before halt' END,
                          CASE WHEN risk <> 0 AND 2 * risk < 0.55 / 0.05 THEN 'spread share' END) AS warnings FROM l""",
@@ -490,7 +515,7 @@ def bias_cards(spark: SparkSession, d: str) -> DataFrame:
     live = P.basis_shift(card.withColumn("live_price", F.col("close") * 1.01))
     card = card.join(live.select("symbol", "ts", F.col("stop").alias("stop_live")), ["symbol", "ts"])
     return card.select(
-        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "bias", "dirn", *[shown(c).alias(c) for c in _CARD], "vol_state",
+        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "status", "bias", "dirn", *[shown(c).alias(c) for c in _CARD], "vol_state",
         F.array_join("warnings", " | ").alias("warnings"),
     )
 

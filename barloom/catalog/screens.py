@@ -209,7 +209,7 @@ def _above(limit: str, *xs: str) -> str:
 
 LONG_CTES = f"""{ts.panel_ctes()}, {ts.tech_ctes()}, {FUND_CTES}, {NEWS_CTES},
 yr AS (SELECT symbol, max(high) AS h52, min(low) AS l52 FROM
-       (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM pb) WHERE rn <= 252 GROUP BY symbol),
+       (SELECT *, max(ts) OVER (PARTITION BY symbol) AS lt FROM pb) WHERE ts > lt - INTERVAL 364 DAY GROUP BY symbol),
 la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM ps) WHERE rn = 1),
 lb AS (SELECT la.symbol, la.volume, la.avg_volume, tech_score, {', '.join(f'{q.rnd("la." + c if c != "atr_pct" else c, p)} AS {c}' for c, p in _REP.items())},
   scalp, day, swing, invest, {ts.TECH_SIGNALS.replace('close', 'la.close').replace('volume', 'la.volume').replace('avg_la.volume', 'la.avg_volume')} AS tech_signals,

@@ -79,10 +79,25 @@ def money(c: Column | str, places: int = 2) -> Column:
 
 
 def signed(c: Column | str, places: int = 1) -> Column:
-    return F.format_string(f"%+.{places}f", col(c))
+    return F.format_string(f"%+.{places}f", printed(c, places))
 
 
 def rnd(c: Column | str, places: int) -> Column:
     """Half-up rounding by plain arithmetic, for values that later steps compute with."""
     k = F.lit(10.0**places)
     return F.floor(col(c) * k + F.lit(0.5)) / k
+
+
+def printed(c: Column | str, places: int = 1) -> Column:
+    """Rounded as a printed number is: by the exact binary value, exact halves to even (3.55 is a little less than it looks).
+
+    The number is split into two halves whose products with the power of ten are exact.
+    """
+    x, k = col(c), F.lit(10.0**places)
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    p, q = high * k, (x - high) * k
+    base = F.floor(p + q).cast("double")
+    over = (p - base) - F.lit(0.5) + q
+    up = (over > 0) | ((over == 0) & (F.pmod(base, F.lit(2.0)) == 1))
+    return (base + F.when(up, 1.0).otherwise(0.0)) / k

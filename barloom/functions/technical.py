@@ -49,8 +49,8 @@ def toward(x: Column, cap: float, per: float) -> Column:
     return F.when(x > 0, size).otherwise(-size)
 
 
-def with_defaults(df: DataFrame) -> DataFrame:
-    """The neutral value of every indicator that has no full window yet."""
+def with_defaults(df: DataFrame, short: Column | None = None) -> DataFrame:
+    """The neutral value of every indicator that has no full window yet, or wherever `short` holds."""
     px = F.col("close")
     neutral = {
         "rsi": F.lit(50.0), "macd": F.lit(0.0), "macd_hist": F.lit(0.0), "prev_hist": F.lit(0.0),
@@ -58,7 +58,8 @@ def with_defaults(df: DataFrame) -> DataFrame:
         "atr": F.lit(0.0), "stoch_k": F.lit(50.0), "stoch_d": F.lit(50.0), "adx": F.lit(20.0),
         "avg_volume": F.col("volume"), "roc5": F.lit(0.0), "roc20": F.lit(0.0),
     }
-    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in neutral.items()})
+    known = (lambda c: F.col(c)) if short is None else (lambda c: F.when(~short, F.col(c)))
+    return df.withColumns({c: F.coalesce(known(c), v) for c, v in neutral.items()})
 
 
 def add_scores(df: DataFrame) -> DataFrame:

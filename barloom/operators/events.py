@@ -200,3 +200,13 @@ def multiple_tests(results: DataFrame, t: str, alpha: float = 0.05, raw_t: float
         (F.count(t) * alpha).alias("expected_hits"),
         st.bonferroni(F.count(t), alpha).alias("bonferroni_p"),
     )
+
+
+def survivors(results: DataFrame, t: str, n: str, alpha: float = 0.05) -> DataFrame:
+    """The rows whose two-sided p-value passes the threshold corrected for the number of tests, smallest first.
+
+    results holds one row per test; its count is a one-row aggregate, and p is computed per test, never per data row.
+    """
+    total = F.broadcast(results.agg(st.bonferroni(F.count(t), alpha).alias("bonferroni_p")))
+    tested = results.withColumn("p", st.t_pvalue(t, (F.col(n) - 1).cast("double")))
+    return tested.crossJoin(total).where(F.col("p") < F.col("bonferroni_p")).orderBy("p")

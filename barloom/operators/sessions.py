@@ -156,6 +156,17 @@ def record(trades: DataFrame, s: Series, by: list[str], net: str = "net") -> Dat
     )
 
 
+def by_period(trades: DataFrame, holdout: str, ts: str = "ts") -> DataFrame:
+    """Every trade once for the full period, once for train or holdout, once for its calendar year (`period`).
+
+    The holdout is the interval up to the newest trade of all.
+    """
+    last = F.broadcast(trades.agg(F.max(ts).alias("_last")))
+    late = F.when(F.col(ts) <= F.col("_last") - F.expr(holdout), "train").otherwise("holdout")
+    periods = F.explode(F.array(F.lit("full"), late, F.year(ts).cast("string")))
+    return trades.crossJoin(last).withColumn("period", periods).drop("_last")
+
+
 def overnight_split(trades: DataFrame, cost: float) -> DataFrame:
     """Gap and bar parts of the trades for all days, Fridays and the other days in one pass."""
     df = trades.withColumns({"friday": F.col("dow") == 4, "total_net": F.col("gross") - cost})

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import ratio, shown
+from ..functions.num import ratio
 from ..functions.stats import pearson
 from .rolling import roc
 from .series import Series
@@ -163,14 +163,14 @@ def not_scored(asked: DataFrame, scored: DataFrame, n: int) -> DataFrame:
 
 
 def spread_distribution(ticks: DataFrame, spread: str, target: float) -> DataFrame:
-    """Exact spread percentiles per symbol, and the share of a target the median spread takes."""
-    ok = ticks.where(F.col(spread) > 0)
-    med = F.percentile(spread, F.lit(0.5))
-    return ok.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"),
-        shown(med).alias("median_spread"),
-        shown(F.avg(spread)).alias("mean_spread"),
-        shown(F.percentile(spread, F.lit(0.9))).alias("p90_spread"),
-        shown(F.percentile(spread, F.lit(0.99))).alias("p99_spread"),
-        shown(med / F.lit(float(target)) * 100).alias("share_of_5"),
+    """Exact spread percentiles per symbol, and the share of a target the median spread takes.
+
+    Spreads are counted per value first, so the percentile of a symbol holds as many values as the tick grid has, never ticks.
+    """
+    counted = ticks.where(F.col(spread) > 0).groupBy("symbol", F.col(spread).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    at = lambda p: F.percentile("_v", F.lit(p), F.col("_k"))
+    out = counted.groupBy("symbol").agg(
+        F.sum("_k").alias("n"), at(0.5).alias("median_spread"), (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean_spread"),
+        at(0.9).alias("p90_spread"), at(0.99).alias("p99_spread"),
     )
+    return out.withColumn("share_of_target", F.col("median_spread") / F.lit(float(target)) * 100)

@@ -102,11 +102,33 @@ def bear_panel(bars: DataFrame, bench: str, s: Series | None = None, min_rows: i
     return bear.add_scores(p)
 
 
-def year_range(bars: DataFrame, n: int = 252) -> DataFrame:
-    """High and low of the last n bars per symbol; the rank filter runs below the shuffle."""
-    w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-    last = bars.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return last.groupBy("symbol").agg(F.max("high").alias("hi52"), F.min("low").alias("lo52"))
+def newest_scores(bars: DataFrame, s: Series | None = None, min_rows: int = technical.MIN_ROWS) -> DataFrame:
+    """Scores of the newest bar of every symbol; fewer than `min_rows` bars give the neutral score and `short_history`.
+
+    The newest rows are cut out right after the windows, so scores are computed once per symbol.
+    """
+    p = latest_rows(indicator_panel(bars, s))
+    short = F.col("row_no") < min_rows
+    p = technical.add_scores(technical.with_defaults(p, short))
+    return p.withColumns({"short_history": short, "tech_score": F.when(short, 50.0).otherwise(F.col("tech_score"))})
+
+
+def newest_bear_scores(bars: DataFrame, bench: str, s: Series | None = None, min_rows: int = bear.MIN_ROWS) -> DataFrame:
+    """The bearish side of `newest_scores`."""
+    s = s or plain()
+    b = asof_fill(bars, s, bars.where(F.col("symbol") == bench), "close", out="bench_close")
+    b = b.withColumn("bench_roc60", W.roc("bench_close", 60, s) * 100)
+    p = latest_rows(indicator_panel(b, s))
+    short = F.col("row_no") < min_rows
+    p = bear.add_scores(technical.with_defaults(p, short))
+    return p.withColumns({"short_history": short, "bear_score": F.when(short, 50.0).otherwise(F.col("bear_score"))})
+
+
+def year_range(bars: DataFrame, days: int = 364) -> DataFrame:
+    """High and low of the bars of the 52 weeks up to the last bar of each symbol, whatever the width of a bar."""
+    last = F.max("ts").over(Window.partitionBy("symbol"))
+    year = bars.withColumn("_last", last).where(F.col("ts") > F.col("_last") - F.expr(f"INTERVAL {days} DAYS"))
+    return year.groupBy("symbol").agg(F.max("high").alias("hi52"), F.min("low").alias("lo52"))
 
 
 def latest_rows(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:

@@ -205,7 +205,10 @@ def lead_lag(bars: DataFrame, s: Series, lags: tuple[int, ...], spread: float, m
     )
     out = out.where(F.col("n") >= min_n).join(price, "symbol")
     usd = F.abs(F.col("corr") * F.col("_sf")) * F.col("_px")
-    return out.withColumns({"edge_usd": usd, "vs_spread": usd / spread}).drop("_sf", "_px")
+    out = out.withColumns({"edge_usd": usd, "vs_spread": usd / spread, "p": st.t_pvalue("t", (F.col("n") - 2).cast("double"))})
+    # fixed values: the limits and texts of the verdict
+    verdict = F.when(F.col("p") >= 0.01, "no signal").when(F.col("vs_spread") > 1.5, "TRADEABLE").otherwise("too small vs spread")
+    return out.withColumn("verdict", verdict).drop("_sf", "_px")
 
 
 def volatility_regimes(bars: DataFrame, s: Series, n: int, min_obs: int, look: int, fwd: int, vol: int, min_n: int) -> DataFrame:
@@ -228,10 +231,11 @@ def volatility_regimes(bars: DataFrame, s: Series, n: int, min_obs: int, look: i
     )
 
 
-def bias_card(bars: DataFrame, s: Series, spread: float = t.SPREAD_MEDIAN) -> DataFrame:
+def bias_card(bars: DataFrame, s: Series, spread: float = t.SPREAD_MEDIAN, min_bars: int = 210) -> DataFrame:
     """Per bar: bias from price against EMA50 and EMA200, levels from 1.5 ATR, and warnings.
 
-    Needs hour and dow (exchange time).
+    Needs hour and dow (exchange time).  Bars before the `min_bars`-th of a symbol keep their row with the status
+    "short history" and without a bias, a direction or levels.
     """
     b = add_ema(
         bars.withColumn("_tr", W.true_range(s)),
@@ -240,10 +244,12 @@ def bias_card(bars: DataFrame, s: Series, spread: float = t.SPREAD_MEDIAN) -> Da
     )
     c, px = F.col, F.col("close")
     over, under = (px > c("ema200")) & (px > c("ema50")), (px < c("ema200")) & (px < c("ema50"))
+    enough = F.row_number().over(s.ordered()) >= min_bars
     b = b.withColumns(
         {
-            "bias": F.when(over, "BULLISH").when(under, "BEARISH").otherwise("MIXED"),
-            "dirn": F.when(over, 1).when(under, -1).when(px > c("ema200"), 1).otherwise(-1),
+            "status": F.when(enough, "ok").otherwise("short history"),
+            "bias": F.when(enough, F.when(over, "BULLISH").when(under, "BEARISH").otherwise("MIXED")),
+            "dirn": F.when(enough, F.when(over, 1).when(under, -1).when(px > c("ema200"), 1).otherwise(-1)),
             "risk": 1.5 * c("atr"),
         }
     )
@@ -276,10 +282,11 @@ def basis_shift(card: DataFrame, live: str = "live_price") -> DataFrame:
     ).withColumn("basis_shift", by)
 
 
-def drift(bars: DataFrame, years: float) -> DataFrame:
-    """Annualised growth from the first to the last close of each symbol."""
-    ends = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("_a"), F.max_by("close", "ts").alias("_b"))
-    return ends.select("symbol", (F.pow(ratio("_b", "_a"), F.lit(1.0 / years)) - 1).alias("cagr"))
+def drift(bars: DataFrame) -> DataFrame:
+    """Annualised growth from the first to the last close of each symbol over the years its bars span."""
+    years = (F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / (365.25 * 86400)
+    ends = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("_a"), F.max_by("close", "ts").alias("_b"), years.alias("years"))
+    return ends.select("symbol", "years", (F.pow(ratio("_b", "_a"), ratio(F.lit(1.0), "years")) - 1).alias("cagr"))
 
 
 def sign_stability(train: DataFrame, holdout: DataFrame, by: list[str]) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bear, context, fundamental, levels, technical
 from ..functions import tables as t
-from ..functions.num import money, ratio, rnd, signed
+from ..functions.num import money, printed, ratio, rnd, signed
 from ..operators.cross import sector_capped_top
 from ..operators.settle import settle
 from ..operators.universe import latest_quotes
-from .panels import bear_panel, latest_rows, technical_panel, year_range
+from .panels import newest_bear_scores, newest_scores, year_range
 
 
 def sector_returns(quotes: DataFrame, proxies: dict[str, str]) -> DataFrame:
@@ -48,8 +48,10 @@ def long_scores(
     settled first.
     """
     bars = settle(bars)
-    tech = latest_rows(technical_panel(bars))
-    tech = technical.as_reported(tech.withColumn("tech_signals", technical.signals()))
+    tech = newest_scores(bars)
+    # fixed value: the text of a name without enough bars
+    texts = F.when(F.col("short_history"), F.array(F.lit("Insufficient data"))).otherwise(technical.signals())
+    tech = technical.as_reported(tech.withColumn("tech_signals", texts))
     quotes = latest_quotes(bars)
     fund = fundamentals(statements, facts, quotes.select("symbol", "price"))
     df = (
@@ -92,7 +94,7 @@ def report(ranked: DataFrame) -> DataFrame:
         F.substring("company_name", 1, 25).alias("name"),
         money("price").alias("price"),
         F.concat(signed("change_pct", 2), F.lit("%")).alias("change"),
-        F.format_string("%.1f", "total").alias("score"),
+        F.format_string("%.1f", printed("total")).alias("score"),
         "grade",
         F.array_join("timeframes", " | ").alias("timeframes"),
         "status",
@@ -103,7 +105,7 @@ def report(ranked: DataFrame) -> DataFrame:
         money("stop").alias("stop"),
         money("target_1").alias("t1"),
         money("target_2").alias("t2"),
-        F.concat(F.format_string("%.1f", "risk_reward"), F.lit("x")).alias("rr"),
+        F.concat(F.format_string("%.1f", printed("risk_reward")), F.lit("x")).alias("rr"),
         *[F.bround(f"{k}_score").cast("int").alias(k) for k in t.TOTAL_WEIGHTS],
         F.array_join("signals", " | ").alias("signals"),
     )
@@ -111,8 +113,11 @@ def report(ranked: DataFrame) -> DataFrame:
 
 def short_scores(bars: DataFrame, facts: DataFrame, bench: str) -> DataFrame:
     bars = settle(bars)
-    p = latest_rows(bear_panel(bars, bench))
-    p = p.withColumns({"gate_reasons": bear.gates(), "signals": bear.signals()})
+    p = newest_bear_scores(bars, bench)
+    short = F.col("short_history")
+    # fixed value: the reason of a name without enough bars
+    gates = F.when(short, F.array(F.lit("insufficient history"))).otherwise(bear.gates())
+    p = p.withColumns({"gate_reasons": gates, "signals": F.when(short, F.array().cast("array<string>")).otherwise(bear.signals())})
     p = p.withColumns(
         {"tradeable": F.size("gate_reasons") == 0, "atr_pct": F.coalesce(ratio("atr", "close") * 100, F.lit(0.0))}
     )

@@ -121,8 +121,11 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def merge_pulls(*pulls: DataFrame) -> DataFrame:
-    """Overlapping chunk pulls -> one row per (symbol, ts)."""
-    return union_panels(*pulls).dropDuplicates(["symbol", "ts"])
+    """Overlapping chunk pulls -> one row per (symbol, ts): that of the earliest pull, in the order given."""
+    numbered = union_panels(*[p.withColumn("_pull", F.lit(i)) for i, p in enumerate(pulls)])
+    rest = [c for c in numbered.columns if c not in ("symbol", "ts", "_pull")]
+    first = numbered.groupBy("symbol", "ts").agg(F.min_by(F.struct(*rest), F.struct("_pull", *rest)).alias("_row"))
+    return first.select("symbol", "ts", "_row.*")
 
 
 # ── sinks ────────────────────────────────────────────────────────────────────
