@@ -37,6 +37,14 @@ def fundamentals(statements: DataFrame, facts: DataFrame, prices: DataFrame) ->
     return fundamental.add_scores(fundamental.add_ratios(f))
 
 
+def with_quote(newest: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Price and change of the newest rows; a symbol with a single bar has its close and no change."""
+    q = quotes.select("symbol", "price", "change_pct")
+    return newest.join(q, "symbol", "left").withColumns(
+        {"price": F.coalesce("price", "close"), "change_pct": F.coalesce("change_pct", F.lit(0.0))}
+    )
+
+
 def long_scores(
     bars: DataFrame, statements: DataFrame, facts: DataFrame, news: DataFrame, proxies: dict[str, str],
     flags: dict[str, bool] | None = None,
@@ -55,7 +63,7 @@ def long_scores(
     quotes = latest_quotes(bars)
     fund = fundamentals(statements, facts, quotes.select("symbol", "price"))
     df = (
-        tech.join(quotes.select("symbol", "price", "change_pct"), "symbol")
+        with_quote(tech, quotes)
         .join(fund.drop("price"), "symbol", "left")
         .join(year_range(bars), "symbol", "left")
         .join(news, "symbol", "left")
@@ -124,8 +132,7 @@ def short_scores(bars: DataFrame, facts: DataFrame, bench: str) -> DataFrame:
     p = technical.as_reported(p).withColumns(
         {"dollar_volume": rnd("dollar_volume", 0), "rel_strength": rnd("rel_strength", 2)}
     )
-    quotes = latest_quotes(bars).select("symbol", "price", "change_pct")
-    df = p.join(quotes, "symbol").join(
+    df = with_quote(p, latest_quotes(bars)).join(
         facts.select(
             "symbol", "company_name", "beta", context.normalise_sector(F.col("raw_sector")).alias("sector")
         ),
