@@ -1,8 +1,8 @@
 """Cross-sectional operators: z-scores, ranks, quintiles, rank IC and decile edges per date.
 
-A date can hold any share of the rows, so nothing here windows over a whole date.  Means and
-deviations are aggregates joined back; ranks come from counts of distinct values per coarse value
-bucket (ties collapse map-side), prefix-summed in two steps.
+A date can hold any share of the rows.  Means and deviations are aggregates joined back.  Ranks window over a date only if every
+date fits a task (LARGE_GROUP rows, counted first); else they come from counts of distinct values per coarse value bucket
+(ties collapse map-side), prefix-summed in two steps.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from ..functions.num import clamp, non_null_mean, ratio
 from ..functions.stats import pearson
 
 RUN = (Window.unboundedPreceding, -1)
+#: Rows of a group that one task may sort.
+LARGE_GROUP = 200_000
 
 
 def zscores(
@@ -61,11 +63,24 @@ def _starts(df: DataFrame, by: list[str], value: str, extra: list[str], resoluti
     )
 
 
+def has_large(df: DataFrame, by: list[str], limit: int = LARGE_GROUP) -> bool:
+    """Whether any group is too large to be sorted in one task (counts combine map-side)."""
+    return not df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty()
+
+
 def average_rank(
-    df: DataFrame, by: list[str], value: str, out: str, resolution: float = 16.0
+    df: DataFrame, by: list[str], value: str, out: str, resolution: float = 16.0, large: bool | None = None
 ) -> DataFrame:
-    """1-based rank with ties averaged; rows with a NULL value are dropped."""
+    """1-based rank with ties averaged; rows with a NULL value are dropped.
+
+    Groups that fit a task are ranked by one window.  If a group is large (looked up unless the caller knows), ranks come from
+    counts of distinct values per value bucket instead, with the same result.
+    """
     df = df.where(F.col(value).isNotNull())
+    if not (has_large(df, by) if large is None else large):
+        w = Window.partitionBy(*by).orderBy(value)
+        ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        return df.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
     starts = _starts(df, by, value, [], resolution)
     return (
         df.join(starts, [*by, value])
@@ -82,9 +97,14 @@ def ordinal_rank(
     out: str = "r",
     descending: bool = False,
     resolution: float = 16.0,
+    large: bool | None = None,
 ) -> DataFrame:
-    """1-based rank with ties in order of `tie`; equal values split further by the start of `tie`."""
-    df = df.where(F.col(value).isNotNull()).withColumns(
+    """1-based rank with ties in order of `tie`; in large groups equal values split further by the start of `tie`."""
+    df = df.where(F.col(value).isNotNull())
+    if not (has_large(df, by) if large is None else large):
+        first = F.col(value).desc() if descending else F.col(value).asc()
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(first, F.col(tie).cast("string"))))
+    df = df.withColumns(
         {
             "_v": -F.col(value) if descending else F.col(value),
             "_tp": F.substring(F.col(tie).cast("string"), 1, 4),
@@ -101,6 +121,7 @@ def ordinal_rank(
 
 
 def with_count(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """Rows of its group next to every row; nothing is sorted, and counts combine map-side."""
     return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(out)), by)
 
 
@@ -126,9 +147,14 @@ def decile_edges(
 ) -> DataFrame:
     """Per group: mean forward return of top and bottom decile and of all, edge and spread."""
     df = df.where(F.col(score).isNotNull() & F.col(fwd).isNotNull())
-    df = ordinal_rank(df, by, score, tie, "_hi", descending=True)
-    df = ordinal_rank(df, by, score, tie, "_lo")
-    df = with_count(df, by, "_n").where(F.col("_n") >= min_n)
+    large = has_large(df, by)
+    df = ordinal_rank(df, by, score, tie, "_hi", descending=True, large=large)
+    df = ordinal_rank(df, by, score, tie, "_lo", large=large)
+    if large:
+        df = with_count(df, by, "_n")
+    else:
+        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    df = df.where(F.col("_n") >= min_n)
     k = decile_size(F.col("_n"))
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -153,8 +179,9 @@ def rank_ic(
     """Spearman correlation per group, for groups with enough rows and distinct values."""
     df = df.where(F.col(feature).isNotNull() & F.col(fwd).isNotNull())
     df = df.select(*by, feature, fwd)
-    df = average_rank(df, by, feature, "_rx", resolution)
-    df = average_rank(df, by, fwd, "_ry", resolution * 64)
+    large = has_large(df, by)
+    df = average_rank(df, by, feature, "_rx", resolution, large)
+    df = average_rank(df, by, fwd, "_ry", resolution * 64, large)
     return (
         df.groupBy(*by)
         .agg(

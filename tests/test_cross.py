@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -20,18 +21,20 @@ def frame(seed=0, dates=4, n=60):
     return pd.DataFrame(rows, columns=["date", "symbol", "score", "fwd"])
 
 
-def test_average_rank_with_many_ties(spark):
+@pytest.mark.parametrize("large", [None, True, False])
+def test_average_rank_with_many_ties(spark, large):
     pdf = frame()
-    got = cross.average_rank(spark.createDataFrame(pdf), ["date"], "score", "r").toPandas()
+    got = cross.average_rank(spark.createDataFrame(pdf), ["date"], "score", "r", large=large).toPandas()
     want = pdf.assign(r=pdf.groupby("date")["score"].rank())
     m = got.merge(want, on=["date", "symbol"])
     assert len(m) == len(pdf) and np.allclose(m["r_x"], m["r_y"])
 
 
-def test_ordinal_rank_both_ways(spark):
+@pytest.mark.parametrize("large", [None, True, False])
+def test_ordinal_rank_both_ways(spark, large):
     pdf = frame(1)
     for desc in (False, True):
-        got = cross.ordinal_rank(spark.createDataFrame(pdf), ["date"], "score", "symbol", descending=desc).toPandas()
+        got = cross.ordinal_rank(spark.createDataFrame(pdf), ["date"], "score", "symbol", descending=desc, large=large).toPandas()
         want = pdf.sort_values(["score", "symbol"], ascending=[not desc, True])
         want = want.assign(w=want.groupby("date").cumcount() + 1)
         m = got.merge(want, on=["date", "symbol"])
