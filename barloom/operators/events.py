@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,14 +58,23 @@ def de_overlap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos") -> Da
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, 0
         for pdf in batches:
-            chosen = []
-            for row_key, p in zip(zip(*[pdf[k] for k in group]), pdf[pos]):
-                if row_key != key or p - last >= gap:
-                    chosen.append(True)
-                    key, last = row_key, p
-                else:
-                    chosen.append(False)
-            yield pdf[pd.Series(chosen, index=pdf.index, dtype=bool)]
+            at = pdf[pos].to_numpy()
+            new = np.zeros(len(pdf), bool)
+            for k in group:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+            chosen = np.zeros(len(pdf), bool)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                mine = tuple(pdf[k].iloc[lo] for k in group)
+                i = lo if mine != key else lo + int(np.searchsorted(at[lo:hi], last + gap))
+                while i < hi:  # one search per kept row
+                    chosen[i], last = True, at[i]
+                    i = lo + int(np.searchsorted(at[lo:hi], last + gap))
+                key = mine
+            yield pdf[chosen]
 
     return df.mapInPandas(keep, df.schema).drop("_run")
 

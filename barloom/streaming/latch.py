@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -112,10 +113,70 @@ def step(live: Live, row: dict, cooldown_min: float) -> list[tuple[str, dict]]:
     return out
 
 
-def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
-    for r in pdf.to_dict("records"):
-        r["sec"] = _micros(r["ts"])
-        yield r
+class Batch:
+    """The columns of sorted rows as arrays, and the search for the next row that can change the state of a key."""
+
+    LOOK = 4096  # rows looked at in one go
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.pdf = pdf
+        self.key = pdf["key"].to_numpy()
+        self.sec = pd.to_datetime(pdf["ts"]).to_numpy("datetime64[us]").astype(np.int64) / 1e6
+        self.price = pdf["price"].to_numpy(float)
+        self.priced = self.price > 0
+        self.known = np.array([isinstance(x, str) for x in pdf["bias"]], bool)
+        self.dirn = np.where(self.known, pdf["dirn"].to_numpy(float), 0.0)
+        self.firm = self.known & (pdf["risk"].to_numpy(float) > 0)
+        self.mixed = (pdf["bias"] == "MIXED").to_numpy()
+        self.open = pdf["market_open"].fillna(False).to_numpy(bool)
+        self.close = (pdf["control"] == "CLOSE").to_numpy() if "control" in pdf else np.zeros(len(pdf), bool)
+
+    def row(self, i: int) -> dict:
+        return self.pdf.iloc[i].to_dict() | {"sec": float(self.sec[i])}
+
+    def _may_act(self, live: Live, part: slice, cooldown_min: float) -> np.ndarray:
+        price, dirn, sig = self.price[part], self.dirn[part], live.signal
+        if sig:
+            up = sig["dirn"] > 0
+            touch = (price <= sig["stop"]) | (price >= sig["tp2"]) if up else (price >= sig["stop"]) | (price <= sig["tp2"])
+            if sig["status"] == "ACTIVE":
+                touch |= price >= sig["tp1"] if up else price <= sig["tp1"]
+            flip = self.firm[part] & ~self.mixed[part] & (dirn != sig["dirn"])
+            return self.close[part] | (self.priced[part] & (touch | flip))
+        able = self.priced[part] & self.firm[part] & self.open[part] & ~self.close[part]
+        if live.last_stop:
+            able &= ~((dirn == live.last_stop[0]) & ((self.sec[part] - live.last_stop[1]) / 60.0 < cooldown_min))
+        return able
+
+    def next_act(self, live: Live, lo: int, hi: int, cooldown_min: float) -> int:
+        """First row in [lo, hi) that can act, or hi; the quiet rows before it only move the best and worst of the signal."""
+        at = lo
+        while at < hi:
+            part = slice(at, min(hi, at + self.LOOK))
+            hits = np.flatnonzero(self._may_act(live, part, cooldown_min))
+            end = at + int(hits[0]) if len(hits) else part.stop
+            sig, seen = live.signal, self.priced[at:end]
+            if sig and seen.any():
+                move = (self.price[at:end][seen] - sig["entry"]) * sig["dirn"]
+                sig["mfe"], sig["mae"] = fit(max(sig["mfe"], float(move.max()))), fit(min(sig["mae"], float(move.min())))
+            if end > at:
+                live.last_ts = float(self.sec[end - 1])
+            if len(hits):
+                return end
+            at = end
+        return hi
+
+
+def advance(live: Live, batch: Batch, lo: int, hi: int, cooldown_min: float) -> list[dict]:
+    """Events of rows [lo, hi) of one key, sorted by time: Python sees the rows that act, numpy the quiet ones between them."""
+    found = []
+    while lo < hi and batch.sec[lo] < live.last_ts:
+        lo += 1  # older than what the key has already seen
+    while (i := batch.next_act(live, lo, hi, cooldown_min)) < hi:
+        row = batch.row(i)
+        found += [_event(row["key"], row, e, sig) for e, sig in step(live, row, cooldown_min)]
+        lo = i + 1
+    return found
 
 
 def _event(key: str, row: dict, event: str, sig: dict) -> dict:
@@ -130,18 +191,21 @@ COLUMNS = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
 
 
 def latch_batch(rows: DataFrame, cooldown_min: float = t.STOP_COOLDOWN_MIN) -> DataFrame:
-    """Replay a history.  Keys are hashed to tasks and sorted by time inside them; rows stream through
-    with the state of one key, so a long key needs time but never memory."""
+    """Replay a history.  Keys are hashed to tasks and sorted by time inside them; rows stream through with the state of one
+    key, so a long key needs time but never memory.  A key is sequential by nature (an issue depends on every earlier row); numpy
+    searches the rows between its events, so the time is that of the events plus a scan."""
     rows = rows.repartition("key").sortWithinPartitions("key", "ts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, live = None, Live()
         for pdf in batches:
-            found = []
-            for row in _rows(pdf):
-                if row["key"] != key:
-                    key, live = row["key"], Live()
-                found += [_event(key, row, e, sig) for e, sig in step(live, row, cooldown_min)]
+            batch, found = Batch(pdf), []
+            cuts = [0, *(np.flatnonzero(batch.key[1:] != batch.key[:-1]) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if batch.key[lo] != key:
+                        key, live = batch.key[lo], Live()
+                    found += advance(live, batch, lo, hi, cooldown_min)
             yield pd.DataFrame(found, columns=COLUMNS)
 
     return rows.mapInPandas(run, EVENTS)
@@ -158,11 +222,9 @@ class Latch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         live = Live(**json.loads(self.state.get()[0])) if self.state.exists() else Live()
-        frames = [pdf for pdf in rows]
-        found = []
         # one micro-batch of one key: bounded by the trigger
-        for row in _rows(pd.concat(frames).sort_values("ts", kind="stable")):
-            found += [_event(key[0], row, e, sig) for e, sig in step(live, row, self.cooldown_min)]
+        batch = Batch(pd.concat(list(rows)).sort_values("ts", kind="stable").reset_index(drop=True))
+        found = advance(live, batch, 0, len(batch.sec), self.cooldown_min)
         self.state.update((json.dumps(asdict(live)),))
         yield pd.DataFrame(found, columns=COLUMNS)
 

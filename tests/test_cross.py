@@ -1,8 +1,8 @@
-import pytest
 import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.num import banded, clamp, non_null_mean

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,39 @@ def test_cards_wait_for_their_history(spark, bars):
 
     got = research.bias_card(b, plain()).groupBy("symbol", "status").agg(F.count("*").alias("n"), F.count("bias").alias("k")).collect()
     assert {(r.symbol, r.status, r.n, r.k) for r in got} == {("HOT", "ok", 2291, 2291), ("HOT", "short history", 209, 0), ("B", "short history", 120, 0)}
+
+
+def test_batches_of_a_latch_equal_single_rows():
+    rng = random.Random(9)
+    for run in range(40):
+        rows, price, now = [], 100.0, dt.datetime(2024, 1, 1)
+        for _ in range(300):
+            price = max(-1.0, price + rng.gauss(0, 2))
+            now += dt.timedelta(minutes=rng.choice([0, 1, 30]))
+            bias = rng.choice(["BULLISH"] * 6 + ["BEARISH"] * 2 + ["MIXED", None])
+            rows.append(
+                {"key": "K", "ts": now, "bias": bias, "dirn": {"BULLISH": 1, "BEARISH": -1, "MIXED": 1}.get(bias), "price": rng.choice([price] * 9 + [float("nan")]),
+                 "risk": rng.choice([3.0] * 5 + [0.0, float("nan")]), "atr": 2.0, "market_open": rng.random() < 0.9, "control": rng.choice([None] * 30 + ["CLOSE"])}
+            )
+        one, want = latch.Live(), []
+        for r in rows:
+            full = r | {"sec": latch._micros(r["ts"])}
+            want += [latch._event("K", full, e, sig) for e, sig in latch.step(one, full, 45.0)]
+        many, got = latch.Live(), []
+        pdf = pd.DataFrame(rows)
+        for lo in range(0, 300, 70):
+            batch = latch.Batch(pdf.iloc[lo : lo + 70].reset_index(drop=True))
+            batch.LOOK = 7
+            got += latch.advance(many, batch, 0, len(batch.sec), 45.0)
+        drop = lambda es: [{k: v for k, v in e.items() if k != "price"} for e in es]
+        assert drop(got) == drop(want) and len(want) > 3 and many == one, run
+
+
+def test_a_million_rows_of_one_key_pass_quickly():
+    n = 1_000_000
+    price = 100 + np.random.default_rng(1).normal(0, 0.02, n).cumsum()
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s")
+    pdf = pd.DataFrame({"key": "K", "ts": ts, "bias": "BULLISH", "dirn": 1, "price": price.clip(1), "risk": 5.0, "atr": 3.0, "market_open": True})
+    t0 = time.process_time()
+    batch = latch.Batch(pdf)
+    assert latch.advance(latch.Live(), batch, 0, n, 45.0) and time.process_time() - t0 < 10
