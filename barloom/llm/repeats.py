@@ -28,8 +28,8 @@ from barloom.llm.rlbwt import RunLengthIndex
 from barloom.llm.winnowing import window_minima
 
 GRAM = 64
-GROUP_FRAGMENTS = 8_000
-CHUNK_BYTES = 2_000_000
+GROUP_FRAGMENTS = 4_000
+CHUNK_BYTES = 600_000
 _WIDTH = 1 << 20  # `at` holds first window * _WIDTH + further windows
 _SPAN = 1 << 31  # a span is start * _SPAN + end
 
