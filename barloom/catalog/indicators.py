@@ -148,7 +148,7 @@ _FLAGS = [
 _CEN = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 
 
-_STRUCT_SQL = f"""
+STRUCT_CTES = f"""
 WITH b AS ({q.numbered(f'({q.LI_D})')}),
 p AS (SELECT *, count(*) {_CEN} = 7 AND max(high) {_CEN} = high AS ph,
         count(*) {_CEN} = 7 AND min(low) {_CEN} = low AS pl,
@@ -158,14 +158,16 @@ l AS (SELECT *, {q.lag('hi20')} AS phi, {q.lag('lo20')} AS plo,
         CASE WHEN {q.lag('pl', 3)} THEN {q.lag('low', 3)} END AS vl,
         {q.lag('high', 2)} AS h2, {q.lag('low', 2)} AS l2, {q.lag('high')} AS h1, {q.lag('low')} AS l1 FROM p),
 v AS (SELECT *, last_value(vh IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS lph,
-        last_value(vl IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS lpl FROM l)
-SELECT symbol, {q.minute('ts')} AS ts, {q.r('lph', 8)} AS last_pivot_high, {q.r('lpl', 8)} AS last_pivot_low,
-  CASE WHEN high > phi AND close < phi THEN 1.0 ELSE 0.0 END AS s_sweep_hi,
+        last_value(vl IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS lpl FROM l)"""
+STRUCT_FLAGS = """CASE WHEN high > phi AND close < phi THEN 1.0 ELSE 0.0 END AS s_sweep_hi,
   CASE WHEN low < plo AND close > plo THEN 1.0 ELSE 0.0 END AS s_sweep_lo,
   CASE WHEN close > phi THEN 1.0 ELSE 0.0 END AS s_bo_hi, CASE WHEN close < plo THEN 1.0 ELSE 0.0 END AS s_bo_lo,
   CASE WHEN low > h2 THEN 1.0 ELSE 0.0 END AS s_fvg_up, CASE WHEN high < l2 THEN 1.0 ELSE 0.0 END AS s_fvg_dn,
   CASE WHEN close > lph THEN 1.0 ELSE 0.0 END AS s_bos_up, CASE WHEN close < lpl THEN 1.0 ELSE 0.0 END AS s_bos_dn,
-  CASE WHEN high < h1 AND low > l1 THEN 1.0 ELSE 0.0 END AS s_inside
+  CASE WHEN high < h1 AND low > l1 THEN 1.0 ELSE 0.0 END AS s_inside"""
+_STRUCT_SQL = f"""{STRUCT_CTES}
+SELECT symbol, {q.minute('ts')} AS ts, {q.r('lph', 8)} AS last_pivot_high, {q.r('lpl', 8)} AS last_pivot_low,
+  {STRUCT_FLAGS}
 FROM v"""
 
 

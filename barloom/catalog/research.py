@@ -16,6 +16,7 @@ from ..operators.settle import settle
 from ..plans import research as P
 from ..sources import tables as T
 from . import sqlbits as q
+from .indicators import STRUCT_CTES, STRUCT_FLAGS
 from .registry import Registry
 
 R = Registry()
@@ -392,19 +393,42 @@ def event_study(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.add("event_study_all")
+_EDGE_KEYS = "symbol, setup, hit, h"
+_STUDY_SQL = f"""
+{STRUCT_CTES.replace('WITH b', 'WITH RECURSIVE b', 1)},
+f AS MATERIALIZED (SELECT symbol, pos, {STRUCT_FLAGS}, {', '.join(f"{q.lead('close', h)} / NULLIF(close, 0) - 1 AS fwd{h}" for h in (5, 10, 20))} FROM v),
+le AS MATERIALIZED ({' UNION ALL '.join(
+    f"SELECT symbol, pos, '{n}' AS setup, {c} AS hit, {d} AS dirn, {h} AS h, fwd{h} AS fwd FROM f WHERE fwd{h} IS NOT NULL"
+    for n, (c, d) in E.SETUPS.items() for h in (5, 10, 20))}),
+nx AS MATERIALIZED (SELECT a.symbol, a.setup, a.hit, a.h, a.pos, c.pos AS nxt FROM (SELECT *, pos + h AS at_least FROM le) a
+      ASOF JOIN le c ON c.symbol = a.symbol AND c.setup = a.setup AND c.hit = a.hit AND c.h = a.h AND a.at_least <= c.pos),
+k AS (SELECT {_EDGE_KEYS}, min(pos) AS pos FROM le GROUP BY ALL
+      UNION ALL SELECT k.symbol, k.setup, k.hit, k.h, nx.nxt FROM k JOIN nx USING ({_EDGE_KEYS}, pos)),
+x AS (SELECT {_EDGE_KEYS}, le.dirn * le.fwd AS v FROM k JOIN le USING ({_EDGE_KEYS}, pos)),
+g AS (SELECT symbol, setup, h, count(v) FILTER (hit = 1) AS n, avg(v) FILTER (hit = 1) AS ma, avg(v) FILTER (hit = 0) AS mb,
+      var_samp(v) FILTER (hit = 1) / count(v) FILTER (hit = 1) AS va, var_samp(v) FILTER (hit = 0) / count(v) FILTER (hit = 0) AS vb,
+      count(v) FILTER (hit = 0) AS n0 FROM x GROUP BY symbol, setup, h)
+SELECT symbol, setup, h, CAST(n AS BIGINT) AS n, {q.r('ma')} AS event_mean, {q.r('mb')} AS base_mean, {q.r('(ma - mb) / sqrt(va + vb)', 4)} AS t,
+       {q.r('(va + vb) * (va + vb) / (va * va / (n - 1) + vb * vb / (n0 - 1))', 3)} AS dof FROM g WHERE n >= 12"""
+
+
+@R.add("event_study_all", _STUDY_SQL)
 def event_study_all(spark: SparkSession, d: str) -> DataFrame:
-    """All nine setups at three horizons (rows only)."""
+    """All nine setups at three horizons, de-overlapped by the horizon, Welch test."""
     b = E.numbered(W.add_forward_returns(W.add_structure(T.bars_li_d(spark, d), S), S, (5, 10, 20)), S)
-    return E.directional_edge(settle(b), {5: "fwd5", 10: "fwd10", 20: "fwd20"})
+    out = E.directional_edge(settle(b), {5: "fwd5", 10: "fwd10", 20: "fwd20"})
+    return out.select(
+        "symbol", "setup", "h", "n", shown("event_mean").alias("event_mean"), shown("base_mean").alias("base_mean"), shown("t", 4).alias("t"),
+        shown("dof", 3).alias("dof"),
+    )
 
 
 @R.add("feature_scan")
 def feature_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every feature against forward returns on non-overlapping rows (rows only)."""
     p = settle(P.feature_panel(T.bars_li_d(spark, d), S))
-    cont = ["t_px_ema20", "t_adx", "m_roc20", "r_rsi14", "v_atr_pct"]
-    return P.feature_scan(p, S, cont, ["s_sweep_hi", "s_bo_hi", "s_fvg_up", "s_bos_up", "s_inside"], (5, 20))
+    cont = [c for c in p.columns if c[:2] in ("t_", "m_", "r_", "v_")]
+    return P.feature_scan(p, S, cont, [c for c, _ in E.SETUPS.values()], (5, 10, 20))
 
 
 _STOP_SQL = f"""
