@@ -111,30 +111,116 @@ def latch_input(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("symbol").alias("key"), "ts", "bias", "dirn", "price", "risk", "atr", "market_open")
 
 
-@R.add("latched_signals")
+def _fit(x: str) -> str:
+    return f"(CASE WHEN abs({x}) >= 1000 THEN round({x}, 2) WHEN abs({x}) >= 1 THEN round({x}, 4) WHEN abs({x}) >= 0.01 THEN round({x}, 6) ELSE round({x}, 10) END)"
+
+
+_OLD = "d, en, st, t1, t2, ri, iss, bi, mfe, mae"
+
+
+def latch_sql(src: str, cooldown_min: float) -> str:
+    """CTEs from rows `src` (symbol, ts, bias, dirn, price, risk, market_open) to the events of the latch, `ev`: one row of
+    state per input row by recursion over numbered rows, then up to three events from the state before and after a row."""
+    level = lambda k: _fit(f"(price {k} * risk)")
+    return f"""
+      lr AS MATERIALIZED (SELECT symbol, ts, bias, dirn, price, risk, market_open, epoch(ts) AS sec, row_number() OVER (PARTITION BY symbol ORDER BY ts, dirn) AS n FROM {src}),
+      z AS (SELECT symbol, 0::BIGINT AS n, NULL::VARCHAR AS hit, false AS flip, false AS issue, NULL::VARCHAR AS stat, NULL::INTEGER AS lsd, NULL::DOUBLE AS lst,
+              0 AS d, NULL::DOUBLE AS en, NULL::DOUBLE AS st, NULL::DOUBLE AS t1, NULL::DOUBLE AS t2, NULL::DOUBLE AS ri, NULL::TIMESTAMP AS iss, NULL::VARCHAR AS bi,
+              0.0::DOUBLE AS mfe, 0.0::DOUBLE AS mae FROM (SELECT DISTINCT symbol FROM lr)
+            UNION ALL
+            SELECT symbol, n, hit, flip, issue, stat, lsd, lst, d, en, st, t1, t2, ri, iss, bi,
+              CASE WHEN d <> 0 AND price > 0 THEN {_fit('greatest(mfe, (price - en) * d)')} ELSE mfe END,
+              CASE WHEN d <> 0 AND price > 0 THEN {_fit('least(mae, (price - en) * d)')} ELSE mae END FROM (
+              SELECT symbol, n, hit, flip, issue, lsd, lst, price, CASE WHEN issue THEN 'ACTIVE' ELSE stat END AS stat,
+                CASE WHEN issue THEN dirn WHEN live THEN d ELSE 0 END AS d, CASE WHEN issue THEN {_fit('price')} ELSE en END AS en,
+                CASE WHEN issue THEN {level('- dirn')} ELSE st END AS st, CASE WHEN issue THEN {level('+ dirn * 2.0')} ELSE t1 END AS t1,
+                CASE WHEN issue THEN {level('+ dirn * 3.0')} ELSE t2 END AS t2, CASE WHEN issue THEN {_fit('risk')} ELSE ri END AS ri,
+                CASE WHEN issue THEN ts ELSE iss END AS iss, CASE WHEN issue THEN bias ELSE bi END AS bi, CASE WHEN issue THEN 0.0 ELSE mfe END AS mfe, CASE WHEN issue THEN 0.0 ELSE mae END AS mae FROM (
+                SELECT *, NOT live AND firm AND market_open AND NOT coalesce(lsd = dirn AND (sec - lst) / 60 < {cooldown_min}, false) AS issue FROM (
+                  SELECT *, alive AND NOT flip AS live FROM (
+                    SELECT *, alive AND firm AND d <> dirn AND bias <> 'MIXED' AS flip FROM (
+                      SELECT * REPLACE (CASE WHEN hit = 'STOPPED' THEN d ELSE lsd END AS lsd, CASE WHEN hit = 'STOPPED' THEN sec ELSE lst END AS lst, CASE WHEN hit = 'TP1_HIT' THEN hit ELSE stat END AS stat),
+                        d <> 0 AND coalesce(hit, 'TP1_HIT') = 'TP1_HIT' AS alive, coalesce(price > 0 AND bias IS NOT NULL AND risk > 0, false) AS firm FROM (
+                        SELECT lr.*, z.* EXCLUDE (symbol, n, hit, flip, issue),
+                          CASE WHEN z.d = 0 OR NOT coalesce(price > 0, false) THEN NULL WHEN (price - z.st) * z.d <= 0 THEN 'STOPPED' WHEN (price - z.t2) * z.d >= 0 THEN 'TP2_HIT'
+                               WHEN z.stat = 'ACTIVE' AND (price - z.t1) * z.d >= 0 THEN 'TP1_HIT' END AS hit
+                        FROM z JOIN lr ON lr.symbol = z.symbol AND lr.n = z.n + 1))))))),
+      zz AS (SELECT z.symbol, z.n, z.hit, z.flip, z.issue, lr.ts, lr.price, z.d AS d1, z.en AS en1, z.st AS st1, z.t1 AS t11, z.t2 AS t21, z.ri AS ri1, z.bi AS bi1,
+               {', '.join(f'p.{c}' for c in _OLD.split(', '))}, p.stat FROM z JOIN lr USING (symbol, n) JOIN z p ON p.symbol = z.symbol AND p.n = z.n - 1),
+      ev AS (SELECT symbol, ts, hit AS event, hit AS status, bi AS bias, d AS dirn, en AS entry, st AS stop, t1 AS tp1, t2 AS tp2, ri AS risk, iss AS issued_ts, price, mfe, mae FROM zz WHERE hit IS NOT NULL
+             UNION ALL SELECT symbol, ts, 'FLIPPED', 'FLIPPED', bi, d, en, st, t1, t2, ri, iss, price, mfe, mae FROM zz WHERE flip
+             UNION ALL SELECT symbol, ts, 'ISSUED', 'ACTIVE', bi1, d1, en1, st1, t11, t21, ri1, ts, price, 0, 0 FROM zz WHERE issue)"""
+
+
+_LEVELS = ["entry", "stop", "tp1", "tp2", "risk", "price", "mfe", "mae"]
+_SECOND = "'%Y-%m-%d %H:%M:%S'"
+_ET = "(ts - INTERVAL 5 HOUR)"
+_LIVE_LATCH = f"""WITH RECURSIVE {_LB},
+      li AS (SELECT symbol, ts, bias, dirn, price, CASE WHEN status = 'ok' THEN 1.5 * atr END AS risk,
+        NOT (isodow({_ET}) = 5 AND hour({_ET}) >= 17 OR isodow({_ET}) = 6 OR isodow({_ET}) = 7 AND hour({_ET}) < 18 OR hour({_ET}) = 17) AS market_open FROM lv),
+      {latch_sql('li', t.STOP_COOLDOWN_MIN)}"""
+
+
+def _events_sql(key: str) -> str:
+    return f"""SELECT symbol AS {key}, strftime(ts, {_SECOND}) AS ts, event, status, bias, CAST(dirn AS INTEGER) AS dirn, strftime(issued_ts, {_SECOND}) AS issued_ts,
+        {', '.join(f'{q.r(c)} AS {c}' for c in _LEVELS)} FROM ev"""
+
+
+def _events(ev: DataFrame, key: str) -> DataFrame:
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return ev.select(key, stamp("ts"), "event", "status", "bias", "dirn", stamp("issued_ts"), *[shown(c).alias(c) for c in _LEVELS])
+
+
+@R.add("latched_signals", f"{_LIVE_LATCH} {_events_sql('key')}")
 def latched_signals(spark: SparkSession, d: str) -> DataFrame:
-    """All events of the latch over every tick (stateful: rows only; scripted in the tests)."""
-    return L.latch_batch(latch_input(spark, d))
+    """All events of the latch over every tick."""
+    return _events(L.latch_batch(latch_input(spark, d)), "key")
 
 
-@R.add("signal_history")
+_VIEW = {"move": "move", "move_r": "move_r", "move_pct": "move_pct", "to_stop": "to_stop", "to_tp1": "to_tp1", "to_tp2": "to_tp2", "age_min": "age_min"}
+
+
+@R.add(
+    "signal_history",
+    f"""{_LIVE_LATCH}, hs AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event) AS rn FROM ev WHERE event IN ('STOPPED', 'TP2_HIT', 'FLIPPED')),
+        hv AS (SELECT *, (price - entry) * dirn AS move FROM hs WHERE rn <= 20)
+        SELECT symbol, strftime(ts, {_SECOND}) AS ts, event, CAST(dirn AS INTEGER) AS dirn, {q.r('(floor(epoch(ts)) - floor(epoch(issued_ts))) / 60')} AS age_min, {q.r('move')} AS move,
+          {q.r(q.rnd('move / NULLIF(risk, 0)', 2))} AS move_r, {q.r(q.rnd('move / NULLIF(entry, 0) * 100', 2))} AS move_pct,
+          {q.r('abs(price - stop)')} AS to_stop, {q.r('abs(tp1 - price)')} AS to_tp1, {q.r('abs(tp2 - price)')} AS to_tp2 FROM hv""",
+)
 def signal_history(spark: SparkSession, d: str) -> DataFrame:
     """Newest twenty closed signals per key with their view at the closing price."""
     ev = L.latch_batch(latch_input(spark, d)).where(F.col("event").isin("STOPPED", "TP2_HIT", "FLIPPED"))
     ev = last_events(ev.withColumnRenamed("key", "symbol"), 20, per=["symbol"])
-    return K.signal_view(ev, F.col("price"), F.col("ts"))
+    view = K.signal_view(ev, F.col("price"), F.col("ts"))
+    return view.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event", "dirn", *[shown(c).alias(c) for c in _VIEW])
 
 
-@R.add("open_not_ranked")
+@R.add(
+    "open_not_ranked",
+    f"""{_LIVE_LATCH}, last AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event = 'ISSUED' DESC) AS rn FROM ev),
+        best AS (SELECT symbol FROM (SELECT symbol, last(close ORDER BY ts) AS c FROM lb GROUP BY symbol) ORDER BY c DESC, symbol LIMIT 2),
+        evo AS (SELECT * EXCLUDE (rn) FROM last WHERE rn = 1 AND event IN ('ISSUED', 'TP1_HIT') AND symbol NOT IN (SELECT symbol FROM best))
+        {_events_sql('symbol').replace('FROM ev', 'FROM evo')}""",
+)
 def open_not_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Signals still open at the end whose key is not among the two best by last price."""
     ev = L.latch_batch(latch_input(spark, d))
     last = T.bars_evt_h(spark, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
     ranked = top_n(last, 2, F.col("close").desc(), F.col("symbol"))
-    return K.open_not_ranked(L.open_signals(ev).withColumnRenamed("key", "symbol"), ranked)
+    return _events(K.open_not_ranked(L.open_signals(ev).withColumnRenamed("key", "symbol"), ranked), "symbol")
 
 
-@R.add("ranked_latch")
+@R.add(
+    "ranked_latch",
+    f"""WITH RECURSIVE ub AS (SELECT *, close / NULLIF({q.lag('close')}, 0) - 1 AS ret, close / NULLIF({q.lag('close', 5)}, 0) - 1 AS roc5 FROM ({q.USR_D})),
+        uv AS (SELECT * FROM (SELECT *, {q.roll('stddev_samp', 'ret', 10)} AS vol FROM ub) WHERE vol IS NOT NULL AND roc5 IS NOT NULL),
+        us AS (SELECT *, 1 AS dirn FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY roc5 DESC, symbol) AS rn FROM uv) WHERE rn <= 10
+               UNION ALL SELECT *, -1 FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY roc5, symbol) AS rn FROM uv) WHERE rn <= 10),
+        ui AS (SELECT symbol, ts, CASE WHEN dirn > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS bias, dirn, close AS price, close * vol * sqrt({t.HORIZON_DAYS}::DOUBLE) AS risk, true AS market_open
+               FROM us WHERE close * vol > 0),
+        {latch_sql('ui', t.RANKED_COOLDOWN_MIN)} {_events_sql('key')}""",
+)
 def ranked_latch(spark: SparkSession, d: str) -> DataFrame:
     """Signals issued day by day from the momentum extremes of the daily panel, long cooldown."""
     from pyspark.sql import Window
@@ -150,7 +236,7 @@ def ranked_latch(spark: SparkSession, d: str) -> DataFrame:
     longs = b.withColumn("_r", F.row_number().over(up)).where(F.col("_r") <= 10).withColumn("side", F.lit("long"))
     shorts = b.withColumn("_r", F.row_number().over(dn)).where(F.col("_r") <= 10).withColumn("side", F.lit("short"))
     rows = longs.unionByName(shorts).withColumn("risk_unit", unit)
-    return L.latch_batch(L.ranked_rows(rows), t.RANKED_COOLDOWN_MIN)
+    return _events(L.latch_batch(L.ranked_rows(rows), t.RANKED_COOLDOWN_MIN), "key")
 
 
 @R.add(

@@ -194,7 +194,7 @@ def latch_batch(rows: DataFrame, cooldown_min: float = t.STOP_COOLDOWN_MIN) -> D
     """Replay a history.  Keys are hashed to tasks and sorted by time inside them; rows stream through with the state of one
     key, so a long key needs time but never memory.  A key is sequential by nature (an issue depends on every earlier row); numpy
     searches the rows between its events, so the time is that of the events plus a scan."""
-    rows = rows.repartition("key").sortWithinPartitions("key", "ts")
+    rows = rows.repartition("key").sortWithinPartitions("key", "ts", "dirn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, live = None, Live()
