@@ -267,6 +267,35 @@ def cross_asset_features(spark: SparkSession, d: str) -> DataFrame:
     return _out(b, _CROSS_OUT, 6)
 
 
+# which series of the test table stands for which driver
+_DRIVER_OF = {"dxy": "AF", "tnx": "AO", "vix": "NF", "tip": "NO", "slv": "RF", "spx": "RO"}
+_XN = [n for n in _DRIVER_OF]
+_X_FEATURES = {
+    **{f"c_{n}_{k}{d}": (f"x_{n} - {q.lag(f'x_{n}', d)}" if n in J.LEVELS else f"x_{n} / NULLIF({q.lag(f'x_{n}', d)}, 0) - 1")
+       for n in _XN for k in (("chg",) if n in J.LEVELS else ("roc",)) for d in (5, 20)},
+    **{f"c_{n}_lvl": f"x_{n}" for n in _XN if n in J.LEVELS},
+    "c_gold_silver": "close / NULLIF(x_slv, 0)",
+    "c_gs_roc20": f"(close / NULLIF(x_slv, 0)) / NULLIF({q.lag('close / NULLIF(x_slv, 0)', 20)}, 0) - 1",
+    "c_realyield_proxy": f"-(x_tip / NULLIF({q.lag('x_tip', 20)}, 0) - 1)",
+}
+
+
+@R.add(
+    "cross_driver_features",
+    f"""WITH b AS ({q.LI_D}), d AS (SELECT * FROM b WHERE CAST(floor(close) AS BIGINT) % 3 <> 0),
+        w AS (SELECT ts, {', '.join(f"max(CASE WHEN symbol = '{y}' THEN close END) AS r_{n}" for n, y in _DRIVER_OF.items())} FROM d GROUP BY ts),
+        f AS (SELECT b.*, {', '.join(f"last_value(r_{n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x_{n}" for n in _XN)}
+              FROM b LEFT JOIN w USING (ts))
+        SELECT symbol, {q.minute('ts')} AS ts, {', '.join(f'{q.r(e)} AS {c}' for c, e in _X_FEATURES.items())} FROM f""",
+)
+def cross_driver_features(spark: SparkSession, d: str) -> DataFrame:
+    """The cross-asset block from six drivers with gaps, carried forward at most five bars."""
+    b = T.bars_li_d(spark, d)
+    names = F.create_map(*[x for n, y in _DRIVER_OF.items() for x in (F.lit(y), F.lit(n))])
+    drivers = b.where(F.floor("close") % 3 != 0).select(names[F.col("symbol")].alias("symbol"), "ts", "close")
+    return _out(J.cross_features(b, S, drivers), list(_X_FEATURES), 6)
+
+
 @R.add(
     "expanding_percentile_rank",
     f"""WITH b AS ({q.numbered(f'({q.LI_D})')}),

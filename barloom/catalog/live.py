@@ -16,6 +16,7 @@ from ..sources import tables as T
 from ..sources.feeds import last_events
 from ..streaming import latch as L
 from ..streaming import ticks as K
+from ..streaming.live import live_signals
 from . import sqlbits as q
 from .registry import Registry
 
@@ -104,11 +105,8 @@ def live_bias(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "event_id", "status", "bias", "dirn", shown("risk").alias("risk"))
 
 
-def latch_input(spark: SparkSession, d: str) -> DataFrame:
-    """Ticks with a bias from the last hour and the market calendar."""
-    x = K.live_bias(K.quotes(T.event_ticks(spark, d)), _hour_state(spark, d))
-    x = N.market_status(N.add_clock(x))
-    return x.select(F.col("symbol").alias("key"), "ts", "bias", "dirn", "price", "risk", "atr", "market_open")
+def latched(spark: SparkSession, d: str) -> DataFrame:
+    return live_signals(T.event_ticks(spark, d), _hour_state(spark, d))
 
 
 def _fit(x: str) -> str:
@@ -174,7 +172,7 @@ def _events(ev: DataFrame, key: str) -> DataFrame:
 @R.add("latched_signals", f"{_LIVE_LATCH} {_events_sql('key')}")
 def latched_signals(spark: SparkSession, d: str) -> DataFrame:
     """All events of the latch over every tick."""
-    return _events(L.latch_batch(latch_input(spark, d)), "key")
+    return _events(latched(spark, d), "key")
 
 
 _VIEW = {"move": "move", "move_r": "move_r", "move_pct": "move_pct", "to_stop": "to_stop", "to_tp1": "to_tp1", "to_tp2": "to_tp2", "age_min": "age_min"}
@@ -190,7 +188,7 @@ _VIEW = {"move": "move", "move_r": "move_r", "move_pct": "move_pct", "to_stop":
 )
 def signal_history(spark: SparkSession, d: str) -> DataFrame:
     """Newest twenty closed signals per key with their view at the closing price."""
-    ev = L.latch_batch(latch_input(spark, d)).where(F.col("event").isin("STOPPED", "TP2_HIT", "FLIPPED"))
+    ev = latched(spark, d).where(F.col("event").isin("STOPPED", "TP2_HIT", "FLIPPED"))
     ev = last_events(ev.withColumnRenamed("key", "symbol"), 20, per=["symbol"])
     view = K.signal_view(ev, F.col("price"), F.col("ts"))
     return view.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event", "dirn", *[shown(c).alias(c) for c in _VIEW])
@@ -205,7 +203,7 @@ def signal_history(spark: SparkSession, d: str) -> DataFrame:
 )
 def open_not_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Signals still open at the end whose key is not among the two best by last price."""
-    ev = L.latch_batch(latch_input(spark, d))
+    ev = latched(spark, d)
     last = T.bars_evt_h(spark, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
     ranked = top_n(last, 2, F.col("close").desc(), F.col("symbol"))
     return _events(K.open_not_ranked(L.open_signals(ev).withColumnRenamed("key", "symbol"), ranked), "symbol")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import ratio
 from .ema import add_ema, span_alpha
-from .rolling import roc, rstd, sma
+from .rolling import change, roc, rstd, sma
 from .series import Series
 from .universe import dollar_volume
 
@@ -62,3 +62,30 @@ def trend_features(bars: DataFrame, s: Series, bench: str) -> DataFrame:
         }
     )
     return b.drop("_e20", "_e50", "_e100", "_ret")
+
+
+# fixed values: drivers of the cross-asset block, and those that are rates or levels already
+DRIVERS = ("dxy", "tnx", "fvx", "tip", "vix", "spx", "slv", "cop", "oil")
+LEVELS = ("tnx", "fvx", "vix")
+
+
+def cross_features(bars: DataFrame, s: Series, drivers: DataFrame, limit: int = 5) -> DataFrame:
+    """`c_*` features of every bar from the daily closes of the drivers (symbol, ts, close).
+
+    The drivers become columns by one pivot over a fixed list and one join on ts; each is carried forward over at most
+    `limit` rows, all in one sort.  Rates and levels give differences, the others growth; silver also gives a ratio, and the
+    inflation-linked bond with its sign turned round stands for real yields.  A driver without rows gives NULLs.
+    """
+    wide = drivers.where(F.col("symbol").isin(*DRIVERS)).groupBy("ts").pivot("symbol", list(DRIVERS)).agg(F.max("close"))
+    b = bars.join(wide.select("ts", *[F.col(n).alias(f"x_{n}") for n in DRIVERS]), "ts", "left")
+    b = b.withColumns({f"x_{n}": F.last(f"x_{n}", True).over(s.last(limit + 1)) for n in DRIVERS})
+    b = b.withColumn("c_gold_silver", ratio("close", "x_slv"))
+    out = {}
+    for n in DRIVERS:
+        x = f"x_{n}"
+        if n in LEVELS:
+            out |= {f"c_{n}_chg5": change(x, 5, s), f"c_{n}_chg20": change(x, 20, s), f"c_{n}_lvl": F.col(x)}
+        else:
+            out |= {f"c_{n}_roc5": roc(x, 5, s), f"c_{n}_roc20": roc(x, 20, s)}
+    out |= {"c_gs_roc20": roc("c_gold_silver", 20, s), "c_realyield_proxy": -roc("x_tip", 20, s)}
+    return b.withColumns(out).drop(*[f"x_{n}" for n in DRIVERS])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import sessions
-from barloom.streaming import latch, ticks
+from barloom.streaming import latch, live, ticks
 
 IN = "key string, ts timestamp, bias string, dirn int, price double, risk double, atr double, market_open boolean"
 
@@ -98,6 +98,26 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert got == want
 
 
+def test_ticks_to_signals_on_a_stream(spark, tmp_path):
+    t0 = pd.Timestamp("2024-01-03 15:00")
+    hours = [("T", (t0 - pd.Timedelta(hours=300 - i)).to_pydatetime(), 90.0, 95.0, 4.0) for i in range(300)]
+    hourly = spark.createDataFrame(hours, "symbol string, ts timestamp, ema50 double, ema200 double, atr double")
+    prices = [100, 113, 105, 93, 93, 120]
+    rows = [("T", (t0 + pd.Timedelta(minutes=7 * i)).to_pydatetime(), p - 0.05, p + 0.05) for i, p in enumerate(prices)]
+    schema = "symbol string, ts timestamp, bid double, ask double"
+    order = lambda df: [(str(r.ts), r.event, r.entry) for r in df.orderBy("ts", "event").collect()]
+    want = order(live.live_signals(spark.createDataFrame(rows, schema), hourly))
+    assert {"ISSUED", "TP1_HIT", "STOPPED"} <= {e for _, e, _ in want}
+    for i in (0, 3):
+        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ticks.tick_stream(spark, str(tmp_path / "in"), 1)
+    q = live.live_signals(stream, hourly).writeStream.format("memory").queryName("live_signals").outputMode("append")
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert order(spark.table("live_signals")) == want
+
+
 def test_stream_bars_drop_late_ticks(spark, tmp_path):
     def put(rows):
         spark.createDataFrame(rows, "symbol string, ts string, bid double, ask double").withColumn(
