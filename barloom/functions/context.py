@@ -59,6 +59,7 @@ def _flag_rules(flags: dict[str, bool]) -> list[tuple[Column, float, str]]:
     div = F.coalesce("dividend_yield", F.lit(0.0))
     cap = F.coalesce(F.when(c("market_cap") != 0, c("market_cap")), F.lit(1e12))
     defensive = c("sector").isin("Healthcare", "Utilities", "Consumer")
+    # fixed values: limits, points and texts of the macro rules
     rules = {
         "fed_hawkish": [
             (pe > 30, -8.0, "Fed hawkish: high-growth/high-PE stocks penalized"),

@@ -1,6 +1,7 @@
 """Trade levels, votes, risk, grades and advice texts, long and short.
 
-All inputs are indicators as reported (rounded), and every level is rounded where it is set.
+All inputs are indicators as reported (rounded), and every level is rounded where it is set.  The factors and limits in the
+expressions below (1.5 ATR, 0.99, 1.003, RSI 68 and 32, ...) are fixed values that results depend on.
 """
 
 from __future__ import annotations

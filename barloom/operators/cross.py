@@ -16,6 +16,8 @@ from ..functions.stats import pearson
 RUN = (Window.unboundedPreceding, -1)
 #: Rows of a group that one task may sort.
 LARGE_GROUP = 200_000
+#: Buckets of values that a large group is cut into.
+VALUE_BUCKETS = 256
 
 
 def zscores(
@@ -43,13 +45,16 @@ def equal_weight(df: DataFrame, cols: list[str], out: str = "score") -> DataFram
     return df.withColumn(out, non_null_mean(*[F.col(c) for c in cols]))
 
 
-def _starts(df: DataFrame, by: list[str], value: str, extra: list[str], resolution: float) -> DataFrame:
-    """(by, value, extra) -> `_start` rows sorting before it in its group, and `_cnt`."""
-    c = (
-        df.groupBy(*by, value, *extra)
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_vb", F.floor(F.col(value) * F.lit(resolution)))
-    )
+def _starts(df: DataFrame, by: list[str], value: str, extra: list[str]) -> DataFrame:
+    """(by, value, extra) -> `_start` rows sorting before it in its group, and `_cnt`.
+
+    Values are counted first, then cut at quantiles of the distinct values of their group, so that neither a narrow nor a wide
+    range of values, nor a value that very many rows share, makes an uneven bucket.
+    """
+    c = df.groupBy(*by, value, *extra).agg(F.count(F.lit(1)).alias("_cnt"))
+    at = F.array(*[F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)])
+    cuts = c.groupBy(*by).agg(F.percentile_approx(value, at, 20 * VALUE_BUCKETS).alias("_q"))
+    c = c.join(cuts, by).withColumn("_vb", F.size(F.filter("_q", lambda x: x < F.col(value)))).drop("_q")
     per_bucket = c.groupBy(*by, "_vb").agg(F.sum("_cnt").alias("_bn"))
     over_buckets = Window.partitionBy(*by).orderBy("_vb").rowsBetween(*RUN)
     per_bucket = per_bucket.select(
@@ -69,7 +74,7 @@ def has_large(df: DataFrame, by: list[str], limit: int = LARGE_GROUP) -> bool:
 
 
 def average_rank(
-    df: DataFrame, by: list[str], value: str, out: str, resolution: float = 16.0, large: bool | None = None
+    df: DataFrame, by: list[str], value: str, out: str, large: bool | None = None
 ) -> DataFrame:
     """1-based rank with ties averaged; rows with a NULL value are dropped.
 
@@ -81,7 +86,7 @@ def average_rank(
         w = Window.partitionBy(*by).orderBy(value)
         ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return df.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
-    starts = _starts(df, by, value, [], resolution)
+    starts = _starts(df, by, value, [])
     return (
         df.join(starts, [*by, value])
         .withColumn(out, F.col("_start") + (F.col("_cnt") + 1) / 2)
@@ -96,7 +101,6 @@ def ordinal_rank(
     tie: str,
     out: str = "r",
     descending: bool = False,
-    resolution: float = 16.0,
     large: bool | None = None,
 ) -> DataFrame:
     """1-based rank with ties in order of `tie`; in large groups equal values split further by the start of `tie`."""
@@ -110,7 +114,7 @@ def ordinal_rank(
             "_tp": F.substring(F.col(tie).cast("string"), 1, 4),
         }
     )
-    starts = _starts(df, by, "_v", ["_tp"], resolution)
+    starts = _starts(df, by, "_v", ["_tp"])
     ties = Window.partitionBy(*by, "_v", "_tp").orderBy(F.col(tie).cast("string"))
     return (
         df.withColumn("_t", F.row_number().over(ties))
@@ -174,14 +178,13 @@ def rank_ic(
     fwd: str,
     more_than: int = 10,
     distinct_over: int = 3,
-    resolution: float = 16.0,
 ) -> DataFrame:
     """Spearman correlation per group, for groups with enough rows and distinct values."""
     df = df.where(F.col(feature).isNotNull() & F.col(fwd).isNotNull())
     df = df.select(*by, feature, fwd)
     large = has_large(df, by)
-    df = average_rank(df, by, feature, "_rx", resolution, large)
-    df = average_rank(df, by, fwd, "_ry", resolution * 64, large)
+    df = average_rank(df, by, feature, "_rx", large)
+    df = average_rank(df, by, fwd, "_ry", large)
     return (
         df.groupBy(*by)
         .agg(
@@ -233,8 +236,12 @@ def latest_extremes(
 
 
 def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Distinct dates with their 0-based number; one row per date, so bounded by the calendar."""
-    dates = df.select(ts).distinct()
+    """Distinct dates with their 0-based number.
+
+    One row per date, so bounded by the calendar: bars finer than a day are refused, their times are not numbered in one task.
+    """
+    finer = F.date_trunc("day", F.col(ts).cast("timestamp")) != F.col(ts).cast("timestamp")
+    dates = df.select(ts).distinct().select(F.when(finer, F.raise_error(F.lit("calendar() numbers days; this column is finer"))).otherwise(F.col(ts)).alias(ts))
     return dates.withColumn("day_no", F.row_number().over(Window.orderBy(ts)) - 1)
 
 

@@ -158,7 +158,7 @@ def feature_scan(
         )
         cs = long.where(kept).select("symbol", "feature", "value", "_pct", fwd)
         by = ["symbol", "feature"]
-        ranked = average_rank(average_rank(cs, by, "value", "_rx", 100.0), by, fwd, "_ry", 1000.0)
+        ranked = average_rank(average_rank(cs, by, "value", "_rx"), by, fwd, "_ry")
         rho = st.pearson("_rx", "_ry")
         top, low = F.when(F.col("_pct") >= 0.7, F.col(fwd)), F.when(F.col("_pct") <= 0.3, F.col(fwd))
         enough = (F.count(top) > 10) & (F.count(low) > 10)

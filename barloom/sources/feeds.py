@@ -21,6 +21,7 @@ BARS = T.StructType(
         T.StructField("volume", T.DoubleType()),
     ]
 )
+# fixed values: column names of the exported bars, the ticks and the grouped feed
 BARS_SPREAD = T.StructType(
     [
         T.StructField("dt", T.TimestampType()),

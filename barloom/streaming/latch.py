@@ -31,6 +31,7 @@ EPOCH = dt.datetime(1970, 1, 1)
 def fit(v: float) -> float:
     """Fewer decimals for large numbers, so that a price below a cent keeps its digits."""
     size = abs(v)
+    # fixed values: from this size on, so many decimals
     for floor, places in ((1000.0, 2), (1.0, 4), (0.01, 6)):
         if size >= floor:
             return round(v, places)
@@ -100,6 +101,7 @@ def step(live: Live, row: dict, cooldown_min: float) -> list[tuple[str, dict]]:
         if stopped_here and (now - live.last_stop[1]) / 60.0 < cooldown_min:
             return out
         risk = row["risk"]
+        # fixed values: stop at one risk, targets at two and three
         sig = {
             "bias": row["bias"], "dirn": dirn, "entry": fit(price), "stop": fit(price - dirn * risk),
             "tp1": fit(price + dirn * 2.0 * risk), "tp2": fit(price + dirn * 3.0 * risk), "risk": fit(risk),

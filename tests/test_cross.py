@@ -143,3 +143,12 @@ def test_t_table():
     for t, df, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (2.750, 30, 0.01), (1.984, 100, 0.05), (3.291, 1e6, 0.001)):
         assert abs(t_two_sided(t, df) - p) < 2e-4 * max(1, p * 100)
     assert t_two_sided(0.0, 5) == 1.0
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1e7])
+def test_ranks_of_narrow_and_wide_values(spark, scale):
+    pdf = frame(5)
+    pdf["fwd"] = pdf["fwd"] * scale
+    got = cross.average_rank(spark.createDataFrame(pdf), ["date"], "fwd", "r", large=True).toPandas()
+    want = got.groupby("date")["fwd"].rank()
+    assert (got["r"] == want).all() and len(got) == len(pdf)
