@@ -183,6 +183,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     rows = _keyed(docs, id_col, text_col)
     found = common.written(occurrences(rows, length))
     groups = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fragment").alias("a"), F.max("fragment").alias("b")).where("n > 1")
+    # written, so that the join below deals both sides itself and AQE can split an anchor with very many occurrences
+    groups = common.written(groups)
     shared = found.join(groups.select("anchor", (F.col("a") != F.col("b")).alias("differ")), "anchor")
     first, more = F.floor(F.col("at") / _WIDTH), F.col("at") % _WIDTH
     span = lambda lo, hi: ((lo * _SPAN) + hi + length).cast("long").alias("span")
