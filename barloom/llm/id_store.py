@@ -166,6 +166,15 @@ class Shard:
         return None if first < 0 else self.read(int(first), int(count))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme that the cluster gives to paths without one, so that tasks write where Spark would."""
+    if "://" in folder:
+        return folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return ("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri).rstrip("/")
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, end_id: int = 2, vocabulary: int = 1 << 16, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents and return the manifest (one row per shard), itself written and read again.
 
@@ -176,7 +185,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, end_id:
     """
     spark = docs.sparkSession
     folder = folder or common.shared_folder(spark)
-    base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    base = qualified(spark, folder)
     kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
     shards = common.blocks_for(docs.count(), shard_docs)
 
