@@ -196,6 +196,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, light: DataF
     direct = away.where("linked").select(F.col("digest").alias("u"), F.col("pivot").alias("v"))
 
     least = away.groupBy("pivot").agg(F.min("a").alias("any"), F.min(F.when(~F.col("linked"), F.col("a"))).alias("far")).where("far is not null")
+    least = common.written(least)  # small: joined without dealing the rows of a hot pivot to one task
     widest = share * F.col("n") * (1 + 100 / percent)
     other = F.when(F.col("linked"), F.col("far")).otherwise(F.col("any"))
     must = F.greatest(F.lit(1), F.ceil((F.col("a") + other - widest) / 2 - 1e-9))
