@@ -141,14 +141,16 @@ def _few(rows: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def search(
-    rows: DataFrame, is_query, k: int = 5, *, recall: float = 0.97, sample: int = 20_000, calibration: int = 200, leaf_size: int = 40, block: int = 4096,
+    rows: DataFrame, is_query, k: int = 5, *, recall: float = 0.96, sample: int = 20_000, calibration: int = 200, leaf_size: int | None = None, block: int = 4096,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of every row for which `is_query` (a condition on vec_id) holds.
 
     Candidates are all other rows; nearness is the cosine in double precision on the vectors as given.  `sample` bounds the
     vectors that the tree is fitted on, `calibration` the queries whose exact neighbours set the number of visits: the least
-    for which `recall` of their neighbours lie in visited leaves.  Repeated ids are repeated candidates.
+    for which `recall` of their neighbours lie in visited leaves.  Leaves hold a 128th of the sampled vectors at most (40 where
+    they are few), so the number of leaves, and with it the visits of a query, stays bounded however many rows there are.
+    Repeated ids are repeated candidates.
     """
     fine, size = usable(rows, id_col, vector_col)
     if not size:
@@ -156,7 +158,7 @@ def search(
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     entries = common.written(fine.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1).drop("n"))
     fitted = np.array([r["vector"] for r in _few(entries, sample, 1).collect()])
-    tree = Tree.fit(units(fitted), leaf_size=leaf_size)
+    tree = Tree.fit(units(fitted), leaf_size=leaf_size or max(40, len(fitted) // 128))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches):
