@@ -6,8 +6,8 @@ bytes inside; term i with c occurrences has the value x_i = sqrt(c / n).  The lo
     w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]
 
 so that two terms together (an insult and the mention of a group) can weigh more than their sum.  Weights are learned by
-adaptive gradient steps with a shrinking that leaves most of them at zero, on a bounded sample of labelled rows.  Only terms
-with a weight are broadcast; scoring is narrow.
+gradient steps on a bounded sample of labelled rows.  Shrinking leaves most linear weights at zero, but a term without one
+keeps its factors, for it may count in pairs alone.  Only terms with a weight or factors are broadcast; scoring is narrow.
 """
 
 from __future__ import annotations
@@ -99,8 +99,8 @@ class Model:
 def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, epochs: int = 14, rate: float = 40.0, shrink: float = 3e-4, rare: int = 4, seed: int = 11) -> Model:
     """Gradient steps over batches of 16 documents; linear weights shrink toward zero at each of their steps.
 
-    Factors are learned only where the linear weight has stayed off zero after half of the epochs.  Terms of fewer than
-    `rare` documents are no evidence.
+    Every term of at least `rare` documents has factors from the first epoch, whatever its linear weight.  Rarer terms are
+    no evidence.
     """
     rng = np.random.default_rng(seed)
     ids, flat = np.unique(np.concatenate(docs), return_inverse=True)
@@ -109,12 +109,10 @@ def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     often = np.bincount(flat) >= rare
     w = np.zeros(len(ids))
     v = np.zeros((len(ids), factors))
+    v[often] = rng.normal(0, 0.1, (int(often.sum()), factors))
     w0 = 0.0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        if epoch == epochs // 2:
-            often = w != 0
-            v[often] = rng.normal(0, 0.1, (int(often.sum()), factors))
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), 16):
             some = order[lo : lo + 16]
@@ -125,20 +123,18 @@ def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
             keep = often[rows]
             rows, x, own = rows[keep], x[keep], own[keep]
             z = w0 + np.bincount(own, w[rows] * x, minlength=n)
-            if epoch >= epochs // 2:
-                vx = v[rows] * x[:, None]
-                total = np.stack([np.bincount(own, vx[:, f], minlength=n) for f in range(factors)], axis=1)
-                z += ((total**2).sum(axis=1) - np.bincount(own, (vx * vx).sum(axis=1), minlength=n)) / 2
+            vx = v[rows] * x[:, None]
+            total = np.stack([np.bincount(own, vx[:, f], minlength=n) for f in range(factors)], axis=1)
+            z += ((total**2).sum(axis=1) - np.bincount(own, (vx * vx).sum(axis=1), minlength=n)) / 2
             d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[some]) / n
             here, inverse = np.unique(rows, return_inverse=True)
             moved = w[here] - step * np.bincount(inverse, d[own] * x, minlength=len(here))
             w[here] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * shrink)
-            if epoch >= epochs // 2:
-                for f in range(factors):
-                    gf = np.bincount(inverse, d[own] * x * (total[own, f] - vx[:, f]), minlength=len(here))
-                    v[here, f] -= np.clip(step / 4 * (gf + 1e-4 * v[here, f]), -0.2, 0.2)
+            for f in range(factors):
+                gf = np.bincount(inverse, d[own] * x * (total[own, f] - vx[:, f]), minlength=len(here))
+                v[here, f] -= np.clip(step / 40 * (gf + 1e-4 * v[here, f]), -0.2, 0.2)
             w0 -= step / 30 * d.sum()
-    strong = w != 0
+    strong = (w != 0) | (v != 0).any(axis=1)
     return Model(float(w0), ids[strong], w[strong], v[strong])
 
 

@@ -72,6 +72,25 @@ def test_pairs_weigh_more_than_their_sum():
     assert pair < -1 and one > 0.5 and two < -0.5
 
 
+def test_terms_neutral_alone_count_in_pairs():
+    """Every term is as frequent in both classes, so that no linear weight stays; production defaults must learn the pairs."""
+    rng = np.random.default_rng(1)
+    docs, labels = [], []
+    for _ in range(1200):
+        a, b = rng.random(2) < 0.5
+        docs.append(np.array([1 if a else 2, 3 if b else 4, 5 + rng.integers(40), 45 + rng.integers(40)], np.int32))
+        labels.append(float(a == b))
+    model = toxicity.train(docs, [np.full(4, 0.5, np.float32)] * 1200, np.array(labels))
+    at = {t: i for i, t in enumerate(model.ids.tolist())}
+    right = 0
+    for d, y in zip(docs, labels):
+        row = [at[t] for t in d.tolist() if t in at]
+        vx = 0.5 * model.factors[row]
+        odds = model.bias + 0.5 * model.linear[row].sum() + ((vx.sum(axis=0) ** 2).sum() - (vx * vx).sum()) / 2
+        right += (odds > 0) == (y == 1)
+    assert {1, 2, 3, 4} <= set(at) and right > 0.95 * 1200
+
+
 def test_clean_rows_stay(spark, labelled_docs):
     docs, labels = labelled_docs
     model = toxicity.fit(docs, labels)
