@@ -68,11 +68,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     columns, tokens = {m: F.col(m) for m in mixing.MARGINS}, F.col("n_tokens")
     targets = {
-        "source": mixing.tempered(mixing.largest(counted, F.col("source"), tokens, 64), 0.5),
         "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
         "topic": {"prose": 0.9, "table": 0.04, "code": 0.03, "legal": 0.03},
     }
-    out, rate, kept = mixing.with_rates(counted, columns, tokens, targets, keep=0.5)
+    out, rate, kept = mixing.with_rates(counted, columns, tokens, targets, keep=0.5, temper=0.5)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.col(rate).alias("probability"), F.col(kept).alias("kept"))
 
 

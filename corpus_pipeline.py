@@ -39,13 +39,11 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
     tokens = token_counts.n_tokens(F.col("text"), public_tokenizers.path(TOKENIZER))
-    shares = mixing.largest(docs, F.col("source"), F.col("n_chars"), 64)
     targets = {
-        "source": mixing.tempered(shares, 0.9),
         "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
         "topic": {"prose": 0.9, "table": 0.04, "code": 0.03, "legal": 0.03},
     }
-    out, _, kept = mixing.with_rates(docs, columns, tokens, targets, keep=KEEP)
+    out, _, kept = mixing.with_rates(docs, columns, tokens, targets, keep=KEEP, temper=0.9)
     return out.where(F.col(kept)).select(*docs.columns)
 
 

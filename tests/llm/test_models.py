@@ -130,6 +130,46 @@ def test_mixing_samples_toward_the_targets(spark):
     assert mixing.with_rates(df.where("false"), columns, F.col("n"), targets, keep=0.4)[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [mixing.DRIVER_CELLS, 0])
+def test_every_source_is_raked(spark, most):
+    """150 sources, the small ones too, in the driver and as a DataFrame: every margin is met, no source is pooled."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(60000).selectExpr(
+        "id as doc_id", "if(id % 601 = 1, null, concat('s', cast(sqrt(id % 22500) as int))) as source", "if(hash(id) % 5 = 0, 'de', 'en') as lang",
+        "if(hash(id, 1) % 7 = 0, null, 'prose') as topic", "1 + pmod(hash(id, 2), 9) as n",
+    )
+    targets = {"lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 1.0}}
+    found = mixing.rates(df, {m: F.col(m) for m in mixing.MARGINS}, F.col("n"), targets, keep=0.3, temper=0.8, most=most).toPandas()
+    assert found["source"].nunique() == 151 and found["documents"].sum() == 60000
+    kept = (found["rate"] * found["tokens"]).groupby(found["source"]).sum()
+    had = found.groupby("source")["tokens"].sum()
+    named = had.drop(mixing.OTHER)
+    want = mixing.tempered((named / had.sum()).to_dict(), 0.8)
+    rest = had[mixing.OTHER] / had.sum()
+    assert abs(kept.sum() - 0.3 * had.sum()) < 1e-6 * had.sum() and abs(kept[mixing.OTHER] / kept.sum() - rest) < 1e-6
+    assert all(abs(kept[s] / kept.sum() - (1 - rest) * want[s]) < 1e-6 for s in want)
+    lang = (found["rate"] * found["tokens"]).groupby(found["lang"]).sum() / kept.sum()
+    assert abs(lang["de"] - 0.4) < 1e-6
+    assert mixing.rates(df.where("false"), {m: F.col(m) for m in mixing.MARGINS}, F.col("n"), targets, keep=0.3, temper=0.8, most=-1 if not most else most).count() == 0
+
+
+def test_sweeps_equal_the_driver_where_rates_are_full(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "ROUNDS", 20)  # these targets need more rounds to settle; 20 include a write of the rates
+    df = spark.range(4000).selectExpr(
+        "id as doc_id", "concat('s', cast(pow(id % 1000, 0.45) as int)) as source", "if(id % 11 < 9, 'en', if(id % 2 = 0, 'de', 'xx')) as lang",
+        "if(hash(id) % 13 = 0, 'code', 'prose') as topic", "1 + pmod(hash(id, 2), 90) as n",
+    )
+    targets = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.3}, "topic": {"prose": 0.9, "code": 0.1}}
+    got = [
+        {(r.source, r.lang, r.topic): r.rate for r in mixing.rates(df, {m: F.col(m) for m in mixing.MARGINS}, F.col("n"), targets, keep=0.8, temper=0.5, most=most).collect()}
+        for most in (mixing.DRIVER_CELLS, 0)
+    ]
+    assert got[0].keys() == got[1].keys() and max(got[0].values()) == 1.0 and all(abs(got[0][k] - got[1][k]) < 1e-8 for k in got[0])
+
+
 # ── neighbours ───────────────────────────────────────────────────────────────
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
