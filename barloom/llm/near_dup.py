@@ -8,7 +8,7 @@
    components there are found by what their classes do not share with a pivot (`_across`).  So each pair of a bucket is in one
    component, has been compared, or cannot be similar; no bucket is capped, and copies of one template never make all pairs.
 
-At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**4)**32 < 1e-10, and the signature test, set six
+At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**4)**32 < 1e-10 (below 1e-7 at 0.8), and the signature test, set six
 standard deviations below, loses less still.
 """
 

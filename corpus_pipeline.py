@@ -1,7 +1,7 @@
 """From documents to packed training sequences: each stage is one operator, written as Parquet and read again.
 
 1. toxicity: documents that the factorization machine rejects go.
-2. near_duplicates: of each group of b-bit MinHash near-duplicates the document with the smallest id stays.
+2. near_duplicates: of each group of b-bit MinHash near-duplicates (similarity 0.8 or more) the document with the smallest id stays.
 3. repeats: passages of 400 bytes or more that stand anywhere else too are cut out of the texts; no document goes.
 4. mixing: documents are sampled with rates raked to the wanted token shares of sources, languages and topics.
 5. packing: the pieces of the documents in sequences of at most 2048 tokens.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from barloom.llm import common, mixing, near_dup, packing, repeats, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Percent of shared five-word shingles from which documents are near copies; the op4 query has its own contract.
+SIMILAR = 80
 #: Part of all tokens that the mix keeps.
 KEEP = 0.9
 
@@ -28,7 +30,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs, percent=85)
+    return near_dup.keep_one(docs, percent=SIMILAR)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

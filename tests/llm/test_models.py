@@ -227,6 +227,22 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_links_from_eighty_percent(spark):
+    """Of 100 shingles each, two pairs share 0.80 to 0.85, a third one 0.77."""
+    rows = []
+    for base, cut in ((0, 9), (10, 10)):
+        words = [f"w{base}x{i}" for i in range(104)]
+        other = words[: 104 - cut] + [f"v{base}x{i}" for i in range(cut)]
+        first, second = ({tuple(w[i : i + 5]) for i in range(100)} for w in (words, other))
+        share = len(first & second) / len(first | second)
+        assert 0.8 <= share < 0.85
+        rows += [(base, " ".join(words), "en", "s", 1), (base + 1, " ".join(other), "en", "s", 1)]
+    far = [f"u{i}" for i in range(104)]
+    rows += [(20, " ".join(far), "en", "s", 1), (21, " ".join(far[:91] + [f"t{i}" for i in range(13)]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()) == [0, 10, 20, 21]
+
+
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) <= set(names) and "pipeline" in names
