@@ -39,10 +39,12 @@ na AS (SELECT symbol, count(*) AS news_count, avg(score) AS news_score,
        first(title ORDER BY abs(score) DESC, doc_id) AS headline FROM nh JOIN nz USING (doc_id) GROUP BY symbol)"""
 
 
-def news_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def news_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, names found in them, name of each symbol)."""
     items = text.scored(T.news(spark, d))
     items = items.where(text.recent(F.col("published"), ASOF, HOURS))
-    return items, text.mentions(items, T.news_names(spark, d))
+    names = T.news_names(spark, d)
+    return items, text.name_hits(items, names), names
 
 
 @R.add(
@@ -58,7 +60,8 @@ def headline_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("news_mentions", f"WITH {NEWS_CTES} SELECT doc_id, symbol FROM nh")
 def news_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return news_of(spark, d)[1]
+    items, _, names = news_of(spark, d)
+    return text.mentions(items, names)
 
 
 @R.add(
@@ -85,7 +88,7 @@ def news_per_symbol(spark: SparkSession, d: str) -> DataFrame:
 )
 def market_context(spark: SparkSession, d: str) -> DataFrame:
     """The first items that name nobody, attached to every symbol as context."""
-    items, hits = news_of(spark, d)
+    items, hits, _ = news_of(spark, d)
     out = text.with_context(T.supplier_sectors(spark, d).select("symbol"), text.generic_items(items, hits))
     return out.select("symbol", F.array_join("market_context", " | ").alias("market_context"))
 

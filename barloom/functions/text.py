@@ -39,23 +39,26 @@ def scored(news: DataFrame) -> DataFrame:
     )
 
 
-def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, symbol) for every name that stands as a whole word in the text, case-sensitive.
+def name_hits(news: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, name) for every name that stands as a whole word in the text, case-sensitive.
 
-    Words are exploded once per text and equi-joined with the first word of each name.  A name that
+    Words are exploded once per text and equi-joined with the first word of each distinct name.  A name that
     is one word is then found; only a name with punctuation has its text looked at again.
     """
     tokens = news.select("doc_id", F.explode(F.array_distinct(words(F.col("combined")))).alias("_w"))
-    # a name belongs to one symbol: two symbols of one name would double every text that has it
-    names = names.groupBy("name").agg(F.min("symbol").alias("symbol"))
-    keyed = names.withColumn("_w", F.regexp_extract("name", WORD, 0)).where(F.col("_w") != "")
+    keyed = names.select("name").distinct().withColumn("_w", F.regexp_extract("name", WORD, 0)).where(F.col("_w") != "")
     found = tokens.join(keyed, "_w")
-    one_word = found.where(F.col("name") == F.col("_w")).select("doc_id", "symbol")
+    one_word = found.where(F.col("name") == F.col("_w")).select("doc_id", "name")
     # a whole word around punctuation: no word character on either outer side
     quoted = F.concat(F.lit("(?U)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
-    more = found.where(F.col("name") != F.col("_w")).select("doc_id", "symbol", "name")
+    more = found.where(F.col("name") != F.col("_w")).select("doc_id", "name")
     punctuated = more.join(news.select("doc_id", "combined"), "doc_id").where(F.rlike("combined", quoted))
-    return one_word.unionByName(punctuated.select("doc_id", "symbol")).distinct()
+    return one_word.unionByName(punctuated.select("doc_id", "name")).distinct()
+
+
+def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, symbol) of every symbol whose name the text has; symbols that share a name each have its texts."""
+    return name_hits(news, names).join(names.select("symbol", "name").distinct(), "name").select("doc_id", "symbol").distinct()
 
 
 def generic_items(news: DataFrame, hits: DataFrame, k: int = t.GENERIC_ITEMS) -> DataFrame:
@@ -63,22 +66,25 @@ def generic_items(news: DataFrame, hits: DataFrame, k: int = t.GENERIC_ITEMS) ->
     return news.join(hits, "doc_id", "left_anti").orderBy("doc_id").limit(k)
 
 
-def aggregate_news(news: DataFrame, hits: DataFrame) -> DataFrame:
+def aggregate_news(news: DataFrame, hits: DataFrame, names: DataFrame) -> DataFrame:
     """Per symbol: count, mean score, headline with the largest |score|, five snippets.
 
-    Counts and means combine map-side; snippets come from a top-5 rank filter, so a name that is in
-    every text never gathers its texts in one place.
+    hits: (doc_id, name) of `name_hits`.  Texts are aggregated once for the names that a symbol has, and the small result goes to
+    all symbols of these names, so that a shared name multiplies no texts.  Counts and means combine map-side; snippets come from
+    a top-5 rank filter, so a name that is in every text never gathers its texts in one place.
     """
-    named = hits.join(news, "doc_id")
-    stats = named.groupBy("symbol").agg(F.count(F.lit(1)).alias("news_count"), F.avg("score").alias("news_score"))
-    w = Window.partitionBy("symbol").orderBy(F.abs("score").desc(), F.col("doc_id"))
+    of_symbol = names.groupBy("symbol").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    sets = of_symbol.select("_names").distinct().select("_names", F.explode("_names").alias("name"))
+    named = hits.join(sets, "name").select("doc_id", "_names").distinct().join(news, "doc_id")
+    stats = named.groupBy("_names").agg(F.count(F.lit(1)).alias("news_count"), F.avg("score").alias("news_score"))
+    w = Window.partitionBy("_names").orderBy(F.abs("score").desc(), F.col("doc_id"))
     top = named.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5)
     line = F.concat(F.col("title"), F.lit(" ("), F.col("source"), F.lit(")"))
-    picked = top.groupBy("symbol").agg(
+    picked = top.groupBy("_names").agg(
         F.max(F.when(F.col("_rn") == 1, F.col("title"))).alias("headline"),
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", line.alias("s")))), lambda x: x["s"]).alias("snippets"),
     )
-    return stats.join(picked, "symbol")
+    return of_symbol.join(stats.join(picked, "_names"), "_names").drop("_names")
 
 
 def with_context(symbols: DataFrame, generic: DataFrame, k: int = 3) -> DataFrame:

@@ -59,6 +59,18 @@ def test_lexicon_and_mentions(spark):
     assert [r["doc_id"] for r in text.generic_items(n, hits).collect()] == [3]
 
 
+def test_symbols_of_one_name_share_its_news(spark):
+    rows = [(i, f"Acme item {i}", "x", "profit" if i % 2 else "Other loss") for i in range(8)]
+    n = text.scored(spark.createDataFrame(rows, "doc_id long, title string, source string, summary string"))
+    names = spark.createDataFrame([("A1", "Acme"), ("A2", "Acme"), ("B", "Other"), ("C", "Other"), ("C", "Acme"), ("D", "D")], "symbol string, name string")
+    hits = text.mentions(n, names).collect()
+    assert sorted(r.doc_id for r in hits if r.symbol == "A2") == list(range(8)) and len(hits) == 8 * 3 + 4
+    got = {r.symbol: r for r in text.aggregate_news(n, text.name_hits(n, names), names).collect()}
+    assert {s: r.news_count for s, r in got.items()} == {"A1": 8, "A2": 8, "B": 4, "C": 8}
+    assert got["A1"][1:] == got["A2"][1:] == got["C"][1:] and got["B"].news_score == -1 and got["B"].headline == "Acme item 0"
+    assert got["A2"].snippets == [f"Acme item {i} (x)" for i in range(5)]
+
+
 def test_long_and_short_levels_are_ordered(spark):
     rows = [(p, rsi, p * e) for p in (0.5, 20.0, 900.0) for rsi in (20.0, 50.0, 80.0) for e in (0.7, 0.97, 1.0, 1.03, 1.4)]
     df = spark.createDataFrame(rows, "price double, rsi double, ema9 double").withColumns(
