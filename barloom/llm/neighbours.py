@@ -141,7 +141,7 @@ def _few(rows: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def search(
-    rows: DataFrame, is_query, k: int = 5, *, recall: float = 0.96, sample: int = 20_000, calibration: int = 200, leaf_size: int | None = None, block: int = 4096,
+    rows: DataFrame, is_query, k: int = 5, *, recall: float = 0.97, sample: int = 20_000, calibration: int = 200, leaf_size: int | None = None, block: int = 4096,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of every row for which `is_query` (a condition on vec_id) holds.

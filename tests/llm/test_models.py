@@ -202,6 +202,12 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (450, 1), (450, 2)]
 
 
+def test_default_recall_target():
+    import inspect
+
+    assert inspect.signature(neighbours.search).parameters["recall"].default >= 0.97
+
+
 def test_best_bins_visit_every_leaf_once():
     x = neighbours.units(np.random.default_rng(0).normal(size=(500, 8)))
     tree = neighbours.Tree.fit(x, leaf_size=10)
