@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import Registry
-from barloom.llm import common, id_store, mixing, near_dup, neighbours, packing, quality, repeats, token_counts, toxicity, winnowing
+from barloom.llm import (
+    common, filter_audit, id_store, mixing, near_dup, neighbours, packing, periodic_runs, quality, repeats, token_counts, toxicity, window_dedup, winnowing,
+)
 from barloom.llm.common import table
 
 reg = Registry()
@@ -78,3 +80,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.add("op8_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@reg.add("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.looped(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    digests = F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+@reg.add("op12_filter_audit", filter_audit.TWIN)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@reg.add("op13_window_dedup", window_dedup.TWIN)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup.without_repeated_windows(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
