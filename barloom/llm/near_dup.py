@@ -27,7 +27,6 @@ from barloom.llm.components import components
 WORDS = 5
 BANDS, ROWS, BITS = 32, 4, 2
 SLOTS = BANDS * ROWS
-SPARE = 1 << 62  # keys of rows without an id begin here
 
 _SEEDS = common.mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * common.BASE)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,16 +101,17 @@ def signatures(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.concatenate(planes, axis=1)
 
 
-SKETCH = "key long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+SKETCH = "key struct<nameless:boolean,id:long,tag:long>, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    spare = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(SPARE)
-    return common.keyed_texts(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", spare))
+    """Texts with a key of their own that sorts by id; rows without one come last, by a hash of their text."""
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tag"))
+    return common.keyed_texts(docs, id_col, text_col).withColumn("key", key)
 
 
 def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its key (the id, or one from the text where the id is null), set size, digest, bands, bits."""
+    """One row per document: its key, set size, digest, bands, bits."""
 
     def run(batches):
         for b in batches:
@@ -219,14 +219,8 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, light: DataF
     return direct.unionByName(_confirmed(pairs, sets, percent)).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, kept) of every document.
-
-    Documents are linked where 100 * shared >= percent * union of their shingle sets; component_id is the smallest id that
-    links reach, n_links the number of confirmed comparisons of the document's class (copies are not expanded).  A text without
-    words is linked with nothing.  Rows with equal ids share a component only if their texts do; rows without an id belong to
-    components like others, and component_id is null only where no member has an id.
-    """
+def _grouped(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, n_shingles, n_links, root) of every document; root is the least key of its component."""
     all_docs = common.written(sketches(docs, words=words, id_col=id_col, text_col=text_col))
     some = all_docs.where("n_shingles > 0")
     first = some.groupBy("digest").agg(F.min(F.struct("key", "n_shingles", "bands", "bits")).alias("c"))
@@ -260,20 +254,37 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     members = members.select("digest", "key", F.coalesce("part", "digest").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     roots = members.groupBy("part").agg(F.min("key").alias("root"))
     named = members.join(roots, "part").select("digest", "n_links", "root")
-    out = some.select("doc_id", "n_shingles", "digest").join(named, "digest")
-    whole = out.select("doc_id", "n_shingles", F.when(F.col("root") < SPARE, F.col("root")).alias("component_id"), "n_links")
-    alone = all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return whole.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    whole = some.select("key", "doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
+    alone = all_docs.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("root"))
+    return whole.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, kept) of every document.
+
+    Documents are linked where 100 * shared >= percent * union of their shingle sets; component_id is the smallest id that
+    links reach, n_links the number of confirmed comparisons of the document's class (copies are not expanded).  A text without
+    words is linked with nothing.  Rows with equal ids share a component only if their texts do; rows without an id belong to
+    components like others, and component_id is null only where no member has an id.
+    """
+    found = _grouped(docs, percent, words, id_col, text_col)
+    least = F.when(~F.col("root.nameless"), F.col("root.id"))
+    return found.select("doc_id", "n_shingles", least.alias("component_id"), "n_links", F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the near-duplicates of a kept document: of each component the row with the smallest id stays.
+    """`docs` without the near-duplicates of a kept document: of each component one row stays.
 
-    Of repeated rows with one id and equal texts, one stays.  Columns are those of `docs`.
+    That is the row with the smallest id, of equal ids the text with the smallest hash; rows without an id come after all others.  Of
+    rows that repeat an id and a text one stays, but texts without words stay all.  Columns are those of `docs`.
     """
-    found = near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col)
-    mine = common.free_name(docs, "kept_id")
-    ids = found.where("kept").select(F.col("doc_id").alias(mine)).distinct()
-    left = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[mine]), "left_semi")
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])
+    found = _grouped(docs, percent, WORDS, id_col, text_col)
+    key, again = (common.free_name(docs, c) for c in ("key", "again"))
+    first = found.where(F.col("key") == F.col("root")).groupBy(F.col("key").alias(key)).agg(
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias(again)
+    )
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    mine = F.struct(id_.isNull().alias("nameless"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("tag"))
+    left = docs.withColumn(key, mine).join(common.written(first), key)
+    twice = left.where(again).dropDuplicates([key])
+    return left.where(~F.col(again)).unionByName(twice).select(*docs.columns)

@@ -89,7 +89,7 @@ def split(texts: list[str], special: str = "<|endoftext|>"):
 class PieceTable:
     """Values of known pieces.  `compute` gets the texts of new pieces and returns their arrays of ids (or counts)."""
 
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 1_500_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 500_000) -> None:
         self.compute, self.most = compute, most
         self.clear()
 

@@ -213,3 +213,51 @@ def test_no_rows_no_repeats(spark):
     assert repeats.without_repeats(df.where("false"), length=20).count() == 0
     got = {r.doc_id: r.n_removed for r in repeats.without_repeats(df, length=20).collect()}
     assert got == {None: 50, 1: 0}
+
+
+def slow_keepers(rows, percent):
+    """Indexes of the rows that stay: the least (id, hash of the text) of each component, texts without words always."""
+    def shingles(t):
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    return sets, group
+
+
+def test_every_id_is_an_id(spark):
+    base = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefghijk"]
+    near = lambda t: t + " more"
+    rows = [
+        (2**62 + 5, base[0]), (2**62 + 9, base[1]), (2**63 - 1, base[2]), (2**62 - 1, near(base[2])), (-(2**63), base[3]), (7, near(base[3])),
+        (None, base[4]), (None, base[4].replace(" ", "  ")), (None, base[4]), (None, base[5]), (3, near(base[5])),
+        (11, base[6]), (11, base[7]), (12, base[7]), (13, base[8]), (13, base[8]), (1, base[9]), (1, near(base[9])), (None, ""), (None, ""), (14, None), (14, None),
+    ]
+    docs = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, key int, root string")
+    sets, group = slow_keepers(rows, 80)
+    got = near_dup.near_duplicates(docs, percent=80).collect()
+    want = []
+    for (i, _), s, g in zip(rows, sets, group):
+        ids = [rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None]
+        least = min(ids, default=None) if s else i
+        want.append((i, len(s), least, i == least))
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], key=str) == sorted(want, key=str)
+
+    kept = near_dup.keep_one(docs, percent=80)
+    assert kept.columns == docs.columns
+    stay = sorted(r.key for r in kept.collect())
+    for g in set(group):
+        members = [k for k in range(len(rows)) if group[k] == g]
+        here = [k for k in stay if k in members]
+        if not sets[members[0]]:
+            assert here == members
+            continue
+        assert len(here) == 1
+        assert (rows[here[0]][0] is None, rows[here[0]][0] or 0) == min((rows[k][0] is None, rows[k][0] or 0) for k in members)
+    assert near_dup.keep_one(docs.where("false")).count() == 0
