@@ -156,11 +156,11 @@ def _read_sketch(raw: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-CHUNKS = "chunk long, ids array<long>, sizes array<long>, texts binary, parts array<struct<slice:int,cells:binary>>"
+CHUNKS = "chunk long, ids array<long>, sizes array<long>, texts binary"
 
 
-def packed(docs: DataFrame, window: int, grid: Grid, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """Chunks of documents in ascending order of ids (null last), with the slices of their sketches."""
+def packed(docs: DataFrame, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """Chunks of documents in ascending order of ids (null last)."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -170,16 +170,9 @@ def packed(docs: DataFrame, window: int, grid: Grid, chunk_chars: int, id_col: s
                 order = sorted(range(lo, hi), key=lambda i: (ids[i] is None, ids[i] or 0))
                 raw = [texts[i].encode("utf-8", "surrogatepass") for i in order]
                 mine = [ids[i] for i in order]
-                found = _windows(raw, mine, window)
-                rows = found.cells(grid)
-                parts = [
-                    {"slice": s, "cells": _sketch([(c[a:z], m[a:z]) for (c, m, _), (a, z) in zip(rows, cuts)], grid.mask)}
-                    for s, cuts in _slices([r[0] for r in rows], grid.cell_bits)
-                ]
                 longs = pa.list_(pa.int64())
-                kinds = (pa.int64(), longs, longs, pa.binary(), pa.list_(pa.struct([("slice", pa.int32()), ("cells", pa.binary())])))
-                row = ([number], [mine], [list(map(len, raw))], [_squeezed(b"".join(raw))], [parts])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], [c.split()[0] for c in CHUNKS.split(", ")])
+                row = zip(([number], [mine], [list(map(len, raw))], [_squeezed(b"".join(raw))]), (pa.int64(), longs, longs, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in row], [c.split()[0] for c in CHUNKS.split(", ")])
                 number += 1
 
     return common.keyed_texts(docs, id_col, text_col).mapInArrow(run, CHUNKS)
@@ -198,6 +191,23 @@ def _open(row: dict, window: int) -> tuple[Windows, list[int | None]]:
     return _windows(raw, row["ids"], window), row["ids"]
 
 
+def _sketches(chunks: DataFrame, window: int, grid: Grid) -> DataFrame:
+    """(slice, chunk, cells): the sketch of every chunk, cut into slices."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                rows = _open(row, window)[0].cells(grid)
+                out = [
+                    (s, row["chunk"], _sketch([(c[a:z], m[a:z]) for (c, m, _), (a, z) in zip(rows, cuts)], grid.mask))
+                    for s, cuts in _slices([r[0] for r in rows], grid.cell_bits)
+                ]
+                cols = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()))], ["slice", "chunk", "cells"])
+
+    return chunks.mapInArrow(run, "slice int, chunk long, cells binary")
+
+
 ANSWER = "chunk long, slice int, bits binary"
 _ANSWER = [c.split()[0] for c in ANSWER.split(", ")]
 
@@ -224,17 +234,14 @@ def _merged(grid: Grid):
 def _group(table: pa.Table) -> pa.Table:
     """All windows asked for in one slice -> for each whether a chunk names a smaller id."""
     counts = np.array(table.column("n").to_pylist(), np.int64)
-    kinds = ("<u8", "<u4", "<i8")
-    held = [np.empty(int(counts.sum()), k) for k in kinds]
+    first, second, ids = (np.empty(int(counts.sum()), k) for k in ("<u8", "<u4", "<i8"))
     at = 0
     for raw, n in zip(table.column("windows"), counts.tolist()):
-        raw, lo = _loose(raw.as_py()), 0
-        for column, kind in zip(held, kinds):
-            size = n * column.itemsize
-            column[at : at + n] = _unplanes(raw[lo : lo + size], kind)
-            lo += size
-        at += n
-    first, second, ids = held
+        raw, to = _loose(raw.as_py()), at + n
+        first[at:to] = np.cumsum(_unplanes(raw[: 8 * n], "<u8"), dtype=np.uint64)
+        second[at:to] = _unplanes(raw[8 * n : 12 * n], "<u4")
+        ids[at:to] = np.frombuffer(raw, "<i8", offset=16 * n)[_unplanes(raw[12 * n : 16 * n], "<u4")]
+        at = to
     order = np.lexsort((second, first))
     new = np.ones(len(order), bool)
     f, s = first[order], second[order]
@@ -261,13 +268,15 @@ def _asked(chunks: DataFrame, marks: DataFrame, window: int, grid: Grid) -> Data
                 hashes, out = found.hash[some], []
                 for s, ((a, z),) in _slices([hashes], 64 - grid.bits):
                     part = some[a:z]
-                    body = _planes(found.hash[part]) + _planes(found.hash2[part]) + _planes(found.least[part])
+                    ids, which = np.unique(found.least[part], return_inverse=True)
+                    steps = np.diff(found.hash[part], prepend=np.uint64(0))  # ascending
+                    body = _planes(steps) + _planes(found.hash2[part]) + _planes(which.astype("<u4")) + ids.tobytes()
                     out.append((s, row["chunk"], z - a, _squeezed(body)))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["slice", "chunk", "n", "windows"])
 
-    rows = chunks.select("chunk", "ids", "sizes", "texts").join(_by_chunk(marks, "marks"), "chunk")
+    rows = chunks.join(_by_chunk(marks, "marks"), "chunk")
     return rows.mapInArrow(run, "slice int, chunk long, n long, windows binary")
 
 
@@ -287,9 +296,8 @@ def without_repeated_windows(docs: DataFrame, *, window: int = WINDOW, chunk_cha
     """
     size = common.keyed_texts(docs, id_col, text_col).agg(F.sum(F.octet_length("text"))).first()[0]
     grid = Grid.of(size or 0, slice_bytes)
-    chunks = common.written(packed(docs, window, grid, chunk_chars, id_col, text_col))
-    parts = chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.*")
-    marks = common.written(parts.groupBy("slice").applyInArrow(_merged(grid), ANSWER))
+    chunks = common.written(packed(docs, chunk_chars, id_col, text_col))
+    marks = common.written(_sketches(chunks, window, grid).groupBy("slice").applyInArrow(_merged(grid), ANSWER))
     asked = _asked(chunks, marks, window, grid)
     smaller = common.written(asked.groupBy("slice").applyInArrow(_group, ANSWER))
 
@@ -313,7 +321,7 @@ def without_repeated_windows(docs: DataFrame, *, window: int = WINDOW, chunk_cha
                 cols = [pa.array(ids, pa.int64()), pa.array(found.words.counts), pa.array(removed), pa.array(found.words.kept(stay), pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in KEPT.split(", ")])
 
-    rows = chunks.select("chunk", "ids", "sizes", "texts").join(_by_chunk(marks, "marks"), "chunk", "left").join(_by_chunk(smaller, "smaller"), "chunk", "left")
+    rows = chunks.join(_by_chunk(marks, "marks"), "chunk", "left").join(_by_chunk(smaller, "smaller"), "chunk", "left")
     return rows.mapInArrow(run, KEPT)
 
 
