@@ -14,9 +14,17 @@ from ..operators.series import Series, plain, plainly, segmented
 from ..operators.universe import complete
 
 
-def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
+#: Exponential averages of the close that a panel carries from bar to bar, with the signal line of MACD.
+AVERAGES = {"ema9": 9, "ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}
+SIGNAL = {"_signal": 9}
+
+
+def indicator_panel(bars: DataFrame, s: Series | None = None, carried: str | None = None, with_state: bool = False) -> DataFrame:
     """All simple and exponential inputs of the scores, plus `row_no` (1-based).
 
+    `carried` names a struct of the averages (see AVERAGES, SIGNAL) as of the last bar before the new ones, null on new bars: averages then go
+    on from there, and older bars serve the windows only.  `with_state` keeps the averages that are no output.
+
     Bars with a missing price are dropped first: the windows count rows.  Written level by level, so that everything that can share a window operator does: row-to-row
     moves, rolling aggregates of the moves, rolling means of those, exponential averages, lags.
     """
@@ -73,10 +81,19 @@ def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
     )
     b = b.withColumns({"stoch_d": W.sma("stoch_k", 3, s), "adx": W.sma("_dx", 14, s)})
     b = b.drop("_d", "_gain", "_loss", "_dvol", "_uvol", "_dmp", "_dmm", "_lo14", "_hi14", "_sd20", "_dv", "_uv", "_dx")
-    spans = {"ema9": 9, "ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}
-    b = add_ema(b, s, {out: ("close", span_alpha(n)) for out, n in spans.items()})
-    b = b.withColumn("macd", c("_fast") - c("_slow"))
-    b = add_ema(b, s, {"_signal": ("macd", span_alpha(9))})
+    if carried is None:
+        b = add_ema(b, s, {out: ("close", span_alpha(n)) for out, n in AVERAGES.items()})
+        b = b.withColumn("macd", c("_fast") - c("_slow"))
+        b = add_ema(b, s, {out: ("macd", span_alpha(n)) for out, n in SIGNAL.items()})
+    else:
+        # the last old bar enters with the average itself, older ones not at all, and an average starts at its first value
+        old = lambda out, x: F.when(c("_old"), c(f"{carried}.{out}")).otherwise(c(x))
+        going = lambda spans: {out: (f"_x{out}", span_alpha(n)) for out, n in spans.items()}
+        b = b.withColumns({f"_x{out}": old(out, "close") for out in AVERAGES})
+        b = add_ema(b, s, going(AVERAGES), late=tuple(f"_x{out}" for out in AVERAGES))
+        b = b.withColumn("macd", c("_fast") - c("_slow")).withColumns({f"_x{out}": old(out, "macd") for out in SIGNAL})
+        b = add_ema(b, s, going(SIGNAL), late=tuple(f"_x{out}" for out in SIGNAL))
+        b = b.drop(*[f"_x{out}" for out in (*AVERAGES, *SIGNAL)])
     b = b.withColumn("macd_hist", c("macd") - c("_signal"))
     b = b.withColumns(
         {
@@ -85,7 +102,8 @@ def indicator_panel(bars: DataFrame, s: Series | None = None) -> DataFrame:
             "prev_ema200": back("ema200", 1),
         }
     )
-    return plainly(b.drop("_fast", "_slow", "_signal", "tr", "dm_plus", "dm_minus"))
+    inner = () if with_state else ("_fast", "_slow", "_signal")
+    return plainly(b.drop(*inner, "tr", "dm_plus", "dm_minus"))
 
 
 def technical_panel(bars: DataFrame, s: Series | None = None, min_rows: int = technical.MIN_ROWS) -> DataFrame:

@@ -72,41 +72,57 @@ def best_source(feeds: DataFrame, asof: Column, stale: int = t.STREAM_STALE_SECO
     return fit.groupBy("symbol").agg(pick.alias("_p")).select("symbol", "_p.*")
 
 
-HOURS_AHEAD = 24 * 14
 MIN_BARS = 210  # fixed value: bars needed before the averages count
 
 
-def hours_in_force(hourly: DataFrame, ahead: int = HOURS_AHEAD) -> DataFrame:
-    """Per symbol and clock hour the newest bar that was finished when the hour began, `bars_seen` bars long.
+def hours_in_force(hourly: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Per symbol and clock hour the newest bar that was finished when the hour began, the last bar of each symbol).
 
-    A bar holds from the end of its own hour to the end of the next bar's hour, over halts and weekends, and the last
-    one for `ahead` hours, so that an equality of hours finds the last bar that exists.
+    A bar holds from the end of its own hour to the end of the next bar's hour, over halts and weekends, so that an equality of
+    hours finds it; the last one holds from then on.  `bars_seen` counts the bars up to it.
     """
     w = Window.partitionBy("symbol").orderBy("ts")
     hour = F.expr("INTERVAL 1 HOUR")
-    until = F.coalesce(F.lead("ts").over(w), F.col("ts") + F.expr(f"INTERVAL {ahead} HOURS"))
-    held = hourly.withColumn("bars_seen", F.row_number().over(w)).withColumn("_until", until)
-    return held.withColumn("_hour", F.explode(F.sequence(F.col("ts") + hour, "_until", hour)))
+    held = hourly.withColumns({"bars_seen": F.row_number().over(w), "_until": F.lead("ts").over(w)})
+    between = held.where("_until IS NOT NULL").withColumn("_hour", F.explode(F.sequence(F.col("ts") + hour, "_until", hour)))
+    last = held.where("_until IS NULL").withColumn("_from", F.col("ts") + hour)
+    return between, last
 
 
-def live_bias(quoted: DataFrame, hourly: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
-    """Bias of each tick against the averages of its symbol's last finished bar (stream-static join).
+def with_bias(df: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
+    """Adds status, bias, dirn and risk to ticks with price, ema50, ema200, atr and bars_seen.
 
-    hourly: symbol, ts, ema50, ema200, atr.  Every tick stays.  `status` is ok, short history (fewer than `min_bars` bars) or
-    no bars; only an ok row has a bias, a direction and a risk.
+    `status` is ok, short history (fewer than `min_bars` bars) or no bars; only an ok row has a bias, a direction and a risk.
     """
-    q = quoted.withColumn("_hour", F.date_trunc("hour", "ts"))
-    h = hours_in_force(hourly).select("symbol", "_hour", "ema50", "ema200", "atr", "bars_seen")
     over = (F.col("price") > F.col("ema200")) & (F.col("price") > F.col("ema50"))
     under = (F.col("price") < F.col("ema200")) & (F.col("price") < F.col("ema50"))
     bias = F.when(over, "BULLISH").when(under, "BEARISH").otherwise("MIXED")
     dirn = F.when(over, 1).when(under, -1).when(F.col("price") > F.col("ema200"), 1).otherwise(-1)
     status = F.when(F.col("bars_seen").isNull(), "no bars").when(F.col("bars_seen") < min_bars, "short history").otherwise("ok")
-    out = q.join(h, ["symbol", "_hour"], "left").withColumn("status", status)
+    out = df.withColumn("status", status)
     fine = F.col("status") == "ok"
-    return out.withColumns(
-        {"bias": F.when(fine, bias), "dirn": F.when(fine, dirn), "risk": F.when(fine, 1.5 * F.col("atr"))}
-    ).drop("_hour", "bars_seen")
+    return out.withColumns({"bias": F.when(fine, bias), "dirn": F.when(fine, dirn), "risk": F.when(fine, 1.5 * F.col("atr"))})
+
+
+def hold_last(quoted: DataFrame, hourly: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
+    """Ticks with the averages of their symbol's last finished bar, however long ago that was, and the bias from them."""
+    between, last = hours_in_force(hourly)
+    cols = ("ema50", "ema200", "atr", "bars_seen")
+    q = quoted.withColumn("_hour", F.date_trunc("hour", "ts"))
+    h = between.select("symbol", "_hour", F.struct(*cols).alias("_h"))
+    e = last.select("symbol", "_from", F.struct(*cols).alias("_e"))
+    x = q.join(h, ["symbol", "_hour"], "left").join(e, "symbol", "left")  # one last row per symbol
+    held = F.coalesce("_h", F.when(F.col("_hour") >= F.col("_from"), F.col("_e")))
+    x = x.withColumn("_h", held)
+    return with_bias(x.withColumns({c: F.col(f"_h.{c}") for c in cols}), min_bars).drop("_hour", "_h", "_e", "_from")
+
+
+def live_bias(quoted: DataFrame, hourly: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
+    """Bias of each tick against the averages of its symbol's last finished bar (stream-static join).
+
+    hourly: symbol, ts, ema50, ema200, atr.  Every tick stays; see `with_bias` for the columns added.
+    """
+    return hold_last(quoted, hourly, min_bars).drop("bars_seen")
 
 
 def parity_sample(quoted: DataFrame, seconds: int = 2) -> DataFrame:
