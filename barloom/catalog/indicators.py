@@ -237,7 +237,7 @@ _CROSS_OUT = ["x_chg5", "x_lvl", "x_roc20", "px_over_x", "pxx_roc20", "inv_roc20
 @R.add(
     "cross_asset_features",
     f"""WITH b AS ({q.LI_D}),
-        x AS (SELECT ts, close AS xc FROM b WHERE symbol = 'AF' AND CAST(floor(close) AS BIGINT) % 3 <> 0),
+        x AS (SELECT ts, close AS xc FROM b WHERE symbol = 'AF'),
         j AS (SELECT b.*, xc FROM b LEFT JOIN x USING (ts)),
         f AS (SELECT *, last_value(xc IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts
                          ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS xf FROM j),
@@ -248,11 +248,9 @@ _CROSS_OUT = ["x_chg5", "x_lvl", "x_roc20", "px_over_x", "pxx_roc20", "inv_roc20
           {q.r(f'-(xf / NULLIF({q.lag("xf", 20)}, 0) - 1)')} AS inv_roc20 FROM g""",
 )
 def cross_asset_features(spark: SparkSession, d: str) -> DataFrame:
-    """A driver with gaps, carried forward at most five bars, and its changes."""
+    """A driver, carried forward over at most five bars without it, and its changes."""
     b = T.bars_li_d(spark, d)
-    driver = b.where((F.col("symbol") == "AF") & (F.floor("close") % 3 != 0)).select(
-        "ts", F.col("close").alias("x")
-    )
+    driver = b.where(F.col("symbol") == "AF").select("ts", F.col("close").alias("x"))
     b = J.asof_fill(b, S, driver, "x", limit=5)
     b = b.withColumn("px_over_x", ratio("close", "x"))
     b = b.withColumns(
@@ -267,8 +265,8 @@ def cross_asset_features(spark: SparkSession, d: str) -> DataFrame:
     return _out(b, _CROSS_OUT, 6)
 
 
-# which series of the test table stands for which driver
-_DRIVER_OF = {"dxy": "AF", "tnx": "AO", "vix": "NF", "tip": "NO", "slv": "RF", "spx": "RO"}
+# which series of the test table stands for which driver; they have days without a bar
+_DRIVER_OF = {n: f"U{i}" for i, n in enumerate(J.DRIVERS)}
 _XN = [n for n in _DRIVER_OF]
 _X_FEATURES = {
     **{f"c_{n}_{k}{d}": (f"x_{n} - {q.lag(f'x_{n}', d)}" if n in J.LEVELS else f"x_{n} / NULLIF({q.lag(f'x_{n}', d)}, 0) - 1")
@@ -282,17 +280,17 @@ _X_FEATURES = {
 
 @R.add(
     "cross_driver_features",
-    f"""WITH b AS ({q.LI_D}), d AS (SELECT * FROM b WHERE CAST(floor(close) AS BIGINT) % 3 <> 0),
-        w AS (SELECT ts, {', '.join(f"max(CASE WHEN symbol = '{y}' THEN close END) AS r_{n}" for n, y in _DRIVER_OF.items())} FROM d GROUP BY ts),
+    f"""WITH b AS ({q.USR_D}),
+        w AS (SELECT ts, {', '.join(f"max(CASE WHEN symbol = '{y}' THEN close END) AS r_{n}" for n, y in _DRIVER_OF.items())} FROM b GROUP BY ts),
         f AS (SELECT b.*, {', '.join(f"last_value(r_{n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x_{n}" for n in _XN)}
               FROM b LEFT JOIN w USING (ts))
         SELECT symbol, {q.minute('ts')} AS ts, {', '.join(f'{q.r(e)} AS {c}' for c, e in _X_FEATURES.items())} FROM f""",
 )
 def cross_driver_features(spark: SparkSession, d: str) -> DataFrame:
-    """The cross-asset block from six drivers with gaps, carried forward at most five bars."""
-    b = T.bars_li_d(spark, d)
+    """The cross-asset block from all nine drivers, carried forward at most five bars, for every user's daily bars."""
+    b = T.bars_usr_d(spark, d)
     names = F.create_map(*[x for n, y in _DRIVER_OF.items() for x in (F.lit(y), F.lit(n))])
-    drivers = b.where(F.floor("close") % 3 != 0).select(names[F.col("symbol")].alias("symbol"), "ts", "close")
+    drivers = b.where(F.col("symbol").isin(*_DRIVER_OF.values())).select(names[F.col("symbol")].alias("symbol"), "ts", "close")
     return _out(J.cross_features(b, S, drivers), list(_X_FEATURES), 6)
 
 

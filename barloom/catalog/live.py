@@ -12,11 +12,15 @@ from ..operators import sessions as N
 from ..operators.cross import top_n
 from ..operators.ema import add_ema, span_alpha, wilder_alpha
 from ..operators.series import plain
+from ..operators.settle import shared_folder
 from ..sources import tables as T
 from ..sources.feeds import last_events
+from ..sources.history import History
 from ..streaming import latch as L
 from ..streaming import ticks as K
+from ..streaming.hours import self_biased
 from ..streaming.live import live_signals
+from ..streaming.priority import source_changes as changes_of
 from . import sqlbits as q
 from .registry import Registry
 
@@ -87,7 +91,9 @@ def _hour_state(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LB = f"""{_Q}, lb AS MATERIALIZED ({q.numbered(f'({q.EVT_H})')}), lm AS MATERIALIZED ({q.moves('lb')}),
+def _lb(hours: str) -> str:
+    """CTEs from hour bars to `lv`, every tick with its bias."""
+    return f"""{_Q}, lb AS MATERIALIZED ({q.numbered(f'({hours})')}), lm AS MATERIALIZED ({q.moves('lb')}),
 le AS MATERIALIZED {q.ema_rec('lm', {'ema50': ('close', span_alpha(50)), 'ema200': ('close', span_alpha(200)), 'atr': ('tr', wilder_alpha(24))})},
 lh AS (SELECT lb.symbol, lb.ts + INTERVAL 1 HOUR AS nxt, lb.pos, ema50, ema200, atr FROM lb JOIN le USING (symbol, pos)),
 lj AS (SELECT tq.*, pos, ema50, ema200, atr FROM (SELECT *, date_trunc('hour', ts) AS hr FROM tq) tq ASOF LEFT JOIN lh ON lh.symbol = tq.symbol AND tq.hr >= lh.nxt),
@@ -96,6 +102,12 @@ lv AS (SELECT *, CASE WHEN pos IS NULL THEN 'no bars' WHEN pos < 210 THEN 'short
        CASE WHEN pos < 210 OR pos IS NULL THEN NULL WHEN price > ema200 THEN 1 ELSE -1 END AS dirn FROM lj)"""
 
 
+_LB = _lb(q.EVT_H)
+#: Hour bars of the ticks themselves.
+_OWN = """SELECT symbol, date_trunc('hour', ts) AS ts, first(price ORDER BY ts, price) AS open, max(price) AS high, min(price) AS low,
+        last(price ORDER BY ts, price) AS close, count(*)::DOUBLE AS volume FROM tq GROUP BY symbol, date_trunc('hour', ts)"""
+
+
 @R.add(
     "live_bias",
     f"WITH {_LB} SELECT symbol, event_id, status, bias, dirn, CASE WHEN status = 'ok' THEN {q.r('1.5 * atr')} END AS risk FROM lv",
@@ -153,12 +165,16 @@ def latch_sql(src: str, cooldown_min: float) -> str:
 _LEVELS = ["entry", "stop", "tp1", "tp2", "risk", "price", "mfe", "mae"]
 _SECOND = "'%Y-%m-%d %H:%M:%S'"
 _ET = "(ts - INTERVAL 5 HOUR)"
-_LIVE_LATCH = f"""WITH RECURSIVE {_LB},
+def _live_latch(bars: str) -> str:
+    return f"""WITH RECURSIVE {bars},
       li AS (SELECT symbol, ts, bias, dirn, price, CASE WHEN status = 'ok' THEN 1.5 * atr END AS risk,
         NOT (isodow({_ET}) = 5 AND hour({_ET}) >= 17 OR isodow({_ET}) = 6 OR isodow({_ET}) = 7 AND hour({_ET}) < 18 OR hour({_ET}) = 17) AS market_open FROM lv),
       {latch_sql('li', t.STOP_COOLDOWN_MIN)}"""
 
 
+_LIVE_LATCH = _live_latch(_LB)
+
+
 def _events_sql(key: str) -> str:
     return f"""SELECT symbol AS {key}, strftime(ts, {_SECOND}) AS ts, event, status, bias, CAST(dirn AS INTEGER) AS dirn, strftime(issued_ts, {_SECOND}) AS issued_ts,
         {', '.join(f'{q.r(c)} AS {c}' for c in _LEVELS)} FROM ev"""
@@ -175,6 +191,66 @@ def latched_signals(spark: SparkSession, d: str) -> DataFrame:
     return _events(latched(spark, d), "key")
 
 
+@R.add("own_hour_signals", f"{_live_latch(_lb(_OWN))} {_events_sql('key')}")
+def own_hour_signals(spark: SparkSession, d: str) -> DataFrame:
+    """All events of the latch where the averages come from the ticks themselves."""
+    return _events(live_signals(T.event_ticks(spark, d)), "key")
+
+
+_MICRO = "'%Y-%m-%d %H:%M:%S.%f'"
+_BIASED = ["price", "ema50", "ema200", "atr", "risk"]
+
+
+@R.add(
+    "streamed_hours",
+    f"""WITH RECURSIVE {_lb(_OWN)} SELECT symbol, strftime(ts, {_MICRO}) AS ts, status, bias, CAST(dirn AS INTEGER) AS dirn,
+        {', '.join(f'{q.r(c)} AS {c}' for c in _BIASED[:-1])}, CASE WHEN status = 'ok' THEN {q.r('1.5 * atr')} END AS risk
+        FROM lv WHERE epoch_us(ts) <= (SELECT (max(epoch_ms(ts)) - 600000) * 1000 FROM tq)""",
+)
+def streamed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Every tick that the watermark has passed with its bias, by a stream over the table into a history that takes a batch once."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder = shared_folder(spark)
+        out = self_biased(T.event_ticks(spark, d, stream=True))
+        book = History(spark, f"{folder}/book", out.schema)
+        run = out.writeStream.foreachBatch(book.sink("hours")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    x = book.read("hours")
+    return x.select(
+        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "status", "bias", "dirn", *[shown(c).alias(c) for c in _BIASED]
+    )
+
+
+@R.add(
+    "source_changes",
+    f"""WITH {_Q}, f AS (SELECT symbol, ts, price, CASE WHEN event_id % 2 = 0 THEN 'stream' ELSE 'poll' END AS source FROM tq
+             UNION ALL SELECT symbol, ts, close, 'futures' FROM ({q.EVT_H})),
+        p AS (SELECT symbol, ts FROM f UNION SELECT symbol, ts + to_microseconds(600001000) FROM f
+              WHERE source = 'stream' AND ts + to_microseconds(600001000) <= (SELECT max(ts) FROM f)),
+        a AS (SELECT p.*, s.ts AS sts, s.price AS sp FROM p ASOF LEFT JOIN (SELECT * FROM f WHERE source = 'stream') s ON p.symbol = s.symbol AND p.ts >= s.ts),
+        b AS (SELECT a.*, s.ts AS pts, s.price AS pp FROM a ASOF LEFT JOIN (SELECT * FROM f WHERE source = 'poll') s ON a.symbol = s.symbol AND a.ts >= s.ts),
+        c AS (SELECT b.*, s.ts AS fts, s.price AS fp FROM b ASOF LEFT JOIN (SELECT * FROM f WHERE source = 'futures') s ON b.symbol = s.symbol AND b.ts >= s.ts),
+        k AS (SELECT *, CASE WHEN ts - INTERVAL 600 SECOND <= sts THEN 'stream' WHEN pts IS NOT NULL THEN 'poll' WHEN fts IS NOT NULL THEN 'futures' END AS source FROM c),
+        g AS (SELECT *, lag(source) OVER (PARTITION BY symbol ORDER BY ts) AS was FROM k)
+        SELECT symbol, strftime(ts, {_MICRO}) AS ts, source, {q.r("CASE source WHEN 'stream' THEN sp WHEN 'poll' THEN pp ELSE fp END")} AS price,
+          CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.symbol = g.symbol AND f.ts = g.ts) THEN 'row' ELSE 'silence' END AS reason
+        FROM g WHERE source IS DISTINCT FROM was""",
+)
+def source_changes(spark: SparkSession, d: str) -> DataFrame:
+    """When another source begins to name the price: a row of a better one, or ten minutes of silence of the streamed one."""
+    x = K.quotes(T.event_ticks(spark, d))
+    live = x.select("symbol", "ts", "price", F.when(F.col("event_id") % 2 == 0, "stream").otherwise("poll").alias("source"))
+    fut = T.bars_evt_h(spark, d).select("symbol", "ts", F.col("close").alias("price"), F.lit("futures").alias("source"))
+    feeds = live.unionByName(fut).withColumn("market_open", F.lit(True))
+    out = changes_of(feeds, {"stream": 0, "poll": 1, "futures": 3}, stale=600)
+    return out.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "source", shown("price").alias("price"), "reason")
+
+
 _VIEW = {"move": "move", "move_r": "move_r", "move_pct": "move_pct", "to_stop": "to_stop", "to_tp1": "to_tp1", "to_tp2": "to_tp2", "age_min": "age_min"}
 
 

@@ -31,9 +31,11 @@ def _ohlc(df: DataFrame, keys: list[str], price: str, order: F.Column, volume: s
     )
 
 
-def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks: event type as symbol, bid/ask five cents around the value."""
+def event_ticks(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Ticks: event type as symbol, bid/ask five cents around the value; `stream` reads the table's files as they come."""
     e = table(spark, sf_dir, "events")
+    if stream:
+        e = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
     return e.select(
         F.col("event_type").alias("symbol"),
         "ts",

@@ -46,10 +46,10 @@ def bars(quoted: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFram
     and later ticks are dropped.  min_by/max_by combine map-side, so a hot symbol is one row per task."""
     df = quoted.withWatermark("ts", late) if quoted.isStreaming else quoted
     out = df.groupBy("symbol", F.window("ts", width).alias("w")).agg(
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", F.struct("ts", "price")).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", F.struct("ts", "price")).alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"),
     )
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
