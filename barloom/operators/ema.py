@@ -7,7 +7,8 @@ before it, and nothing older can matter at double precision.  That is two runnin
 Python worker, cost linear in rows, for series of any length.  In the blocked layout `reach(alpha)`
 rows of history make the missing start of a block irrelevant.
 
-Inputs may be NULL at the start of a series only (the average then starts at the first value).
+Inputs may be NULL at the start of a series only (the average then starts at the first value).  A NULL further on is an error
+when the row is computed: the closed form would count it as zero.  Drop or fill such rows first.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ def add_ema(
         local[f"_l_{out}"] = F.pow(q, k) * F.sum(weight * x * F.pow(q, -k)).over(in_seg)
         end = F.last(F.when(k == n - 1, F.col(f"_l_{out}")), True).over(earlier)
         y = F.col(f"_l_{out}") + F.coalesce(end, F.lit(0.0)) * F.pow(q, k + 1)
-        final[out] = F.when(x.isNotNull(), y)
+        gap = F.raise_error(F.lit(f"NULL inside the series of {src}: drop or fill it before averaging")).cast("double")
+        final[out] = F.when(x.isNotNull(), y).when(F.col(s.index) > start, gap)
     df = df.withColumns(local).withColumns(final)
     df = df.drop(*local, *[f"_f_{x}" for x in late])
     return plainly(df).select(*kept, *specs) if bare else df

@@ -42,41 +42,79 @@ def setup_rows(df: DataFrame, ids: list[str], setups: dict[str, tuple[str, int]]
     return df.select(*ids, F.explode(items).alias("_s")).select(*ids, "_s.setup", "_s.hit", "_s.dirn")
 
 
-def de_overlap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos") -> DataFrame:
+def _next_free(at: np.ndarray, gap: int) -> np.ndarray:
+    """For each row the first one at least `gap` positions on; len(at) stands for none, and for itself."""
+    return np.append(np.searchsorted(at, at + gap), len(at))
+
+
+def _last_kept(at: np.ndarray, gap: int) -> np.ndarray:
+    """For each row the last one that is kept if the row itself is: steps are doubled until none moves."""
+    n = len(at)
+    step = _next_free(at, gap)
+    last = np.where(step < n, step, np.arange(n + 1))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return last
+        last = further
+
+
+def _kept(at: np.ndarray, gap: int, first: int) -> np.ndarray:
+    """All rows kept from row `first` on: the path so far is joined by its image under steps of its own length."""
+    n = len(at)
+    step, path = _next_free(at, gap), np.array([first])
+    while path[-1] < n:
+        path = np.concatenate([path, step[path]])
+        step = step[step]
+    return path[path < n]
+
+
+def de_overlap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos", block: int = 65_536) -> DataFrame:
     """Greedy: keep a row if it is at least `gap` positions after the last kept one of its key.
 
-    A row at least `gap` after the row before it is kept whatever came earlier, so every key falls
-    apart into independent runs.  The runs are what is hashed to tasks; inside a task rows stream by
-    in order with one number of state, and no run is ever held in memory.
+    Positions are cut into blocks of `block` (or `gap`, if that is more).  Where the choice begins in a block depends on the blocks
+    before only by how far into the block the last gap reaches, so every block makes a table from that to how far its own last gap
+    reaches into what follows.  One pass over the tables of a key, one number of state, tells each block where to begin.  No
+    task sees more rows than a block has.  Rows without a position are dropped; of rows at one position one is kept.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    far = F.coalesce(F.col(pos) - F.lag(pos).over(w) >= gap, F.lit(True))
-    df = df.withColumn("_run", F.sum(F.when(far, 1).otherwise(0)).over(w))
-    group = [*keys, "_run"]
-    df = df.repartition(*[F.col(k) for k in group]).sortWithinPartitions(*group, pos)
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
+    if gap < 1:
+        raise ValueError("gap must be positive")
+    width = max(block, gap)
+    df = df.where(F.col(pos).isNotNull()).withColumn("_blk", F.floor(F.col(pos) / F.lit(width)))
+    group = [*keys, "_blk"]
+    places = df.select(*group, F.col(pos).cast("long").alias("_at"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*group).schema.fields)
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["_at"].to_numpy())
+        enter = int(pdf["_blk"].iloc[0]) * width + np.arange(gap)
+        first = np.searchsorted(at, enter)
+        last = _last_kept(at, gap)[first]
+        free = np.where(first < len(at), np.append(at, 0)[last] + gap, enter)
+        return pdf[group].head(1).assign(_free=[free])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = None, 0
         for pdf in batches:
-            at = pdf[pos].to_numpy()
-            new = np.zeros(len(pdf), bool)
-            for k in group:
-                v = pdf[k].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(new).tolist(), len(pdf)]
-            chosen = np.zeros(len(pdf), bool)
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                mine = tuple(pdf[k].iloc[lo] for k in group)
-                i = lo if mine != key else lo + int(np.searchsorted(at[lo:hi], last + gap))
-                while i < hi:  # one search per kept row
-                    chosen[i], last = True, at[i]
-                    i = lo + int(np.searchsorted(at[lo:hi], last + gap))
-                key = mine
-            yield pdf[chosen]
-
-    return df.mapInPandas(keep, df.schema).drop("_run")
+            begin = []
+            for mine, blk, table in zip(pdf[keys].itertuples(index=False, name=None) if keys else [()] * len(pdf), pdf["_blk"], pdf["_free"]):
+                start = blk * width
+                if mine != key:
+                    key, free = mine, start
+                begin.append(max(free, start))
+                free = int(table[begin[-1] - start])
+            yield pdf[group].assign(_from=begin)
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, kind="stable")
+        at = pdf[pos].to_numpy().astype(np.int64)
+        return pdf.iloc[_kept(at, gap, int(np.searchsorted(at, pdf["_from"].iloc[0])))]
+
+    tables = places.groupBy(*group).applyInPandas(table, f"{kinds}, _free array<bigint>")
+    tables = tables.repartition(*keys) if keys else tables.coalesce(1)
+    starts = tables.sortWithinPartitions(*group).mapInPandas(walk, f"{kinds}, _from bigint")
+    found = df.join(starts, group)
+    return found.groupBy(*group).applyInPandas(keep, found.schema).select(*df.drop("_blk").columns)
 
 
 def path_ahead(df: DataFrame, s: Series, n: int) -> DataFrame:

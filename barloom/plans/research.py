@@ -142,7 +142,7 @@ def feature_scan(
     long = panel.unpivot(["symbol", "ts", "_n", *fwds], continuous, "feature", "value")
     keyed = Series(keys=("symbol", "feature"), part=("symbol", "feature"), order=("ts",))
     long = long.where(F.col("value").isNotNull())
-    long = settle(expanding_rank(long, keyed, "value", "_pct", min_obs=min_rank, value_resolution=100.0))
+    long = settle(expanding_rank(long, keyed, "value", "_pct", min_obs=min_rank))
     parts = []
     for h, fwd in zip(horizons, fwds):
         kept = F.col(fwd).isNotNull() & (F.col("_n") % h == 0)

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import events as E
@@ -9,6 +10,35 @@ from barloom.plans import research
 S = plain()
 
 
+def greedy(at, gap):
+    out, last = [], None
+    for p in sorted(at):
+        if last is None or p - last >= gap:
+            out.append(p)
+            last = p
+    return out
+
+
+@pytest.mark.parametrize(("gap", "block"), [(1, 4), (7, 5), (7, 50), (40, 16)])
+def test_de_overlap_in_blocks_equals_loop(spark, gap, block):
+    rng = np.random.default_rng(gap + block)
+    rows = [(s, h, int(p)) for s in "AB" for h in (0, 1) for p in rng.choice(400, 400 if h == 0 else 60, replace=False)]
+    got = E.de_overlap(spark.createDataFrame(rows, "symbol string, hit int, pos int"), ["symbol", "hit"], gap, block=block)
+    assert got.columns == ["symbol", "hit", "pos"]
+    found = got.toPandas()
+    for s in "AB":
+        for h in (0, 1):
+            want = greedy([p for a, b, p in rows if (a, b) == (s, h)], gap)
+            assert sorted(found[(found.symbol == s) & (found.hit == h)]["pos"]) == want
+    assert E.de_overlap(got.where("false"), ["symbol"], gap).count() == 0
+
+
+def test_an_unbroken_run_of_a_million_rows_is_shared(spark):
+    rows = spark.range(1_000_000).select(F.lit("A").alias("symbol"), F.col("id").alias("pos"))
+    got = E.de_overlap(rows, ["symbol"], 7)
+    assert got.agg(F.count("*"), F.sum((F.col("pos") % 7 != 0).cast("int"))).first() == (142_858, 0)
+
+
 def test_de_overlap_equals_loop(spark):
     rng = np.random.default_rng(4)
     rows = [(k, int(p)) for k in "ab" for p in np.flatnonzero(rng.random(400) < (0.9 if k == "a" else 0.1))]

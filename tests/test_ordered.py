@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import ranks, rolling
@@ -125,6 +126,23 @@ def test_expanding_rank_with_ties(spark):
     assert np.allclose(got, [np.nan if i < 10 else (v[:i] < v[i]).mean() for i in range(300)], equal_nan=True)
 
 
+def test_counting_by_merging_equals_a_loop():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 7, 64, 65, 300):
+        v = rng.integers(0, 20, n).astype(float)
+        assert ranks._earlier_and_lower(v).tolist() == [int((v[:i] < v[i]).sum()) for i in range(n)]
+
+
+@pytest.mark.parametrize(("kind", "n"), [("narrow", 200_000), ("heavy", 1_000_000)])
+def test_expanding_rank_of_a_million_rows_of_one_key(spark, kind, n):
+    rng = np.random.default_rng(7)
+    v = 1.0 + rng.random(n) * 1e-9 if kind == "narrow" else np.where(rng.random(n) < 0.4, 5.0, rng.integers(0, 50, n))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.date_range("2020", periods=n, freq="min"), "x": v}))
+    got = ranks.expanding_rank(df, S, "x", "p", min_obs=1).select("ts", "p").toPandas().sort_values("ts")["p"].to_numpy()
+    for i in rng.integers(1, n, 40).tolist() + [n - 1]:
+        assert np.isclose(got[i], (v[:i] < v[i]).mean())
+
+
 def test_rolling_rank_brute_force(bars, walk):
     got = by_symbol(ranks.rolling_rank(bars, S, "close", "p", n=50, min_obs=20, block_rows=200))
     for sym, g in walk.groupby("symbol"):
@@ -139,3 +157,14 @@ def test_losing_run_and_drawdown(spark):
     got = by_symbol(rolling.add_losing_run(df, S, "win"))["A"]
     assert got["drawdown"].min() == -3.0  # measured from the opening balance of zero
     assert got["losing_run"].max() == 3
+
+
+def test_average_refuses_a_gap_inside_a_series(spark):
+    from barloom.operators.ema import add_ema
+
+    rows = [("A", i, None if i in gaps else float(i)) for gaps in [{0, 1}] for i in range(6)] + [("B", i, None if i == 3 else 1.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, x double").withColumn("ts", F.timestamp_seconds("ts"))
+    ok = add_ema(df.where("symbol = 'A'"), S, {"y": ("x", 0.2)}, late=("x",)).orderBy("ts").collect()
+    assert [r.y for r in ok][:4] == [None, None, 2.0, pytest.approx(2.2)]
+    with pytest.raises(Exception, match="NULL inside"):
+        add_ema(df, S, {"y": ("x", 0.2)}, late=("x",)).collect()
