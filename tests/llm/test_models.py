@@ -251,5 +251,14 @@ def test_pipeline_links_from_eighty_percent(spark):
 
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) <= set(names) and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_pipeline_cuts_a_shared_passage_from_both(spark):
+    passage = " ".join(f"pass{i}" for i in range(60))
+    rows = [(1, f"alpha one two {passage} omega"), (2, f"beta {passage} three four"), (3, "clean text of its own " * 3), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_passages(spark, docs, SF).collect()}
+    assert "pass30" not in got[1] and "pass30" not in got[2] and got[1].startswith("alpha one two") and got[2].endswith("three four")
+    assert got[3] == rows[2][1] and got[4] is None
