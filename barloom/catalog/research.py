@@ -423,6 +423,20 @@ def event_study_all(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@R.add(
+    "volatility_rank",
+    f"""WITH RECURSIVE {_D}, ve AS MATERIALIZED {q.ema_rec('dm', {'a': ('tr', wilder_alpha(14))})},
+        vp AS (SELECT db.symbol, db.ts, db.pos, a / close AS v FROM db JOIN ve USING (symbol, pos)),
+        vr AS (SELECT x.symbol, x.ts, count(p.pos) AS n, count(CASE WHEN p.v < x.v THEN 1 END) AS below
+               FROM vp x LEFT JOIN vp p ON p.symbol = x.symbol AND p.pos < x.pos GROUP BY x.symbol, x.ts)
+        SELECT symbol, {q.minute('ts')} AS ts, {q.r('CASE WHEN n >= 249 THEN below / CAST(n AS DOUBLE) END')} AS v_atr_rank FROM vr""",
+)
+def volatility_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The volatility regime of the feature panel: where the average range stands among those of all earlier bars."""
+    p = P.feature_panel(T.bars_li_d(spark, d), S)
+    return p.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), shown("v_atr_rank").alias("v_atr_rank"))
+
+
 @R.add("feature_scan")
 def feature_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every feature against forward returns on non-overlapping rows (rows only)."""

@@ -11,6 +11,8 @@ from ..functions import stats as st
 from ..functions import tables as t
 from ..functions.num import ratio, reasons
 from ..operators import rolling as W
+from ..operators.asof import cross_features
+from ..operators.cross import average_rank
 from ..operators.ema import add_ema, span_alpha, wilder_alpha
 from ..operators.ranks import expanding_rank, rolling_rank
 from ..operators.series import Series
@@ -93,8 +95,12 @@ def walk_forward_stop(trades: DataFrame, min_past: int = 200, min_now: int = 30)
     return picked.where(F.col("_rn") == 1).select("symbol", "year", "stop_k", "n", "win", "total", "t")
 
 
-def feature_panel(bars: DataFrame, s: Series) -> DataFrame:
-    """Trend, momentum, reversion, volatility, structure and calendar features with forward returns."""
+def feature_panel(bars: DataFrame, s: Series, drivers: DataFrame | None = None, min_rank: int = 249) -> DataFrame:
+    """Trend, momentum, reversion, volatility, structure and calendar features with forward returns.
+
+    `v_atr_rank` is the share of earlier bars with a smaller `v_atr_pct`, from `min_rank` earlier bars on.  With `drivers` (symbol, ts, close;
+    see `asof.cross_features`) the cross-asset block is added.
+    """
     b = W.add_wilder(W.add_moves(bars, s), s)
     b = add_ema(b, s, {f"_e{n}": ("close", span_alpha(n)) for n in (20, 50, 200)})
     b = W.add_bollinger(b, s)
@@ -115,6 +121,9 @@ def feature_panel(bars: DataFrame, s: Series) -> DataFrame:
     )
     b = W.add_calendar(W.add_structure(b, s))
     b = W.add_forward_returns(b, s)
+    if drivers is not None:
+        b = cross_features(b, s, drivers)
+    b = expanding_rank(b, s, "v_atr_pct", "v_atr_rank", min_obs=min_rank)
     return b.drop("gain", "loss", "tr", "dm_plus", "dm_minus", "_e20", "_e50", "_e200", "bb_mid", "bb_upper", "bb_lower")
 
 
@@ -134,8 +143,6 @@ def feature_scan(
 ) -> DataFrame:
     """Each feature and horizon on non-overlapping rows: rank correlation and tercile effect for
     continuous features, event against non-event for flags."""
-    from ..operators.cross import average_rank
-
     # the rank looks back only and the rows a horizon drops are the last ones, so one pass serves all
     panel = panel.withColumn("_n", F.row_number().over(s.ordered()) - 1)
     fwds = [f"fwd{h}" for h in horizons]
@@ -171,7 +178,13 @@ def feature_scan(
             )
         )
     out = reduce(lambda x, y: x.unionByName(y), parts)
-    return out.withColumn("group", feature_group())
+    strongest = Window.partitionBy("symbol", "h").orderBy(F.abs("t").desc_nulls_last(), "feature")  # one row per feature
+    return out.withColumns({"group": feature_group(), "rank": F.row_number().over(strongest)})
+
+
+def top_features(scan: DataFrame, n: int = 14) -> DataFrame:
+    """The `n` features with the largest t in size, per symbol and horizon, strongest first."""
+    return scan.where(F.col("rank") <= n).orderBy("symbol", "h", "rank")
 
 
 def lead_lag(bars: DataFrame, s: Series, lags: tuple[int, ...], spread: float, min_n: int) -> DataFrame:

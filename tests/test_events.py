@@ -153,3 +153,15 @@ def test_feature_scan_equals_loop(spark):
     a, b = s[s["s_f"] == 1]["fwd5"], s[s["s_f"] == 0]["fwd5"]
     assert got.loc["s_f", "n"] == len(a) and np.isclose(got.loc["s_f", "effect"], a.mean() - b.mean())
     assert got.loc["m_x", "group"] == "momentum"
+    assert got["t"].abs().sort_values(ascending=False).index.tolist() == got.sort_values("rank").index.tolist()
+
+
+def test_feature_panel_with_drivers_and_volatility_rank(spark, walk):
+    hot = walk[walk.symbol == "HOT"].head(320)
+    drivers = pd.concat([hot[["ts", "close"]].assign(symbol=n, close=hot["close"] * (i + 1)) for i, n in enumerate(("dxy", "vix", "slv"))])
+    p = research.feature_panel(spark.createDataFrame(hot), S, spark.createDataFrame(drivers), min_rank=100).toPandas().sort_values("ts").reset_index(drop=True)
+    v = p["v_atr_pct"].to_numpy(float)
+    want = [np.nan if i < 100 else (v[:i] < v[i]).mean() for i in range(len(v))]
+    assert len(p) == 320 and np.allclose(p["v_atr_rank"].astype(float), want, equal_nan=True)
+    assert np.allclose(p["c_vix_lvl"].astype(float), 2 * hot["close"].to_numpy()) and np.allclose(p["c_gold_silver"].astype(float), 1 / 3)
+    assert p["c_oil_roc5"].isna().all()
