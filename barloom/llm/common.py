@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS):
         yield lo, len(texts)
 
 
+def light(batches, column: str = "text", limit: int = 4_000_000):
+    """The Arrow batches in slices of about `limit` bytes of `column`, so that no more is held as Python values at once."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that `df` does not have yet."""
     have = {c.lower() for c in df.columns}

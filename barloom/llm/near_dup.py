@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", tex
     """One row per document: its key, set size, digest, bands, bits."""
 
     def run(batches):
-        for b in batches:
+        for b in common.light(batches):
             sets = shingle_sets(b.column("text").to_pylist(), words)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, words: int, id_col: str, te
     """(digest, shingles) of the wanted (digest, key)."""
 
     def run(batches):
-        for b in batches:
+        for b in common.light(batches):
             sets = shingle_sets(b.column("text").to_pylist(), words)
             same = [i for i, (s, d) in enumerate(zip(sets, b.column("digest").to_pylist())) if set_digest(s) == d]
             cols = [b.column("digest").take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))]

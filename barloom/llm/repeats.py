@@ -69,7 +69,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def occurrences(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in common.light(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             for lo, hi in common.chunks(raw):
                 doc, anchor, fragment, first, more = fragments_of(raw[lo:hi], length)
@@ -84,7 +84,7 @@ def occurrences(rows: DataFrame, length: int) -> DataFrame:
 def _compressed(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
-        for b in batches:
+        for b in common.light(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             cols = [b.column(c) for c in ("key", "tag", "doc_id")]
             cols += [pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())]

@@ -261,3 +261,16 @@ def test_every_id_is_an_id(spark):
         assert len(here) == 1
         assert (rows[here[0]][0] is None, rows[here[0]][0] or 0) == min((rows[k][0] is None, rows[k][0] or 0) for k in members)
     assert near_dup.keep_one(docs.where("false")).count() == 0
+
+
+def test_batches_are_handed_out_in_light_slices():
+    import pyarrow as pa
+
+    from barloom.llm import common
+
+    texts = ["ab", None, "", "cdefgh", "i" * 50, "", "j", "k"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(8))], ["text", "n"])
+    for limit in (1, 5, 60, 1000):
+        parts = list(common.light([batch, batch.slice(0, 0)], limit=limit))
+        assert [x for p in parts for x in p.column("text").to_pylist()] == texts and [x for p in parts for x in p.column("n").to_pylist()] == list(range(8))
+        assert all(p.num_rows and (p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= limit) for p in parts)
