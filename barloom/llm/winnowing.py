@@ -119,25 +119,26 @@ def with_neighbours(docs: DataFrame, *, block_docs: int = 4096, id_col: str = "d
 
     Blocks are ranges of ids between quantiles, which are themselves ids; the first document of a block is copied to
     the end of the block above it, the very first document to the end of the last block.  Only the quantiles reach the
-    driver, one per `block_docs` documents; each text is shuffled once.  Null ids come last.
+    driver, one per `block_docs` documents, and go to the tasks as a broadcast of 8 bytes each; each text is shuffled once, and
+    each block has a task of its own.  Null ids come last.
     """
     rows = common.keyed_texts(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"))
     n_blocks = common.blocks_for(keys.count(), block_docs)
     at = [(i + 1) / n_blocks for i in range(n_blocks)]
     found = keys.agg(F.percentile_approx("key", F.array(*map(F.lit, at)), max(1000, 20 * n_blocks)).alias("q"), F.max("key").alias("top")).first()
-    bounds = np.unique(np.array([*(found["q"] or []), *([] if found["top"] is None else [found["top"]])], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([*(found["q"] or []), *([] if found["top"] is None else [found["top"]])], np.int64)))
 
     @F.pandas_udf("array<struct<block:int,extra:boolean>>")
     def places(key: pd.Series) -> pd.Series:
-        ids = key.to_numpy(np.int64)
+        ids, bounds = key.to_numpy(np.int64), shared.value
         block = np.searchsorted(bounds, ids, side="left")
         first = bounds[np.minimum(block, len(bounds) - 1)] == ids
         above = np.where(block + 1 < len(bounds), block + 1, 0)
         return pd.Series([[(b, False), (a, True)] if f else [(b, False)] for b, f, a in zip(block.tolist(), first.tolist(), above.tolist())])
 
     dealt = rows.withColumn("place", F.explode(places("key"))).select("place.block", "place.extra", "key", "doc_id", "text")
-    return dealt.repartition(n_blocks, "block").sortWithinPartitions("block", "extra", F.desc("key"), "text")
+    return dealt.repartitionById(n_blocks, "block").sortWithinPartitions("block", "extra", F.desc("key"), "text")
 
 
 def compare_with_edits(docs: DataFrame, *, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

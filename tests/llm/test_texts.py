@@ -72,8 +72,12 @@ def test_edits_take_the_next_document(spark, block):
     finally:
         w.with_neighbours.__kwdefaults__["block_docs"] = keep
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == sorted([x[:3] for x in want], key=str)
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    slow = lambda t: {h for h, _ in slow_fingerprint(t, 4, 5)}
+    nears = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        edit = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        nears.append((i, len(t), *(len(slow(t) & slow(o)) / len(slow(t) | slow(o)) if slow(t) | slow(o) else 1.0 for o in (edit, nxt))))
+    assert sorted([(r.doc_id, r.n_chars, r.near_edited, r.near_next) for r in got], key=str) == sorted(nears, key=str)
     same = {x[0] for x in want if x[3]}
     assert all(r.fingerprint == r.edited_fingerprint and r.near_edited == 1 for r in got if r.doc_id in same - {7})
     assert w.compare_with_edits(df.where("false")).count() == 0
