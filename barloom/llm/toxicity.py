@@ -88,19 +88,30 @@ class Model:
             key, count = np.unique(doc[seen].astype(np.int64) << 32 | row[seen], return_counts=True)
             doc, row = key >> 32, key & 0xFFFFFFFF
             x = np.sqrt(count / np.maximum(1, words[doc]))
-            n = hi - lo
-            out[lo:hi] += np.bincount(doc, self.linear[row] * x, minlength=n)
-            for f in range(self.factors.shape[1]):
-                vx = self.factors[row, f] * x
-                out[lo:hi] += (np.bincount(doc, vx, minlength=n) ** 2 - np.bincount(doc, vx * vx, minlength=n)) / 2
+            out[lo:hi] += self._evidence(doc, row, x, hi - lo)
+        return out
+
+    def odds_of(self, docs: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+        """Log-odds of documents that are given as distinct terms and their values."""
+        term, x = np.concatenate(docs), np.concatenate(values).astype(float)
+        doc, row = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), self.place()[term]
+        seen = row >= 0
+        return self.bias + self._evidence(doc[seen], row[seen], x[seen], len(docs))
+
+    def _evidence(self, doc: np.ndarray, row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        out += np.bincount(doc, self.linear[row] * x, minlength=n)
+        for f in range(self.factors.shape[1]):
+            vx = self.factors[row, f] * x
+            out += (np.bincount(doc, vx, minlength=n) ** 2 - np.bincount(doc, vx * vx, minlength=n)) / 2
         return out
 
 
-def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, epochs: int = 14, rate: float = 40.0, shrink: float = 3e-4, rare: int = 4, seed: int = 11) -> Model:
+def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, epochs: int = 14, rate: float = 40.0, shrink: float = 3e-4, rare: int = 4, slower: float = 40.0, seed: int = 11) -> Model:
     """Gradient steps over batches of 16 documents; linear weights shrink toward zero at each of their steps.
 
     Every term of at least `rare` documents has factors from the first epoch, whatever its linear weight.  Rarer terms are
-    no evidence.
+    no evidence.  Steps of factors are `slower` times smaller than those of linear weights.
     """
     rng = np.random.default_rng(seed)
     ids, flat = np.unique(np.concatenate(docs), return_inverse=True)
@@ -132,15 +143,40 @@ def train(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
             w[here] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * shrink)
             for f in range(factors):
                 gf = np.bincount(inverse, d[own] * x * (total[own, f] - vx[:, f]), minlength=len(here))
-                v[here, f] -= np.clip(step / 40 * (gf + 1e-4 * v[here, f]), -0.2, 0.2)
+                v[here, f] -= np.clip(step / slower * (gf + 1e-4 * v[here, f]), -0.2, 0.2)
             w0 -= step / 30 * d.sum()
     strong = (w != 0) | (v != 0).any(axis=1)
     return Model(float(w0), ids[strong], w[strong], v[strong])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def chosen_step(docs: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, choices: tuple[float, ...], *, parts: int = 2, seed: int = 23) -> float:
+    """The `slower` of `choices` with the least log loss on training rows that its models did not see; ties to the larger one.
+
+    The training rows are dealt in `parts`; each part is scored by a model of the others.  Rows outside the training set
+    take no part.  Where a model would see one class only, the largest choice is taken.
+    """
+    part = np.random.default_rng(seed).permutation(len(docs)) % parts
+    if any(len(np.unique(labels[part != k])) < 2 for k in range(parts)):
+        return max(choices)
+
+    def loss(slower: float) -> float:
+        total = 0.0
+        for k in range(parts):
+            learn, check = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            model = train([docs[i] for i in learn], [values[i] for i in learn], labels[learn], slower=slower)
+            if len(check):
+                odds = model.odds_of([docs[i] for i in check], [values[i] for i in check])
+                total += float(np.logaddexp(0, np.where(labels[check] == 1, -odds, odds)).sum())
+        return total
+
+    return min(sorted(choices, reverse=True), key=loss)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1500, slower: tuple[float, ...] = (4.0, 12.0, 40.0), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on at most `per_class` rows of each label outside the held-out fold; only their terms reach the driver.
 
+    How much `slower` factors step than linear weights is chosen by parts of these training rows alone.
+
     Odds are those of the sample, in which the classes are even where there are enough rows: toxic rows are rare, and a low
     threshold on such odds finds them without catching clean ones.
     """
@@ -164,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int
     if len({*y[full].tolist()}) < 2:
         return Model(prior, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, 1)))
     lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("terms", "values")]
-    return train([lists[0][i] for i in full], [lists[1][i] for i in full], y[full].astype(float))
+    found, values, y = [lists[0][i] for i in full], [lists[1][i] for i in full], y[full].astype(float)
+    return train(found, values, y, slower=chosen_step(found, values, y, slower))
 
 
 def score(docs: DataFrame, model: Model, *, folds: int = 4, fold: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,16 @@
 """Classifiers, mixing, neighbours, the pipeline and the registered queries."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barloom.llm import labelled, mixing, neighbours, quality, queries, toxicity
+from barloom.llm import common, labelled, mixing, neighbours, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +94,97 @@ def test_terms_neutral_alone_count_in_pairs():
     assert {1, 2, 3, 4} <= set(at) and right > 0.95 * 1200
 
 
+def slow_toxic_odds(model, text):
+    """The factorization machine term by term and pair by pair."""
+    raw = text.lower().encode()
+    words = [w for w in re.split(rb"[^a-z\x80-\xff]+", raw) if w]
+    codes = [list(w) for w in words]
+    hashed = []
+    for w in codes:
+        total = sum(int(common.mixed_codes(np.array([c], np.uint32))[0]) * pow(int(common.BASE), j, 1 << 64) for j, c in enumerate(w)) + len(w)
+        hashed.append(total % (1 << 64))
+        edged = [32, *w, 32]
+        pieces = [(5, edged[i : i + 5]) for i in range(len(edged) - 4)] + ([(6, edged[:6])] if len(w) >= 5 else [])
+        for n, piece in pieces:
+            packed = n
+            for c in piece:
+                packed = (packed << 8 | c) % (1 << 64)
+            hashed.append(-1 - packed)
+    counts = {}
+    for x in hashed:
+        # words are mixed twice: once as a slice, once as a term
+        term = int(toxicity._term(common.mix(np.array([x], np.uint64)))[0]) if x >= 0 else int(toxicity._term(np.array([-1 - x], np.uint64))[0])
+        counts[term] = counts.get(term, 0) + 1
+    at = {t: i for i, t in enumerate(model.ids.tolist())}
+    x = {at[t]: (n / max(1, len(words))) ** 0.5 for t, n in counts.items() if t in at}
+    odds = model.bias + sum(model.linear[i] * v for i, v in x.items())
+    return odds + sum(float(model.factors[i] @ model.factors[j]) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+
+
+def test_toxicity_scores_equal_plain_loops(spark, labelled_docs):
+    docs, labels = labelled_docs
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id is not null").collect()} | {3000: "Ünder grumbling, GRUMBLED! a-b " * 3}
+    extra = spark.createDataFrame([(3000, texts[3000])], "doc_id long, text string")
+    for r in toxicity.score(docs.select("doc_id", "text").where("doc_id is not null and doc_id % 9 in (0, 2)").union(extra), model).collect():
+        assert np.isclose(r.score, 1 / (1 + np.exp(-slow_toxic_odds(model, texts[r.doc_id]))), rtol=1e-8)
+
+
+def test_quality_scores_equal_plain_loops(spark, labelled_docs):
+    docs, labels = labelled_docs
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 9 in (0, 2)").collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())
+        found = []
+        for i, w in enumerate(words):
+            total = sum(int(common.mixed_codes(np.array([c], np.uint32))[0]) * pow(int(common.BASE), j, 1 << 64) for j, c in enumerate(w)) + len(w)
+            found.append(int(common.mix(np.array([total % (1 << 64)], np.uint64))[0]))
+            if i and words[i - 1] == w:
+                found.append(1)
+            edged = b" " + w + b" "
+            found += [int.from_bytes(bytes([n]) + edged[j : j + n], "big") for n in (3, 4) for j in range(len(edged) - n + 1)]
+        weights = [float(model.weights[quality._bucket(np.array([x], np.uint64))[0]]) for x in found]
+        odds = model.bias + (sum(weights) / len(weights) if weights else 0.0)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-odds)), rtol=1e-6), r.doc_id
+
+
+def test_factor_step_is_chosen_on_training_rows_alone(spark, labelled_docs, monkeypatch):
+    """Labels of the held-out fold may say anything; the choice sees each training row through models that did not."""
+    docs, labels = labelled_docs
+    seen = []
+    chosen = toxicity.chosen_step
+
+    def watch(found, values, y, choices):
+        seen.append((sorted(len(f) for f in found), sorted(y.tolist())))
+        return chosen(found, values, y, choices)
+
+    monkeypatch.setattr(toxicity, "chosen_step", watch)
+    a = toxicity.fit(docs, labels)
+    turned = labels.withColumn("toxic", F.when(labelled.held_out(F.col("doc_id"), 4, 2), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    b = toxicity.fit(docs, turned)
+    assert seen[0] == seen[1] and a.bias == b.bias and (a.linear == b.linear).all() and (a.factors == b.factors).all()
+
+
+def test_chosen_step_has_the_least_loss(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(80)]
+    values = [np.full(len(d), 0.5, np.float32) for d in docs]
+    labels = np.array([float(3 in d or 4 in d) for d in docs])
+    part = np.random.default_rng(23).permutation(80) % 2
+    losses = {}
+    for slower in (4.0, 12.0, 40.0):
+        total = 0.0
+        for k in (0, 1):
+            model = toxicity.train([d for d, p in zip(docs, part) if p != k], [v for v, p in zip(values, part) if p != k], labels[part != k], slower=slower)
+            for d, v, y, p in zip(docs, values, labels, part):
+                if p == k:
+                    odds = model.odds_of([d], [v])[0]
+                    total += np.log1p(np.exp(-odds if y else odds))
+        losses[slower] = total
+    assert toxicity.chosen_step(docs, values, labels, (4.0, 12.0, 40.0)) == min(losses, key=losses.get)
+    assert toxicity.chosen_step(docs, values, np.zeros(80), (4.0, 12.0)) == 12.0
+
+
 def test_clean_rows_stay(spark, labelled_docs):
     docs, labels = labelled_docs
     model = toxicity.fit(docs, labels)
