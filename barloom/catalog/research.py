@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as t
 from ..functions.num import shown
 from ..operators import events as E
+from ..operators import exits as X
 from ..operators import rolling as W
 from ..operators import sessions as N
 from ..operators.ema import add_ema, span_alpha, wilder_alpha
@@ -335,6 +336,30 @@ def first_touch_results(spark: SparkSession, d: str) -> DataFrame:
     return b.select("symbol", F.col("pos").cast("long").alias("pos"), "dirn", shown("r").alias("r"), "bars")
 
 
+_GRID = ((1, 2.0), (-1, 2.0), (1, 5.0), (-1, 5.0))
+
+
+@R.add(
+    "long_horizon_exits",
+    f"""WITH {_D}, {_DATR}, en AS (SELECT db.symbol, db.pos, db.close, atr, x.dirn, x.rr FROM db JOIN da USING (symbol, pos),
+          (VALUES {', '.join(f'({d}, CAST({x} AS DOUBLE))' for d, x in _GRID)}) AS x(dirn, rr)),
+        o AS (SELECT * FROM {_touch_sql('en', 'db', 250, '6.0', 'e.rr', extra=', e.rr')})
+        SELECT symbol, dirn, {q.r('rr', 2)} AS rr, count(*) AS n, {q.r('avg(r)')} AS mean_r, {q.r('avg(bars)')} AS mean_bars, max(bars) AS longest FROM o GROUP BY symbol, dirn, rr""",
+)
+def long_horizon_exits(spark: SparkSession, d: str) -> DataFrame:
+    """Trades held for up to 250 bars behind a stop of six ATR: results and how long they take."""
+    b = add_ema(T.bars_li_d(spark, d).withColumn("_tr", W.true_range(S)), S, {"atr": ("_tr", wilder_alpha(14))})
+    trades = F.array(*[
+        F.struct(F.lit(dirn).alias("dirn"), F.col("close").alias("entry"), (6.0 * F.col("atr")).alias("risk"), F.lit(rr).alias("rr")) for dirn, rr in _GRID
+    ])
+    out = X.first_touch_exits(b.select("symbol", "ts", "high", "low", "close", "atr"), S, trades, 250)
+    kinds = F.array(*[F.struct(F.lit(dirn).alias("dirn"), F.lit(rr).alias("rr")) for dirn, rr in _GRID])
+    each = out.withColumn("kind", kinds).select("symbol", F.explode(F.arrays_zip("kind", "exits")).alias("_e"))
+    each = each.select("symbol", "_e.kind.*", "_e.exits.*").where("r is not null")
+    means = each.groupBy("symbol", "dirn", "rr").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.avg("bars").alias("mb"), F.max("bars").cast("long").alias("longest"))
+    return means.select("symbol", "dirn", shown("rr", 2).alias("rr"), "n", shown("m").alias("mean_r"), shown("mb").alias("mean_bars"), "longest")
+
+
 @R.add(
     "target_sweep",
     f"""WITH {_D}, {_DATR}, fv AS (SELECT *, {q.lag('high', 2)} AS h2 FROM db),

@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.num import ratio
+from .draws import drawn_numbers, numbered_rows
 from .series import Series
 
 # fixed values: setup -> (flag, direction)
@@ -186,40 +187,17 @@ def placebo(
 ) -> DataFrame:
     """Means of `reps` random draws of n rows per group, without replacement.
 
-    Outcomes are known per row, so a replicate is only a choice of rows: the n with the smallest hash of
-    (seed, replicate, row).  A cut-off a little above n/size keeps nearly only the rows that can be
-    chosen, so the replicates never multiply the table, and the exact n come from a rank filter.
-    Draws depend on nothing but seed and row, whatever the partitioning.
-    n: (by, n).
+    Outcomes are known per row, so a replicate is only a choice of rows.  Rows of a group are numbered once; draw k of a
+    replicate is the image of k under a permutation of the numbers keyed by (seed, replicate, group), joined to its row.
+    The cost is that of the rows drawn, replicates x n, whatever the size of the groups.  Draws depend on seed, replicate
+    and row ids alone, not on the partitioning.  Rows without a value are not drawn; a group with fewer than n rows gives all of them.
+    n: (by, n), one row per group.
     """
-    size = outcomes.groupBy(*by).agg(F.count(value).alias("_size"))
-    plan = n.join(size, by).withColumn(
-        "_cut",
-        # ten standard deviations above the expected count; a short draw would fail the query
-        F.least(
-            F.lit(1.0), (F.col("n") + 10 * F.sqrt(F.col("n").cast("double")) + 20) / F.col("_size")
-        ),
-    )
-    draws = outcomes.where(F.col(value).isNotNull()).join(plan, by)
-    chance = lambda rep: F.pmod(
-        F.xxhash64(F.lit(seed), rep, F.col(row_id)), F.lit(1 << 52)
-    ) / F.lit(float(1 << 52))
-    reps_of_row = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(reps - 1)),
-            lambda i: F.struct(i.alias("rep"), chance(i).alias("u")),
-        ),
-        lambda x: x["u"] < F.col("_cut"),
-    )
-    draws = draws.select(*by, value, "n", "_size", F.explode(reps_of_row).alias("_d"))
-    w = Window.partitionBy(*by, "_d.rep").orderBy("_d.u")
-    chosen = draws.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("n"))
-    due = F.least(F.max("n"), F.max("_size"))
-    short = F.raise_error(F.lit("a placebo draw came out short: raise the cut")).cast("double")
-    return chosen.groupBy(*by, F.col("_d.rep").alias("rep")).agg(
-        F.count(F.lit(1)).alias("drawn"),
-        F.when(F.count(F.lit(1)) < due, short).otherwise(F.avg(value)).alias("mean"),
-    )
+    full = outcomes.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.col(row_id).alias("_id"))
+    plan = n.select(*by, "n").join(full.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), by)
+    rows = numbered_rows(full.join(plan, by), by, "_size", ["_id", "_v"]).select(*by, "_no", "_v")
+    draws = drawn_numbers(plan, by, "n", "_size", reps, seed)
+    return draws.join(rows, [*by, "_no"]).groupBy(*by, "rep").agg(F.count(F.lit(1)).alias("drawn"), F.avg("_v").alias("mean"))
 
 
 def against_placebo(actual: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
