@@ -26,15 +26,16 @@ ASOF, HOURS = "2025-01-01", 24 * 3650
 _W = r"[\p{L}\p{N}_]+"
 _POS = "[" + ", ".join(f"'{w}'" for w in t.POSITIVE_WORDS) + "]"
 _NEG = "[" + ", ".join(f"'{w}'" for w in t.NEGATIVE_WORDS) + "]"
-_NAMES = "[" + ", ".join(f"'{w}'" for w in T.NEWS_NAMES) + "]"
+_HELD = " OR ".join(f"contains(marked, '{a}' || name || '{b}')" for a in " |" for b in " |")
 NEWS_CTES = f"""
 nw AS ({q.NEWS}),
 nt AS (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || summary), '{_W}')) AS lw,
-       list_distinct(regexp_extract_all(title || ' ' || summary, '{_W}')) AS cw FROM nw),
+       '|' || regexp_replace(title || ' ' || summary, '[^\\p{{L}}\\p{{N}}_ ]', '|', 'g') || '|' AS marked FROM nw),
 ns AS (SELECT *, len(list_intersect(lw, {_POS})) AS p, len(list_intersect(lw, {_NEG})) AS n FROM nt),
 nz AS (SELECT *, coalesce((p - n) / NULLIF(p + n, 0)::DOUBLE, 0.0::DOUBLE) AS score FROM ns),
-nm AS (SELECT symbol, coalesce({_NAMES}[CAST(substr(symbol, 2) AS INTEGER) + 1], symbol) AS name FROM ({q.SECTORS})),
-nh AS (SELECT DISTINCT doc_id, symbol FROM nz JOIN nm ON list_contains(cw, name)),
+nm AS (SELECT symbol, coalesce(NULLIF(regexp_extract(title, '{T.TWO_WORDS}'), ''), symbol) AS name
+       FROM ({q.SECTORS}) LEFT JOIN nw ON symbol = 'S' || doc_id),
+nh AS (SELECT DISTINCT doc_id, symbol FROM nz JOIN (SELECT DISTINCT symbol, name FROM nm) ON {_HELD}),
 na AS (SELECT symbol, count(*) AS news_count, avg(score) AS news_score,
        first(title ORDER BY abs(score) DESC, doc_id) AS headline FROM nh JOIN nz USING (doc_id) GROUP BY symbol)"""
 

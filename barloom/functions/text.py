@@ -40,20 +40,25 @@ def scored(news: DataFrame) -> DataFrame:
 
 
 def name_hits(news: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, name) for every name that stands as a whole word in the text, case-sensitive.
+    """(doc_id, name) for every name that stands as a whole word or words in the text, case-sensitive.
 
-    Words are exploded once per text and equi-joined with the first word of each distinct name.  A name that
-    is one word is then found; only a name with punctuation has its text looked at again.
+    Words and pairs of neighbouring words are exploded once per text and equi-joined with the first word, or the first two, of each
+    distinct name, so that a common first word brings no texts to a name.  A name that is one word is then found; of the others
+    only texts that hold both words side by side are looked at again.
     """
-    tokens = news.select("doc_id", F.explode(F.array_distinct(words(F.col("combined")))).alias("_w"))
-    keyed = names.select("name").distinct().withColumn("_w", F.regexp_extract("name", WORD, 0)).where(F.col("_w") != "")
+    split = news.select("doc_id", words(F.col("combined")).alias("_ws"))
+    after = F.slice("_ws", F.lit(2), F.size("_ws"))
+    pairs = F.zip_with("_ws", after, lambda a, b: F.concat(a, F.lit(" "), b))  # null at the end
+    tokens = split.select("doc_id", F.explode(F.array_distinct(F.concat("_ws", pairs))).alias("_w"))
+    key = F.array_join(F.slice(words(F.col("name")), 1, 2), " ")
+    keyed = names.select("name").distinct().withColumn("_w", key).where(F.col("_w") != "")
     found = tokens.join(keyed, "_w")
-    one_word = found.where(F.col("name") == F.col("_w")).select("doc_id", "name")
-    # a whole word around punctuation: no word character on either outer side
+    one_word = found.where(F.col("name").rlike(f"^{WORD}$")).select("doc_id", "name")
+    # a whole word around blanks and punctuation: no word character on either outer side
     quoted = F.concat(F.lit("(?U)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
-    more = found.where(F.col("name") != F.col("_w")).select("doc_id", "name")
-    punctuated = more.join(news.select("doc_id", "combined"), "doc_id").where(F.rlike("combined", quoted))
-    return one_word.unionByName(punctuated.select("doc_id", "name")).distinct()
+    more = found.where(~F.col("name").rlike(f"^{WORD}$")).select("doc_id", "name")
+    several = more.join(news.select("doc_id", "combined"), "doc_id").where(F.rlike("combined", quoted))
+    return one_word.unionByName(several.select("doc_id", "name")).distinct()
 
 
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:

@@ -212,13 +212,17 @@ def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NEWS_NAMES = ["The", "It", "This", "From", "De", "La", "Der", "Die", "El", "Les", "Und", "Ein", "Que", "Un", "Des"]
+TWO_WORDS = r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+"
 
 
 def news_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One name per supplier: a word of the news for the first ones, their own symbol for the others."""
-    no = F.substring("symbol", 2, 20).cast("long")
-    words = F.array(*[F.lit(w) for w in NEWS_NAMES])
-    return supplier_sectors(spark, sf_dir).select(
-        "symbol", F.coalesce(F.get(words, no.cast("int")), "symbol").alias("name")
+    """One name per supplier: the first two words with a blank between in the title of the document of its number, else its symbol.
+
+    The table has more documents than suppliers at any scale, so names grow with it; some suppliers share one.
+    """
+    titles = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("S"), F.col("doc_id")).alias("symbol"), F.split("text", "\n", 2)[0].alias("_title")
     )
+    pair = F.nullif(F.regexp_extract("_title", TWO_WORDS, 0), F.lit(""))
+    symbols = supplier_sectors(spark, sf_dir).select("symbol")
+    return symbols.join(titles, "symbol", "left").select("symbol", F.coalesce(pair, "symbol").alias("name"))

@@ -59,6 +59,17 @@ def test_lexicon_and_mentions(spark):
     assert [r["doc_id"] for r in text.generic_items(n, hits).collect()] == [3]
 
 
+def test_names_of_several_words(spark):
+    rows = [(1, "Blue Harbour opens", "x", ""), (2, "Blue, Harbour", "x", "the Blue Harbours"), (3, "Blue", "x", "a Blue Harbour"),
+            (4, "Deep Blue", "x", "Blue Harbour Lines"), (5, "Ablue Harbour", "x", "A&B Co. of"), (6, "", "x", "")]
+    n = text.scored(spark.createDataFrame(rows, "doc_id long, title string, source string, summary string"))
+    names = spark.createDataFrame([("P", "Blue Harbour"), ("Q", "Blue"), ("R", "A&B Co"), ("T", "Blue Harbour Lines"), ("E", "."), ("N", None)], "symbol string, name string")
+    found = {}
+    for r in text.mentions(n, names).collect():
+        found.setdefault(r.symbol, set()).add(r.doc_id)
+    assert found == {"P": {1, 3, 4}, "Q": {1, 2, 3, 4}, "R": {5}, "T": {4}}
+
+
 def test_symbols_of_one_name_share_its_news(spark):
     rows = [(i, f"Acme item {i}", "x", "profit" if i % 2 else "Other loss") for i in range(8)]
     n = text.scored(spark.createDataFrame(rows, "doc_id long, title string, source string, summary string"))
