@@ -44,7 +44,10 @@ def quotes(ticks: DataFrame, typical: float = t.SPREAD_MEDIAN) -> DataFrame:
 def bars(quoted: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
     """Tumbling OHLC per symbol.  On a stream a window is emitted once the watermark has passed it
     and later ticks are dropped.  min_by/max_by combine map-side, so a hot symbol is one row per task."""
-    df = quoted.withWatermark("ts", late) if quoted.isStreaming else quoted
+    return _ohlc(quoted.withWatermark("ts", late) if quoted.isStreaming else quoted, width)
+
+
+def _ohlc(df: DataFrame, width: str) -> DataFrame:
     out = df.groupBy("symbol", F.window("ts", width).alias("w")).agg(
         F.min_by("price", F.struct("ts", "price")).alias("open"),
         F.max("price").alias("high"),
@@ -55,6 +58,26 @@ def bars(quoted: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFram
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def settled(ticks: DataFrame, late: str = LATE) -> DataFrame:
+    """One tick per symbol and time: of repeats and restatements the one with the highest `rev`, of equal ones the highest bid, then ask.
+
+    ticks: symbol, ts, bid, ask, rev (null: before all others).  A restated tick that is no quote (`valid`) takes its time back.  On a
+    stream a tick comes out when the watermark, `late` behind the newest tick, has passed it; corrections that come later are dropped.
+    """
+    df = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    # a struct of nulls and numbers orders nulls first, so a row without a revision yields to any other
+    last = F.max(F.struct("rev", "bid", "ask")).alias("_t")
+    return df.groupBy("symbol", "ts").agg(last).select("symbol", "ts", "_t.bid", "_t.ask", "_t.rev")
+
+
+def corrected_bars(ticks: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Bars in which a tick counts once, as it was last stated: `settled` ticks chained to a second aggregate, on a stream in append mode.
+
+    The state holds a row per tick of the last `late`, and one per open bar.
+    """
+    return _ohlc(quotes(settled(ticks, late)), width)
+
+
 def best_source(feeds: DataFrame, asof: Column, stale: int = t.STREAM_STALE_SECONDS) -> DataFrame:
     """One price per symbol from feeds (symbol, ts, price, source, priority, market_open).
 

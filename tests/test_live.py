@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -140,6 +141,46 @@ def test_stream_bars_drop_late_ticks(spark, tmp_path):
     assert got[0] == (1.5, 3.5, 1.5, 3.5)
 
 
+def test_bars_take_corrections_over_a_restart(spark, tmp_path):
+    schema = "symbol string, ts timestamp, bid double, ask double, rev long"
+    rng = random.Random(4)
+    t0 = pd.Timestamp("2024-01-01 10:00")
+    batches, sent = [], []
+    for b in range(6):  # each an hour; a tick is sent again, or anew with a higher revision, within ten minutes
+        rows = []
+        for m in range(0, 50, 2):
+            for sym in "AB":
+                at = (t0 + pd.Timedelta(hours=b, minutes=m)).to_pydatetime()
+                told = [(sym, at, p - 0.5, p + 0.5, r) for r, p in ((None, 10.0), (1, 20.0 + rng.random()), (2, rng.choice([-1.0, 30.0, 31.0])))]
+                rows += [r for r in told for _ in range(rng.randint(0, 2))]
+        rng.shuffle(rows)
+        batches.append(rows)
+        sent += rows
+    batches.append([("Z", pd.Timestamp("2024-01-02").to_pydatetime(), 1.0, 1.0, 0)])  # moves the watermark past the others
+    seen = lambda df: sorted(tuple(r) for r in df.where("symbol <> 'Z'").collect())
+    best = {}
+    for sym, at, bid, ask, rev in sent:
+        best[sym, at] = max(best.get((sym, at), (-9, 0, 0)), (-1 if rev is None else rev, bid, ask))
+    want = {}
+    for (sym, at), (_, bid, ask) in sorted(best.items()):
+        if bid > 0 and ask > 0:
+            want.setdefault((sym, at.replace(minute=0)), []).append((bid + ask) / 2)
+    want = sorted((*k, p[0], max(p), min(p), p[-1], float(len(p))) for k, p in want.items())
+    assert seen(ticks.corrected_bars(spark.createDataFrame(sent, schema))) == want
+    src = str(tmp_path / "in")
+    for part in (batches[:3], batches[3:]):
+        for rows in part:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = ticks.corrected_bars(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    assert seen(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
 def test_market_calendar_edges_and_dst(spark):
     cases = {
         "2024-01-05 21:59": True, "2024-01-05 22:00": False,  # Friday 17:00 New York in winter
