@@ -316,6 +316,39 @@ def breakout_trades(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_ZONES = ", ".join(f"('{n}', {h})" for n, h in t.KILL_ZONES)
+
+
+def both_ways_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Long and short entries at every hourly bar: 1.5 ATR stop, 2R target, twelve bars at most, fifteen bars after the entry."""
+    b = hourly(spark, d).withColumn("_tr", W.true_range(S))
+    return E.both_ways(add_ema(b, S, {"atr": ("_tr", wilder_alpha(24))}), S, 12, 1.5, 2.0, 0.05, 15)
+
+
+@R.add(
+    "kill_zone_trades",
+    f"""WITH {_H}, {_HATR}, z AS (SELECT * FROM (VALUES {_ZONES}) AS z(zone, h0)), x AS (SELECT symbol, max(pos) AS n FROM hb GROUP BY symbol),
+        en AS (SELECT hb.symbol, hb.pos, w.dirn, hb.close, atr, zone FROM hb JOIN ha USING (symbol, pos) JOIN z ON hour = h0
+               JOIN x ON x.symbol = hb.symbol AND hb.pos <= n - 15, (VALUES (1), (-1)) AS w(dirn)),
+        o AS (SELECT *, r - 2 * 0.05 / 1.5 AS rc FROM {_touch_sql('en', 'hb', 12, '1.5', '2.0', extra=', e.zone')})
+        SELECT symbol, zone, dirn, count(*) AS n, {q.r('avg(CASE WHEN rc > 0 THEN 1.0 ELSE 0.0 END)')} AS win, {q.r('avg(rc)')} AS mean_r,
+               {q.r('sum(CASE WHEN rc > 0 THEN rc END) / NULLIF(-sum(CASE WHEN rc < 0 THEN rc END), 0)')} AS pf
+        FROM o GROUP BY symbol, zone, dirn HAVING count(*) >= 20""",
+)
+def kill_zone_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trades in both directions at the opening hours of the kill zones, where there are twenty or more."""
+    x = N.zone_trades(both_ways_hourly(spark, d), t.KILL_ZONES)
+    out = E.trade_summary(x, ["symbol", "zone", "dirn"]).where(F.col("n") >= 20)
+    return out.select("symbol", "zone", "dirn", "n", shown("win").alias("win"), shown("mean_r").alias("mean_r"), shown("pf").alias("pf"))
+
+
+@R.add("kill_zone_control")
+def kill_zone_control(spark: SparkSession, d: str) -> DataFrame:
+    """The same trades against 400 random draws of as many bars of the symbol, traded alike (rows only)."""
+    pool = settle(both_ways_hourly(spark, d).select("symbol", "ts", "hour", "dirn", "r"))
+    return N.zone_control(pool, t.KILL_ZONES, reps=400, seed=23, least=20)
+
+
 # ── long daily series ────────────────────────────────────────────────────────
 _D = f"db AS MATERIALIZED ({q.numbered(f'({q.LI_D})')}), dm AS MATERIALIZED ({q.moves('db')})"
 _DATR = f"da AS MATERIALIZED {q.ema_rec('dm', {'atr': ('tr', wilder_alpha(14))})}"

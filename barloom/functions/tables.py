@@ -139,6 +139,7 @@ SESSIONS = [
     ("London / New York overlap", [8, 9, 10, 11]),
     ("New York afternoon", [12, 13, 14, 15, 16]),
 ]
+KILL_ZONES = [("London 02:00", 2), ("New York 07:00", 7), ("London close 10:00", 10)]
 SPREAD_MEDIAN = 0.550
 CONTRACT_OZ = 100.0
 HORIZON_DAYS = 14

@@ -159,6 +159,17 @@ def trade_summary(df: DataFrame, by: list[str], r: str = "r") -> DataFrame:
     return df.groupBy(*by).agg(*out)
 
 
+def both_ways(df: DataFrame, s: Series, n: int, stop: float, rr: float, cost: float, tail: int) -> DataFrame:
+    """A long and a short entry at the close of every row with an `atr` and at least `tail` rows after it: adds dirn, r (after costs) and bars.
+
+    stop and cost are in units of the ATR; the trade ends at the stop, at the target of `rr` times the risk, or after n rows.
+    """
+    df = path_ahead(df, s, n).withColumn("_after", F.lead(s.ts, tail).over(s.ordered()))
+    df = df.where(F.col("_after").isNotNull() & (F.col("atr") > 0)).withColumn("dirn", F.explode(F.array(F.lit(1), F.lit(-1))))
+    r, bars = first_touch(F.col("dirn"), F.col("close"), stop * F.col("atr"), F.lit(rr))
+    return df.withColumns({"r": r - F.lit(2 * cost / stop), "bars": bars}).drop("path", "_after")
+
+
 def directional_edge(df: DataFrame, horizons: dict[int, str], min_events: int = 12) -> DataFrame:
     """Welch test of directed forward returns after a setup against all other rows, both
     de-overlapped by the horizon, per symbol and setup."""

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import stats as st
 from ..functions import tables as t
 from ..functions.num import ratio
+from . import events
 from .rolling import add_equity, add_losing_run
 from .series import Series
+from .settle import settle
 
 
 def add_clock(df: DataFrame, zone: str = t.ZONE) -> DataFrame:
@@ -109,6 +111,24 @@ def first_breaks(df: DataFrame, lo: int, hi: int) -> DataFrame:
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def zone_trades(outcomes: DataFrame, zones: list[tuple[str, int]]) -> DataFrame:
+    """The outcomes whose row is at the hour of a zone, with its name as `zone`; hours of several zones give a row for each."""
+    named = [F.when(F.col("hour") == h, F.lit(name)) for name, h in zones]
+    return outcomes.withColumn("zone", F.explode(F.array_compact(F.array(*named))))
+
+
+def zone_control(outcomes: DataFrame, zones: list[tuple[str, int]], reps: int, seed: int, least: int = 30) -> DataFrame:
+    """Mean result of each zone and direction with `least` trades, against `reps` random draws of as many rows of the same symbol and direction.
+
+    outcomes: symbol, ts, hour, dirn, r, one row per entry that could be taken; it is read twice, so let it be settled.
+    """
+    by = ["symbol", "zone", "dirn"]
+    taken = zone_trades(outcomes, zones).groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("mean"))
+    taken = taken.where(F.col("n") >= least)
+    pool = outcomes.select("symbol", "dirn", "ts", "r", F.explode(F.array(*[F.lit(name) for name, _ in zones])).alias("zone"))
+    return events.against_placebo(taken, settle(events.placebo(pool, by, taken.select(*by, "n"), reps, seed, "r", "ts")), by)
+
+
 def hour_trades(df: DataFrame, s: Series, hour: int, spread: Column, last_dow: int = 6) -> DataFrame:
     """Enter at the close of the hour's bar, leave at the next bar's close (whatever hour that is)."""
     o = s.ordered()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import events as E
+from barloom.operators import sessions
 from barloom.operators.series import plain
 from barloom.plans import research
 
@@ -165,3 +166,46 @@ def test_feature_panel_with_drivers_and_volatility_rank(spark, walk):
     assert len(p) == 320 and np.allclose(p["v_atr_rank"].astype(float), want, equal_nan=True)
     assert np.allclose(p["c_vix_lvl"].astype(float), 2 * hot["close"].to_numpy()) and np.allclose(p["c_gold_silver"].astype(float), 1 / 3)
     assert p["c_oil_roc5"].isna().all()
+
+
+def test_zones_against_random_entries(spark):
+    rng = np.random.default_rng(8)
+    rows = [("A", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), i % 24, d, float(rng.normal(0.9 * (i % 24 == 7) * d, 1))) for i in range(24 * 40) for d in (1, -1)]
+    rows += [("B", pd.Timestamp("2024-01-01"), 7, 1, 1.0)]  # too few
+    pool = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "ts", "hour", "dirn", "r"]))
+    zones = [("seven", 7), ("ten", 10), ("also seven", 7)]
+    got = {(r.symbol, r.zone, r.dirn): r for r in sessions.zone_control(pool, zones, 200, 1, 30).collect()}
+    assert set(got) == {("A", z, d) for z, _ in zones for d in (1, -1)} and {r.n for r in got.values()} == {40}
+    for (_, zone, d), r in got.items():
+        mine = [x[4] for x in rows if x[0] == "A" and x[2] == dict(zones)[zone] and x[3] == d]
+        rest = [x[4] for x in rows if x[0] == "A" and x[3] == d]
+        assert abs(r["mean"] - np.mean(mine)) < 1e-12
+        assert abs(r.random_mean - np.mean(rest)) < 4 * np.std(rest) / np.sqrt(40 * 200)
+        draws = [np.mean(rng.choice(rest, 40, replace=False)) for _ in range(2000)]
+        assert abs(r.percentile - 100 * np.mean(np.array(draws) < np.mean(mine))) < 15
+    assert got["A", "seven", 1].verdict == "beats random" and got["A", "seven", -1].verdict == "worse"
+
+
+def test_both_ways_by_a_plain_loop(spark, bars, walk):
+    df = bars.withColumn("atr", F.when(F.col("volume") > 10, F.col("volume") / 20))
+    got = {(r.symbol, str(r.ts), r.dirn): (r.r, r.bars) for r in E.both_ways(df, S, 5, 1.5, 2.0, 0.05, 8).collect()}
+    want = {}
+    for sym, g in walk.groupby("symbol"):
+        g = g.reset_index(drop=True)
+        for i in range(len(g) - 8):
+            atr = g.volume[i] / 20
+            if g.volume[i] <= 10:
+                continue
+            for d in (1, -1):
+                risk, end = 1.5 * atr, None
+                for j in range(i + 1, i + 6):
+                    low, high = g.low[j], g.high[j]
+                    stopped = low <= g.close[i] - risk if d > 0 else high >= g.close[i] + risk
+                    hit = high >= g.close[i] + 2 * risk if d > 0 else low <= g.close[i] - 2 * risk
+                    if stopped or hit:
+                        end = (-1.0 if stopped else 2.0, j - i)
+                        break
+                end = end or (d * (g.close[i + 5] - g.close[i]) / risk, 5)
+                want[sym, str(g.ts[i]), d] = (end[0] - 0.1 / 1.5, end[1])
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
