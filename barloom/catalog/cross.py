@@ -129,12 +129,14 @@ def cross_section_screen(spark: SparkSession, d: str) -> DataFrame:
 WARM, STEP, HZ = 100, 5, (5, 20)
 _SUBS = {f"s_{k}": w for k, w in t.TECH_WEIGHTS.items()}
 _RAW = ["pxema50", "pxema200", "roc20", "adx", "rsi", "vol_ratio"]
+_SEEN = ["close", "tech_score", "ema50", "ema200", "roc20", "adx", "rsi", "vol_ratio"]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     bars = T.bars_li_w(spark, d)
-    p = E.walk_forward(bars, P.technical_panel, S, WARM, STEP, HZ)
-    p = technical.as_reported(p)
+    # only what the evaluations read is repeated for the dates and settled
+    seen = lambda b: technical.as_reported(P.technical_panel(b)).select("symbol", "ts", "row_no", *_SEEN, *_SUBS)
+    p = E.walk_forward(bars, seen, S, WARM, STEP, HZ)
     return p.select(
         "date",
         "symbol",

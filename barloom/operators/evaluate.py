@@ -26,11 +26,12 @@ def point_in_time(
 
     The row of date d is the last bar at or before d.  A bar stays current until the next bar of its
     symbol, so it is repeated for the rebalance days in that gap by arithmetic on day numbers:
-    no symbol-by-date cross join and no range join.  Forward bars count from the first bar at or after d.
+    no symbol-by-date cross join and no range join.  The calendars have a row per date and are broadcast: wide rows dealt by
+    date would move the panel twice and gather a date in a task.  Forward bars count from the first bar at or after d.
     """
     o = s.ordered()
     max_h = max(horizons)
-    p = panel.join(cal, "ts")
+    p = panel.join(F.broadcast(cal), "ts")
     leads = {f"_l{h}": F.lead("close", h).over(o) for x in horizons for h in (x, x + 1)}
     p = p.withColumns(
         {"_next": F.coalesce(F.lead("day_no", 1).over(o), F.col("day_no") + 1), **leads}
@@ -47,7 +48,7 @@ def point_in_time(
         for h in horizons
     }
     d = dates.select(F.col("day_no").alias("_day"), F.col("ts").alias("date"))
-    p = p.withColumns(fwd).join(d, "_day")
+    p = p.withColumns(fwd).join(F.broadcast(d), "_day")
     return p.where(F.col(f"fwd{max_h}").isNotNull() & (F.col("close") > 0)).drop(
         "_next", "_first", "_day", "day_no", *leads
     )
