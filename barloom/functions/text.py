@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import tables as t
 
 WORD = r"[\p{L}\p{N}_]+"  # fixed value: a run of letters, digits and underscores
+#: Names that every task may hold (some 100 MB); more are met by shuffling the words of the texts.
+BROADCAST_NAMES = 500_000
 
 
 def words(text: Column) -> Column:
@@ -43,8 +45,9 @@ def name_hits(news: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, name) for every name that stands as a whole word or words in the text, case-sensitive.
 
     Words and pairs of neighbouring words are exploded once per text and equi-joined with the first word, or the first two, of each
-    distinct name, so that a common first word brings no texts to a name.  A name that is one word is then found; of the others
-    only texts that hold both words side by side are looked at again.
+    distinct name, so that a common first word brings no texts to a name.  Up to BROADCAST_NAMES names go to the words (a sentence of
+    short strings each), not all words of all texts to the names.  A name that is one word is then found; of the others only texts that
+    hold both words side by side are looked at again.
     """
     split = news.select("doc_id", words(F.col("combined")).alias("_ws"))
     after = F.slice("_ws", F.lit(2), F.size("_ws"))
@@ -52,18 +55,30 @@ def name_hits(news: DataFrame, names: DataFrame) -> DataFrame:
     tokens = split.select("doc_id", F.explode(F.array_distinct(F.concat("_ws", pairs))).alias("_w"))
     key = F.array_join(F.slice(words(F.col("name")), 1, 2), " ")
     keyed = names.select("name").distinct().withColumn("_w", key).where(F.col("_w") != "")
-    found = tokens.join(keyed, "_w")
-    one_word = found.where(F.col("name").rlike(f"^{WORD}$")).select("doc_id", "name")
+    few = keyed.agg((F.count(F.lit(1)) <= BROADCAST_NAMES) & (F.coalesce(F.sum(F.length("name")), F.lit(0)) <= 64 * BROADCAST_NAMES)).first()[0]
+    found = tokens.join(F.broadcast(keyed) if few else keyed, "_w").select("doc_id", "name").distinct()
     # a whole word around blanks and punctuation: no word character on either outer side
     quoted = F.concat(F.lit("(?U)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
-    more = found.where(~F.col("name").rlike(f"^{WORD}$")).select("doc_id", "name")
-    several = more.join(news.select("doc_id", "combined"), "doc_id").where(F.rlike("combined", quoted))
-    return one_word.unionByName(several.select("doc_id", "name")).distinct()
+    # one pass over the words serves both kinds: a left join, as an item without an id has no text to look at again but has its words
+    again = found.join(news.select("doc_id", "combined"), "doc_id", "left")
+    whole = F.when(F.col("name").rlike(f"^{WORD}$"), True).otherwise(F.rlike("combined", quoted))
+    return again.where(whole).select("doc_id", "name").distinct()
+
+
+def _name_sets(hits: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol, its names as one array) and the distinct (doc_id, such an array) with a hit of any of its names."""
+    of_symbol = names.groupBy("symbol").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    sets = of_symbol.select("_names").distinct().select("_names", F.explode("_names").alias("name"))
+    return of_symbol, hits.join(sets, "name").select("doc_id", "_names").distinct()
 
 
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, symbol) of every symbol whose name the text has; symbols that share a name each have its texts."""
-    return name_hits(news, names).join(names.select("symbol", "name").distinct(), "name").select("doc_id", "symbol").distinct()
+    """(doc_id, symbol) of every symbol whose name the text has; symbols that share a name each have its texts.
+
+    Repeats are removed per set of names, before a text meets the symbols that have the set, so the pairs are written as they are joined.
+    """
+    of_symbol, named = _name_sets(name_hits(news, names), names)
+    return named.join(of_symbol, "_names").select("doc_id", "symbol")
 
 
 def generic_items(news: DataFrame, hits: DataFrame, k: int = t.GENERIC_ITEMS) -> DataFrame:
@@ -78,9 +93,8 @@ def aggregate_news(news: DataFrame, hits: DataFrame, names: DataFrame) -> DataFr
     all symbols of these names, so that a shared name multiplies no texts.  Counts and means combine map-side; snippets come from
     a top-5 rank filter, so a name that is in every text never gathers its texts in one place.
     """
-    of_symbol = names.groupBy("symbol").agg(F.array_sort(F.collect_set("name")).alias("_names"))
-    sets = of_symbol.select("_names").distinct().select("_names", F.explode("_names").alias("name"))
-    named = hits.join(sets, "name").select("doc_id", "_names").distinct().join(news, "doc_id")
+    of_symbol, named = _name_sets(hits, names)
+    named = named.join(news, "doc_id")
     stats = named.groupBy("_names").agg(F.count(F.lit(1)).alias("news_count"), F.avg("score").alias("news_score"))
     w = Window.partitionBy("_names").orderBy(F.abs("score").desc(), F.col("doc_id"))
     top = named.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5)
