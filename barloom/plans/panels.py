@@ -17,22 +17,45 @@ from ..operators.universe import complete
 #: Exponential averages of the close that a panel carries from bar to bar, with the signal line of MACD.
 AVERAGES = {"ema9": 9, "ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}
 SIGNAL = {"_signal": 9}
+#: Bars of a symbol that its newest row looks back on: the longest look back of a window (60 bars) and of windows over windows (30), with room.
+TAIL = 100
 
 
-def indicator_panel(bars: DataFrame, s: Series | None = None, carried: str | None = None, with_state: bool = False) -> DataFrame:
+def indicator_panel(
+    bars: DataFrame, s: Series | None = None, carried: str | None = None, with_state: bool = False, tail: int | None = None
+) -> DataFrame:
     """All simple and exponential inputs of the scores, plus `row_no` (1-based).
 
     `carried` names a struct of the averages (see AVERAGES, SIGNAL) as of the last bar before the new ones, null on new bars: averages then go
-    on from there, and older bars serve the windows only.  `with_state` keeps the averages that are no output.
+    on from there, and older bars serve the windows only.  `with_state` keeps the averages that are no output and adds `_left`, how many bars of its symbol
+    come after a row.  `tail` adds it too and cuts each symbol to its last bars as soon as the averages, which need all of them, are known: windows of the newest row
+    reach back less than TAIL bars.
 
-    Bars with a missing price are dropped first: the windows count rows.  Written level by level, so that everything that can share a window operator does: row-to-row
-    moves, rolling aggregates of the moves, rolling means of those, exponential averages, lags.
+    Bars with a missing price are dropped first: the windows count rows.  Written level by level, so that everything that can share a window operator does: exponential
+    averages, row-to-row moves, rolling aggregates of the moves, rolling means of those, lags.
     """
     b, s = segmented(complete(bars), s or plain())
     c, back = F.col, lambda x, k: F.lag(x, k).over(s.ordered())
+    if carried is None:
+        b = add_ema(b, s, {out: ("close", span_alpha(n)) for out, n in AVERAGES.items()})
+        b = b.withColumn("macd", c("_fast") - c("_slow"))
+        b = add_ema(b, s, {out: ("macd", span_alpha(n)) for out, n in SIGNAL.items()})
+    else:
+        # the last old bar enters with the average itself, older ones not at all, and an average starts at its first value
+        old = lambda out, x: F.when(c("_old"), c(f"{carried}.{out}")).otherwise(c(x))
+        going = lambda spans: {out: (f"_x{out}", span_alpha(n)) for out, n in spans.items()}
+        b = b.withColumns({f"_x{out}": old(out, "close") for out in AVERAGES})
+        b = add_ema(b, s, going(AVERAGES), late=tuple(f"_x{out}" for out in AVERAGES))
+        b = b.withColumn("macd", c("_fast") - c("_slow")).withColumns({f"_x{out}": old(out, "macd") for out in SIGNAL})
+        b = add_ema(b, s, going(SIGNAL), late=tuple(f"_x{out}" for out in SIGNAL))
+        b = b.drop(*[f"_x{out}" for out in (*AVERAGES, *SIGNAL)])
+    b = b.withColumn("row_no", c(s.index) + 1)
+    if with_state or tail is not None:
+        b = b.withColumn("_left", F.max("row_no").over(Window.partitionBy(*s.keys)) - c("row_no"))
+    if tail is not None:
+        b = b.where(c("_left") < tail)
     b = b.withColumns(
         {
-            "row_no": c(s.index) + 1,
             "_d": W.change("close", 1, s),
             "tr": W.true_range(s),
             "dm_plus": W.directional(s)[0],
@@ -81,19 +104,6 @@ def indicator_panel(bars: DataFrame, s: Series | None = None, carried: str | Non
     )
     b = b.withColumns({"stoch_d": W.sma("stoch_k", 3, s), "adx": W.sma("_dx", 14, s)})
     b = b.drop("_d", "_gain", "_loss", "_dvol", "_uvol", "_dmp", "_dmm", "_lo14", "_hi14", "_sd20", "_dv", "_uv", "_dx")
-    if carried is None:
-        b = add_ema(b, s, {out: ("close", span_alpha(n)) for out, n in AVERAGES.items()})
-        b = b.withColumn("macd", c("_fast") - c("_slow"))
-        b = add_ema(b, s, {out: ("macd", span_alpha(n)) for out, n in SIGNAL.items()})
-    else:
-        # the last old bar enters with the average itself, older ones not at all, and an average starts at its first value
-        old = lambda out, x: F.when(c("_old"), c(f"{carried}.{out}")).otherwise(c(x))
-        going = lambda spans: {out: (f"_x{out}", span_alpha(n)) for out, n in spans.items()}
-        b = b.withColumns({f"_x{out}": old(out, "close") for out in AVERAGES})
-        b = add_ema(b, s, going(AVERAGES), late=tuple(f"_x{out}" for out in AVERAGES))
-        b = b.withColumn("macd", c("_fast") - c("_slow")).withColumns({f"_x{out}": old(out, "macd") for out in SIGNAL})
-        b = add_ema(b, s, going(SIGNAL), late=tuple(f"_x{out}" for out in SIGNAL))
-        b = b.drop(*[f"_x{out}" for out in (*AVERAGES, *SIGNAL)])
     b = b.withColumn("macd_hist", c("macd") - c("_signal"))
     b = b.withColumns(
         {
@@ -114,18 +124,27 @@ def technical_panel(bars: DataFrame, s: Series | None = None, min_rows: int = te
 
 def bear_panel(bars: DataFrame, bench: str, s: Series | None = None, min_rows: int = bear.MIN_ROWS) -> DataFrame:
     s = s or plain()
-    b = asof_fill(bars, s, bars.where(F.col("symbol") == bench), "close", out="bench_close")
+    # the series of one symbol is bounded by the calendar
+    b = asof_fill(bars, s, F.broadcast(bars.where(F.col("symbol") == bench)), "close", out="bench_close")
     b = b.withColumn("bench_roc60", W.roc("bench_close", 60, s) * 100)
     p = technical.with_defaults(indicator_panel(b, s)).where(F.col("row_no") >= min_rows)
     return bear.add_scores(p)
 
 
+def newest_rows(bars: DataFrame, s: Series | None = None) -> DataFrame:
+    """The newest row of every symbol in the indicator panel: averages run over all its bars, rolling windows over the last TAIL.
+
+    The row is told by its number within the layout of the windows, so wide rows are not sorted again.
+    """
+    return indicator_panel(bars, s, tail=TAIL).where(F.col("_left") == 0).drop("_left")
+
+
 def newest_scores(bars: DataFrame, s: Series | None = None, min_rows: int = technical.MIN_ROWS) -> DataFrame:
     """Scores of the newest bar of every symbol; fewer than `min_rows` bars give the neutral score and `short_history`.
 
-    The newest rows are cut out right after the windows, so scores are computed once per symbol.
+    The newest rows are cut out before the scores, which are computed once per symbol.
     """
-    p = latest_rows(indicator_panel(bars, s))
+    p = newest_rows(bars, s)
     short = F.col("row_no") < min_rows
     p = technical.add_scores(technical.with_defaults(p, short))
     return p.withColumns({"short_history": short, "tech_score": F.when(short, 50.0).otherwise(F.col("tech_score"))})
@@ -134,9 +153,10 @@ def newest_scores(bars: DataFrame, s: Series | None = None, min_rows: int = tech
 def newest_bear_scores(bars: DataFrame, bench: str, s: Series | None = None, min_rows: int = bear.MIN_ROWS) -> DataFrame:
     """The bearish side of `newest_scores`."""
     s = s or plain()
-    b = asof_fill(bars, s, bars.where(F.col("symbol") == bench), "close", out="bench_close")
+    # the series of one symbol is bounded by the calendar
+    b = asof_fill(bars, s, F.broadcast(bars.where(F.col("symbol") == bench)), "close", out="bench_close")
     b = b.withColumn("bench_roc60", W.roc("bench_close", 60, s) * 100)
-    p = latest_rows(indicator_panel(b, s))
+    p = newest_rows(b, s)
     short = F.col("row_no") < min_rows
     p = bear.add_scores(technical.with_defaults(p, short))
     return p.withColumns({"short_history": short, "bear_score": F.when(short, 50.0).otherwise(F.col("bear_score"))})
@@ -147,9 +167,3 @@ def year_range(bars: DataFrame, days: int = 364) -> DataFrame:
     last = F.max("ts").over(Window.partitionBy("symbol"))
     year = bars.withColumn("_last", last).where(F.col("ts") > F.col("_last") - F.expr(f"INTERVAL {days} DAYS"))
     return year.groupBy("symbol").agg(F.max("high").alias("hi52"), F.min("low").alias("lo52"))
-
-
-def latest_rows(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Newest row per symbol; the rank filter is pushed below the shuffle."""
-    w = Window.partitionBy(symbol).orderBy(F.col(ts).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
