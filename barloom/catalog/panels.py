@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bear, technical
 from ..functions.num import shown
-from ..operators.settle import shared_folder
+from ..operators.settle import settle, shared_folder
 from ..plans import growing
 from ..plans import panels as P
 from ..sources import tables as T
@@ -49,7 +49,7 @@ def technical_panel(spark: SparkSession, d: str) -> DataFrame:
 @R.add("growing_technical_panel", TWINS["technical_panel"])
 def growing_technical_panel(spark: SparkSession, d: str) -> DataFrame:
     """The same panel, written for the bars before 1998 and then extended from its snapshot."""
-    path, bars, cut = shared_folder(spark), T.bars_li_w(spark, d), F.lit("1998-01-01").cast("timestamp")
+    path, bars, cut = shared_folder(spark), settle(T.bars_li_w(spark, d)), F.lit("1998-01-01").cast("timestamp")
     growing.start(bars.where(F.col("ts") < cut), path)
     growing.extend(bars.where(F.col("ts") >= cut), path)
     p = growing.read(spark, path)
