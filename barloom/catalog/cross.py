@@ -129,28 +129,23 @@ def cross_section_screen(spark: SparkSession, d: str) -> DataFrame:
 WARM, STEP, HZ = 100, 5, (5, 20)
 _SUBS = {f"s_{k}": w for k, w in t.TECH_WEIGHTS.items()}
 _RAW = ["pxema50", "pxema200", "roc20", "adx", "rsi", "vol_ratio"]
-_SEEN = ["close", "tech_score", "ema50", "ema200", "roc20", "adx", "rsi", "vol_ratio"]
+_SEEN = {"score": "tech_score", "pxema50": "ema50", "pxema200": "ema200"}  # the column of the panel, if another
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    """The walk-forward panel, or those columns of it that a query reads."""
+    want = only or ("score", *_RAW, *_SUBS)
     bars = T.bars_li_w(spark, d)
     # only what the evaluations read is repeated for the dates and settled
-    seen = lambda b: technical.as_reported(P.technical_panel(b)).select("symbol", "ts", "row_no", *_SEEN, *_SUBS)
+    cols = [_SEEN.get(c, c) for c in want]
+    seen = lambda b: technical.as_reported(P.technical_panel(b)).select("symbol", "ts", "row_no", "close", *cols)
     p = E.walk_forward(bars, seen, S, WARM, STEP, HZ)
-    return p.select(
-        "date",
-        "symbol",
-        F.col("tech_score").alias("score"),
-        (ratio("close", "ema50") - 1).alias("pxema50"),
-        (ratio("close", "ema200") - 1).alias("pxema200"),
-        "roc20",
-        "adx",
-        "rsi",
-        "vol_ratio",
-        *_SUBS,
-        "fwd5",
-        "fwd20",
-    )
+    made = {
+        "score": F.col("tech_score").alias("score"),
+        "pxema50": (ratio("close", "ema50") - 1).alias("pxema50"),
+        "pxema200": (ratio("close", "ema200") - 1).alias("pxema200"),
+    }
+    return p.select("date", "symbol", *[made.get(c, F.col(c)) for c in want], "fwd5", "fwd20")
 
 
 def _scored_ctes() -> str:
@@ -185,8 +180,8 @@ SCORED = _scored_ctes()
     f"{q.r('fwd20')} AS fwd20 FROM w",
 )
 def walk_forward_panel(spark: SparkSession, d: str) -> DataFrame:
-    p = scored(spark, d)
-    nums = ["score", "pxema50", "pxema200", "roc20", "adx", "fwd5", "fwd20"]
+    seen = ["score", "pxema50", "pxema200", "roc20", "adx"]
+    p, nums = scored(spark, d, *seen), [*seen, "fwd5", "fwd20"]
     return p.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "symbol", *[shown(c).alias(c) for c in nums])
 
 
@@ -205,7 +200,7 @@ def _rank_sql(x: str, by: str) -> str:
         SELECT q, count(*) AS n, {q.r('avg(fwd5)')} AS mean_fwd5, {q.r('avg(fwd20)')} AS mean_fwd20 FROM g GROUP BY q""",
 )
 def score_quintile_returns(spark: SparkSession, d: str) -> DataFrame:
-    p = X.quintiles(scored(spark, d).select("date", "symbol", "score", "fwd5", "fwd20"), "date", "score")
+    p = X.quintiles(scored(spark, d, "score").select("date", "symbol", "score", "fwd5", "fwd20"), "date", "score")
     return p.groupBy("q").agg(
         F.count(F.lit(1)).alias("n"),
         shown(F.avg("fwd5")).alias("mean_fwd5"),
@@ -228,7 +223,7 @@ pd2 AS (SELECT date, count(*) AS n, avg(CASE WHEN hi <= k THEN fwd20 END) AS top
         {q.r('top - uni')} AS edge, {q.r('top - bot')} AS spread FROM pd2""",
 )
 def decile_edges_by_date(spark: SparkSession, d: str) -> DataFrame:
-    e = X.decile_edges(scored(spark, d).select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
+    e = X.decile_edges(scored(spark, d, "score").select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
     return e.select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "n",
@@ -245,7 +240,7 @@ def decile_edges_by_date(spark: SparkSession, d: str) -> DataFrame:
                {q.r('avg(CASE WHEN spread > 0 THEN 1.0 ELSE 0.0 END)')} FROM e""",
 )
 def decile_edge_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = X.decile_edges(scored(spark, d).select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
+    e = X.decile_edges(scored(spark, d, "score").select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
     out = E.summarise(E.long_form(e, ["date"], ["edge", "spread"], "what"), ["what"], "value")
     return out.select(
         "what", "n", shown("mean").alias("mean"), shown("t", 4).alias("t"), shown("pos").alias("hit")
@@ -255,7 +250,7 @@ def decile_edge_summary(spark: SparkSession, d: str) -> DataFrame:
 @R.add("edge_significance")
 def edge_significance(spark: SparkSession, d: str) -> DataFrame:
     """Two-sided p-values of edge and spread (Student's t on the summary rows; no SQL twin)."""
-    e = X.decile_edges(scored(spark, d).select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
+    e = X.decile_edges(scored(spark, d, "score").select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
     out = E.summarise(E.long_form(e, ["date"], ["edge", "spread"], "what"), ["what"], "value")
     return out.withColumn("p", st.t_pvalue(F.col("t"), (F.col("n") - 1).cast("double")))
 
@@ -302,7 +297,7 @@ def feature_rank_ic(spark: SparkSession, d: str) -> DataFrame:
         HAVING count(*) > 10 AND count(DISTINCT score) > 3""",
 )
 def rank_ic_by_date(spark: SparkSession, d: str) -> DataFrame:
-    ic = X.rank_ic(scored(spark, d).select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
+    ic = X.rank_ic(scored(spark, d, "score").select("date", "symbol", "score", "fwd20"), ["date"], "score", "fwd20")
     return ic.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "n", shown("ic").alias("ic"))
 
 

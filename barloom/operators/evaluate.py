@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.num import ratio
 from .cross import calendar, decile_edges, middle_date, rank_ic, rebalance_dates, zscores
-from .series import Series
+from .series import Series, dealt
 from .settle import settle
-from .universe import enough_history
 
 
-def usable(bars: DataFrame, warmup: int, max_h: int) -> DataFrame:
-    return enough_history(bars, warmup + max_h + 20)
+def usable(bars: DataFrame, s: Series, least: int, rows: int) -> DataFrame:
+    """Bars of symbols with at least `least` of them, dealt as the windows of a panel need them; `rows` is about their number.
+
+    The bars of a symbol are counted where its windows run and in the order these sort by, so bars move once.
+    """
+    whole = s.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    b = dealt(bars, rows, *s.part).dropna(subset=list(s.keys))
+    return b.withColumn("_held", F.count(F.lit(1)).over(whole)).where(F.col("_held") >= least).drop("_held")
 
 
 def point_in_time(
@@ -59,13 +64,19 @@ def walk_forward(
 ) -> DataFrame:
     """Score every bar once, then look at it on each rebalance date.
 
-    The result is settled: every evaluation ranks it several times.
+    The symbols, the calendar and the number of tasks come from a table with a row per symbol, for which only the keys of the bars are
+    read.  The result is settled: every evaluation ranks it several times.
     """
     max_h = max(horizons)
-    kept = settle(usable(settle(bars), warmup, max_h))
-    cal = calendar(kept)
-    dates = rebalance_dates(kept, warmup, max_h, step)
-    return settle(point_in_time(panel_of(kept), s, dates, cal, warmup, horizons, step))
+    least = warmup + max_h + 20
+    day = F.struct(F.col("ts"))
+    lives = bars.dropna(subset=list(s.keys)).groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"), F.collect_set(day).alias("_days"))
+    lives = settle(lives.where(F.col("_n") >= least))
+    rows = lives.agg(F.sum("_n")).first()[0] or 0
+    days = settle(lives.select(F.explode("_days").alias("_d")).select("_d.ts").distinct())
+    dates = rebalance_dates(days, warmup, max_h, step)
+    kept = usable(bars, s, least, rows)
+    return settle(point_in_time(panel_of(kept), s, dates, calendar(days), warmup, horizons, step))
 
 
 def summarise(df: DataFrame, by: list[str], value: str, min_n: int = 1, ddof: int = 1) -> DataFrame:

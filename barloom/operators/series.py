@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
+#: Rows that a task gets of a table that is dealt by key: the wide windows of a panel hold some 2 KB a row.
+TASK_ROWS = 100_000
 BUCKET_SECONDS = 30 * 86_400
 SEGMENTS = (10_000, 1_000)  # rows; each divides the one before
 
@@ -57,6 +59,16 @@ def plain(*keys: str, ts: str = "ts") -> Series:
     return Series(keys=keys, ts=ts, part=keys, order=(ts,))
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` of about `rows` rows dealt by key to tasks of about TASK_ROWS rows.
+
+    A fixed number of partitions, or one that AQE joins up to the number of cores, gives tasks that grow with the table; what their sorts
+    cannot hold is spilled.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def segmented(df: DataFrame, s: Series) -> tuple[DataFrame, Series]:
     """Number the rows and cut them into nested segments, for exponential averages.
 

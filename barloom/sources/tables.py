@@ -31,6 +31,17 @@ def _ohlc(df: DataFrame, keys: list[str], price: str, order: F.Column, volume: s
     )
 
 
+def _lineitem_bars(li: DataFrame, key: str) -> DataFrame:
+    """Bars of `key` and ts; `o` is a struct that orders the prices and holds them, so the first and last of them are its least and greatest."""
+    return li.groupBy(key, "ts").agg(
+        F.min("o")["price"].alias("open"),
+        F.max("o.price").alias("high"),
+        F.min("o.price").alias("low"),
+        F.max("o")["price"].alias("close"),
+        F.sum("l_quantity").cast("double").alias("volume"),
+    )
+
+
 def event_ticks(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Ticks: event type as symbol, bid/ask five cents around the value; `stream` reads the table's files as they come."""
     e = table(spark, sf_dir, "events")
@@ -104,13 +115,14 @@ def bars_li_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars_li_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars, one symbol per supplier: many series."""
     li = _lineitem_prices(spark, sf_dir).select(
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
+        "l_suppkey",
         F.date_trunc("week", "l_shipdate").alias("ts"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "price").alias("o"),
-        "price",
         "l_quantity",
     )
-    return _ohlc(li, ["symbol", "ts"], "price", F.col("o"), "l_quantity")
+    # rows move under the short key, which becomes a name once per bar
+    b = _lineitem_bars(li, "l_suppkey")
+    return b.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), *[c for c in b.columns if c != "l_suppkey"])
 
 
 def supplier_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:

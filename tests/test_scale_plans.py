@@ -8,16 +8,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import text
-from barloom.operators import evaluate
+from barloom.operators import evaluate, series
 from barloom.operators.cross import calendar, rebalance_dates
 from barloom.operators.series import plain
 from barloom.plans import growing, panels
+from barloom.sources import tables
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def moves(df) -> list[str]:
+    """The exchanges of the plan, before AQE changed it."""
+    return [x for x in plan(df).split("== Initial Plan ==")[-1].splitlines() if "Exchange " in x]
+
+
 @pytest.fixture
 def no_small_tables(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -73,3 +79,49 @@ def test_words_of_texts_are_not_shuffled_to_a_few_names(spark, no_small_tables,
     monkeypatch.setattr(text, "BROADCAST_NAMES", 0)
     many = text.name_hits(news, names)
     assert "BroadcastHashJoin" not in plan(many) and sorted(map(tuple, many.collect()), key=str) == sorted(found, key=str)
+
+
+def same(a, b):
+    return sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_walk_forward_moves_bars_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    bars = bars_of(spark, [20, *[90] * 40])
+    bars = bars.unionByName(bars.where("symbol = 'S1'").withColumn("symbol", F.lit(None).cast("string")))
+    seen, settled, real = [], [], evaluate.settle
+
+    def panel_of(b):
+        seen.append(b)
+        return b.withColumn("row_no", F.row_number().over(plain().ordered()))
+
+    monkeypatch.setattr(series, "TASK_ROWS", 50)
+    monkeypatch.setattr(evaluate, "settle", lambda df: settled.append(df) or real(df))
+    out = evaluate.walk_forward(bars, panel_of, plain(), 20, 5, (2, 5))
+    assert seen[0].rdd.getNumPartitions() == 40 * 90 // 50
+    assert len(moves(seen[0])) == 1
+    # symbols and dates are settled, and the result; bars are not
+    assert [c for df in settled[:-1] for c in df.columns if c in ("open", "close", "volume")] == []
+    days = {f"S{k}": {r.ts: r.close for r in bars.where(f"symbol = 'S{k}'").collect()} for k in (1, 40)}
+    start = dt.datetime(2020, 1, 1)
+    for k, close in days.items():
+        got = {r.date: (r.close, r.fwd2, r.fwd5) for r in out.where(F.col("symbol") == k).collect()}
+        at = [start + dt.timedelta(days=i) for i in range(20, 90 - 6, 5)]
+        assert got == {d: (close[d], *[pytest.approx(close[d + dt.timedelta(days=h)] / close[d] - 1) for h in (2, 5)]) for d in at}
+    assert {r.symbol for r in out.select("symbol").distinct().collect()} == {f"S{k}" for k in range(1, 41)}
+
+
+def test_weekly_bars_carry_each_price_once(spark, tmp_path):
+    day = dt.datetime(2020, 1, 6)
+    rows = [
+        (s, "N", "O", o, n, None if o == 9 else day + dt.timedelta(days=o % 9), None if n == 4 else float(n % 3), p)
+        for s in (1, 2, None) for o in range(10) for n, p in ((1, 10.0 + o), (2, 30.0 - o), (4, 5.0), (3, None), (6, 7.0))
+    ]
+    kind = "l_suppkey long, l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    li = tables._lineitem_prices(spark, str(tmp_path)).select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.date_trunc("week", "l_shipdate").alias("ts"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "price").alias("o"), "price", "l_quantity",
+    )
+    got = tables.bars_li_w(spark, str(tmp_path))
+    assert "min_by" not in plan(got) and "concat" not in plan(got).split("Exchange ")[-1]
+    assert same(got, tables._ohlc(li, ["symbol", "ts"], "price", F.col("o"), "l_quantity")) and got.count() == 9
