@@ -277,7 +277,7 @@ ic AS (SELECT feature, horizon, date, corr(rx, ry) AS ic FROM rk GROUP BY ALL
 )
 def feature_rank_ic(spark: SparkSession, d: str) -> DataFrame:
     """Rank IC of every sub-score and raw feature, per horizon, over the rebalance dates."""
-    ics = E.feature_ics(scored(spark, d), ["score", *_FEATS], ["fwd5", "fwd20"])
+    ics = E.feature_ics(scored(spark, d, "score", *_FEATS), ["score", *_FEATS], ["fwd5", "fwd20"])
     out = E.summarise(ics, ["feature", "horizon"], "ic", min_n=10)
     return out.select(
         "feature",

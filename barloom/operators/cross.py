@@ -7,15 +7,18 @@ date fits a task (LARGE_GROUP rows, counted first); else they come from counts o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import clamp, non_null_mean, ratio
 from ..functions.stats import pearson
+from .series import dealt
 
 RUN = (Window.unboundedPreceding, -1)
-#: Rows of a group that one task may sort.
-LARGE_GROUP = 200_000
+#: Rows of a group that one task may sort: a few narrow columns each, some 100 MB a sort.
+LARGE_GROUP = 1_000_000
 #: Buckets of values that a large group is cut into.
 VALUE_BUCKETS = 256
 
@@ -73,6 +76,13 @@ def has_large(df: DataFrame, by: list[str], limit: int = LARGE_GROUP) -> bool:
     return not df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty()
 
 
+def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups (counts combine map-side)."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest, rows = n.agg(F.max("_n"), F.sum("_n")).first()
+    return largest or 0, rows or 0
+
+
 def average_rank(
     df: DataFrame, by: list[str], value: str, out: str, large: bool | None = None
 ) -> DataFrame:
@@ -180,11 +190,55 @@ def rank_ic(
     distinct_over: int = 3,
 ) -> DataFrame:
     """Spearman correlation per group, for groups with enough rows and distinct values."""
-    df = df.where(F.col(feature).isNotNull() & F.col(fwd).isNotNull())
-    df = df.select(*by, feature, fwd)
-    large = has_large(df, by)
-    df = average_rank(df, by, feature, "_rx", large)
-    df = average_rank(df, by, fwd, "_ry", large)
+    return rank_ics(df, by, feature, [fwd], more_than, distinct_over).drop("horizon")
+
+
+def rank_ics(
+    df: DataFrame, by: list[str], feature: str, fwds: list[str], more_than: int = 10, distinct_over: int = 3
+) -> DataFrame:
+    """`rank_ic` against several forward returns, told apart by `horizon`; rows move once for all of them.
+
+    A forward return ranks the rows that have it.  These are counted along the values of the feature, so one sort serves every horizon.
+    """
+    df = df.where(F.col(feature).isNotNull()).select(*by, feature, *fwds)
+    largest, rows = group_sizes(df, by)
+    if largest > LARGE_GROUP:
+        parts = [_large_rank_ic(df, by, feature, x, more_than, distinct_over).withColumn("horizon", F.lit(x)) for x in fwds]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+    df = dealt(df, rows, *by)
+    now, upto = (Window.currentRow, Window.currentRow), (Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*by).orderBy(feature)
+    found = {}
+    for i, x in enumerate(fwds):
+        found |= {
+            f"_le{i}": F.count(x).over(w.rangeBetween(*upto)),
+            f"_eq{i}": F.count(x).over(w.rangeBetween(*now)),
+            f"_no{i}": F.count(x).over(w.rowsBetween(*upto)),
+        }
+    df = df.withColumns(found)
+    of = []
+    for i, x in enumerate(fwds):
+        y = Window.partitionBy(*by).orderBy(x)
+        known, le, eq = F.col(x).isNotNull(), F.col(f"_le{i}"), F.col(f"_eq{i}")
+        ry = F.count(x).over(y.rangeBetween(*upto)) - (F.count(x).over(y.rangeBetween(*now)) - 1) / 2
+        # the first row of each distinct value that has a return
+        opens = known & (F.col(f"_no{i}") == le - eq + 1)
+        df = df.withColumns({f"_rx{i}": F.when(known, le - (eq - 1) / 2), f"_ry{i}": F.when(known, ry), f"_nd{i}": opens.cast("int")})
+        df = df.drop(f"_le{i}", f"_eq{i}", f"_no{i}")
+        of += [F.count(x).alias(f"_n{i}"), F.sum(f"_nd{i}").alias(f"_nd{i}"), pearson(f"_rx{i}", f"_ry{i}").alias(f"_ic{i}")]
+    each = [
+        F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_nd{i}").alias("_nd"), F.col(f"_ic{i}").alias("ic"), F.lit(x).alias("horizon"))
+        for i, x in enumerate(fwds)
+    ]
+    out = df.groupBy(*by).agg(*of).select(*by, F.inline(F.array(*each)))
+    return out.where((F.col("n") > more_than) & (F.col("_nd") > distinct_over) & F.col("ic").isNotNull()).drop("_nd")
+
+
+def _large_rank_ic(df: DataFrame, by: list[str], feature: str, fwd: str, more_than: int, distinct_over: int) -> DataFrame:
+    """One horizon of `rank_ics` where a group is more than a task may sort."""
+    df = df.where(F.col(fwd).isNotNull()).select(*by, feature, fwd)
+    df = average_rank(df, by, feature, "_rx", True)
+    df = average_rank(df, by, fwd, "_ry", True)
     return (
         df.groupBy(*by)
         .agg(

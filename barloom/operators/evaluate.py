@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.num import ratio
-from .cross import calendar, decile_edges, middle_date, rank_ic, rebalance_dates, zscores
+from .cross import calendar, decile_edges, middle_date, rank_ic, rank_ics, rebalance_dates, zscores
 from .series import Series, dealt
 from .settle import settle
 
@@ -97,12 +95,8 @@ def long_form(df: DataFrame, ids: list[str], values: list[str], name: str = "fea
 
 
 def feature_ics(df: DataFrame, features: list[str], horizons: list[str]) -> DataFrame:
-    """IC per (feature, horizon, date): the panel is unpivoted and ranked once for all features."""
-    long = settle(long_form(df, ["date", "symbol", *horizons], features))
-    parts = [
-        rank_ic(long, ["feature", "date"], "value", h).withColumn("horizon", F.lit(h)) for h in horizons
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """IC per (feature, horizon, date): the panel is unpivoted and ranked once for all features and horizons."""
+    return rank_ics(long_form(df, ["date", *horizons], features), ["feature", "date"], "value", horizons)
 
 
 def sign_fit(df: DataFrame, subs: dict[str, float], fwd: str) -> tuple[DataFrame, DataFrame]:

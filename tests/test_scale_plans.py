@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import text
-from barloom.operators import evaluate, series
+from barloom.operators import cross, evaluate, series
 from barloom.operators.cross import calendar, rebalance_dates
 from barloom.operators.series import plain
 from barloom.plans import growing, panels
@@ -110,6 +110,32 @@ def test_walk_forward_moves_bars_once_in_tasks_of_bounded_size(spark, monkeypatc
     assert {r.symbol for r in out.select("symbol").distinct().collect()} == {f"S{k}" for k in range(1, 41)}
 
 
+def test_rank_ics_move_rows_once_for_all_horizons(spark, no_small_tables, monkeypatch):
+    rows = [
+        (f"f{g % 2}" if g < 5 else None, g, None if i % 11 == 3 else float(i * 7 % (5 + g)), None if i % 5 == g else i * 3 % 17 / 10, None if g == 4 else -1.0 * (i * i % 13))
+        for g in range(6) for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "feature string, date int, value double, a double, b double")
+    by = ["feature", "date"]
+    got = cross.rank_ics(df, by, "value", ["a", "b"])
+    assert len(moves(got)) == 1
+    found = {(r.feature, r.date, r.horizon): (r.n, r.ic) for r in got.collect()}
+    for h in ("a", "b"):
+        for g in range(6):
+            pdf = df.where((F.col("date") == g) & F.col("value").isNotNull() & F.col(h).isNotNull()).toPandas()
+            key = (f"f{g % 2}" if g < 5 else None, g, h)
+            if len(pdf) > 10 and pdf["value"].nunique() > 3:
+                assert found.pop(key) == (len(pdf), pytest.approx(pdf["value"].rank().corr(pdf[h].rank())))
+    assert not found
+    few = [("f", 1, float(i % 3), float(i)) for i in range(30)] + [("f", 2, float(i % 4), float(i)) for i in range(11)]
+    ic = cross.rank_ic(spark.createDataFrame(few, "feature string, date int, value double, a double"), by, "value", "a")
+    assert ic.columns == [*by, "n", "ic"] and [r.date for r in ic.collect()] == [2]
+    monkeypatch.setattr(cross, "LARGE_GROUP", 5)
+    large = {(r.feature, r.date, r.horizon): (r.n, r.ic) for r in cross.rank_ics(df.where("date < 5"), by, "value", ["a", "b"]).collect()}
+    small = {(r.feature, r.date, r.horizon): (r.n, pytest.approx(r.ic)) for r in got.where("date < 5").collect()}
+    assert large == small
+
+
 def test_weekly_bars_carry_each_price_once(spark, tmp_path):
     day = dt.datetime(2020, 1, 6)
     rows = [
