@@ -331,7 +331,7 @@ fs AS (SELECT feature, is_ic, oos_ic, CASE WHEN is_ic < 0 THEN -1.0 ELSE 1.0 END
         {q.r('icw')} AS ic_weight, (is_ic > 0) = (oos_ic > 0) AS sign_held FROM fs""",
 )
 def sign_fit(spark: SparkSession, d: str) -> DataFrame:
-    fit, _ = E.sign_fit(scored(spark, d), _SUBS, "fwd20")
+    fit, _ = E.sign_fit(scored(spark, d, *_SUBS), _SUBS, "fwd20")
     return fit.select(
         "feature",
         shown("is_ic").alias("is_ic"),
@@ -360,9 +360,9 @@ def _composite(kind: str) -> str:
 )
 def sign_validation(spark: SparkSession, d: str) -> DataFrame:
     """Composites with in-sample signs and weights, judged in and out of sample."""
-    _, p = E.sign_fit(scored(spark, d), _SUBS, "fwd20")
+    _, p = E.sign_fit(scored(spark, d, "score", "pxema50", *_SUBS), _SUBS, "fwd20")
     models = ["original", "corrected", "icweighted", "pxema50"]
-    long = E.long_form(p.withColumn("original", F.col("score")), ["date", "symbol", "late", "fwd20"], models, "model")
+    long = E.long_form(p.withColumn("original", F.col("score")), ["date", "late", "fwd20"], models, "model")
     out = E.summarise(X.rank_ic(long, ["model", "late", "date"], "value", "fwd20"), ["model", "late"], "ic", min_n=5)
     return out.select(
         "model",

@@ -34,7 +34,8 @@ def zscores(
     stats = df.groupBy(by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_d_{c}") for c in cols]
     )
-    df = df.join(stats, by)
+    # a row per date: rows stay where they are
+    df = df.join(F.broadcast(stats), by)
     out = {}
     for c in cols:
         z = ratio(F.col(c) - F.col(f"_m_{c}"), f"_d_{c}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +105,12 @@ def sign_fit(df: DataFrame, subs: dict[str, float], fwd: str) -> tuple[DataFrame
     """Signs and |IC| weights from the first half of the dates.
 
     Returns the (feature, is_ic, oos_ic, sign, weight, ic_weight) table and the panel with both
-    composites and a `late` flag.  The weights are a table of len(subs) rows, so it is broadcast.
+    composites and a `late` flag.  The weights are a table of len(subs) rows and go to the rows of the panel as one map, so the panel is
+    neither unpivoted for the composites nor joined to them.
     """
-    split = F.broadcast(middle_date(df.select(F.col("date").alias("ts"))))
-    df = settle(df.crossJoin(split).withColumn("late", F.col("date") >= F.col("split")).drop("split"))
-    long = long_form(df, ["date", "symbol", "late", fwd], list(subs))
+    split = F.broadcast(settle(middle_date(df.select(F.col("date").alias("ts")))))
+    df = df.crossJoin(split).withColumn("late", F.col("date") >= F.col("split")).drop("split")
+    long = long_form(df, ["date", "late", fwd], list(subs))
     ics = rank_ic(long, ["feature", "late", "date"], "value", fwd)
     fit = settle(ics).groupBy("feature").agg(
         F.avg(F.when(~F.col("late"), F.col("ic"))).alias("is_ic"),
@@ -115,26 +118,26 @@ def sign_fit(df: DataFrame, subs: dict[str, float], fwd: str) -> tuple[DataFrame
     )
     given = F.create_map(*[x for k, w in subs.items() for x in (F.lit(k), F.lit(w))])
     total = fit.agg(F.sum(F.abs("is_ic")).alias("_tot"))
-    fit = fit.crossJoin(F.broadcast(total)).select(
+    fit = settle(fit.crossJoin(F.broadcast(total)).select(
         "feature",
         "is_ic",
         "oos_ic",
         F.when(F.col("is_ic") < 0, -1.0).otherwise(1.0).alias("sign"),
         given[F.col("feature")].alias("weight"),
         ratio(F.abs("is_ic"), "_tot").alias("ic_weight"),
-    )
+    ))
     z = zscores(df, list(subs), by="date", clip=None, flat=0.0)
-    zl = long_form(z, ["date", "symbol"], [f"{k}_z" for k in subs])
-    zl = zl.withColumn("feature", F.regexp_replace("feature", "_z$", ""))
-    comp = (
-        zl.join(F.broadcast(fit), "feature")
-        .groupBy("date", "symbol")
-        .agg(
-            F.sum(F.col("value") * F.col("sign") * F.col("weight")).alias("corrected"),
-            F.sum(F.col("value") * F.col("sign") * F.col("ic_weight")).alias("icweighted"),
-        )
-    )
-    return fit, settle(df.join(comp, ["date", "symbol"]))
+    of = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("sign", "weight", "ic_weight"))))
+    z = z.crossJoin(F.broadcast(fit.agg(of.alias("_fit")))).where(F.size("_fit") > 0)
+
+    def composite(weight: str):
+        """The sum of the terms that are known, NULL without any."""
+        terms = [F.col(f"{k}_z") * F.col("_fit")[k]["sign"] * F.col("_fit")[k][weight] for k in subs]
+        some = reduce(lambda a, b: a | b, [x.isNotNull() for x in terms])
+        return F.when(some, reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in terms]))
+
+    z = z.withColumns({"corrected": composite("weight"), "icweighted": composite("ic_weight")})
+    return fit, settle(z.select("date", "symbol", *[c for c in [*df.columns, "corrected", "icweighted"] if c not in ("date", "symbol")]))
 
 
 def compare(df: DataFrame, models: list[str], fwd: str, min_n: int = 20, min_dates: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,31 @@ def test_rank_ics_move_rows_once_for_all_horizons(spark, no_small_tables, monkey
     assert large == small
 
 
+def test_composites_do_not_unpivot_or_join_the_panel(spark, no_small_tables, monkeypatch):
+    rows = [
+        (dt.date(2020, 1, 1 + g), f"S{i}", None if i == 4 else float(i * 5 % 11), None if i in (4, 6) else float(i * (3 + g) % 7), i * 7 % 13 / 10)
+        for g in range(4) for i in range(30)
+    ]
+    df = spark.createDataFrame(rows, "date date, symbol string, x double, y double, fwd double")
+    settled, real = [], evaluate.settle
+    monkeypatch.setattr(evaluate, "settle", lambda d: settled.append(d) or real(d))
+    fit, p = evaluate.sign_fit(df, {"x": 0.6, "y": 0.4}, "fwd")
+    assert "SortMergeJoin" not in plan(settled[-1]) and [x for x in moves(settled[-1]) if "symbol" in x] == []
+    assert p.columns == ["date", "symbol", "x", "y", "fwd", "late", "corrected", "icweighted"] and p.count() == 120
+    f = {r.feature: r for r in fit.collect()}
+    pdf = df.toPandas()
+    for c in ("x", "y"):
+        by = pdf.groupby("date")[c]
+        pdf[f"z_{c}"] = (pdf[c] - by.transform("mean")) / by.transform("std")
+    want = {(r.date, r.symbol): r for r in pdf.itertuples()}
+    for r in p.collect():
+        w = want[r.date, r.symbol]
+        for out, weight in (("corrected", "weight"), ("icweighted", "ic_weight")):
+            terms = [z * f[c].sign * f[c][weight] for c, z in (("x", w.z_x), ("y", w.z_y)) if not math.isnan(z)]
+            assert r[out] == (pytest.approx(sum(terms)) if terms else None)
+    assert p.where("symbol = 'S4' AND corrected IS NULL").count() == 4
+
+
 def test_weekly_bars_carry_each_price_once(spark, tmp_path):
     day = dt.datetime(2020, 1, 6)
     rows = [
