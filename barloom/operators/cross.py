@@ -147,8 +147,13 @@ def quantile_of_rank(r: Column, n: Column, q: int = 5) -> Column:
 
 
 def quintiles(df: DataFrame, by: str, score: str, tie: str = "symbol", q: int = 5) -> DataFrame:
-    df = ordinal_rank(df, [by], score, tie, "_r")
-    df = with_count(df, [by], "_n")
+    df = df.where(F.col(score).isNotNull() & F.col(by).isNotNull())
+    large = has_large(df, [by])
+    df = ordinal_rank(df, [by], score, tie, "_r", large=large)
+    if large:
+        df = with_count(df, [by], "_n")
+    else:
+        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
     return df.withColumn("q", quantile_of_rank(F.col("_r"), F.col("_n"), q).cast("int")).drop("_r", "_n")
 
 

@@ -162,6 +162,16 @@ def test_composites_do_not_unpivot_or_join_the_panel(spark, no_small_tables, mon
     assert p.where("symbol = 'S4' AND corrected IS NULL").count() == 4
 
 
+def test_quintiles_count_a_date_where_it_is_ranked(spark, no_small_tables, monkeypatch):
+    rows = [(d, f"S{i}", None if i == 3 else float(i % 6)) for d in ("a", "b", None) for i in range(13)]
+    df = spark.createDataFrame(rows, "date string, symbol string, score double")
+    got = cross.quintiles(df, "date", "score")
+    assert "Join" not in plan(got) and len(moves(got)) == 1
+    assert got.count() == 24 and got.where("date IS NULL").count() == 0
+    monkeypatch.setattr(cross, "LARGE_GROUP", 5)
+    assert same(got, cross.quintiles(df, "date", "score").select(got.columns))
+
+
 def test_weekly_bars_carry_each_price_once(spark, tmp_path):
     day = dt.datetime(2020, 1, 6)
     rows = [
